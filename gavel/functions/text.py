@@ -12,6 +12,12 @@ PYTHON_FLOAT = (
 )
 PYTHON_INT = r"^[+-]?\d+(_\d+)*$"
 
+# The characters a Python ``strip`` removes.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 INTEGER_TOLERANCE = 1e-9
 
 
@@ -28,8 +34,8 @@ def is_blank(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Trim all Unicode white space on both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space; reads only the ends of a text, however long it is."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def lenient_int(token: Column) -> Column:
@@ -49,14 +55,16 @@ def python_float(text: Column) -> Column:
     """The value Python's ``float`` gives, NULL where it would refuse."""
     body = strip(text)
     return F.when(
-        body.rlike(PYTHON_FLOAT), F.regexp_replace(body, "_", "").try_cast("double")
+        body.rlike(PYTHON_FLOAT), F.replace(body, F.lit("_"), F.lit("")).try_cast("double")
     )
 
 
 def python_int(text: Column) -> Column:
     """The value Python's ``int`` gives, NULL where it would refuse or overflow 64 bits."""
     body = strip(text)
-    return F.when(body.rlike(PYTHON_INT), F.regexp_replace(body, "_", "").try_cast("bigint"))
+    return F.when(
+        body.rlike(PYTHON_INT), F.replace(body, F.lit("_"), F.lit("")).try_cast("bigint")
+    )
 
 
 def float32(number: Column) -> Column:

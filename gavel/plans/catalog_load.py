@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gavel.operators import catalog as c
 from gavel.operators.integrity import unique_violations
+from gavel.session import materialized
 
 TABLES = ["problems", "test_cases", "sub_tasks", "sub_task_test_cases", "grader_files"]
 
@@ -29,8 +30,9 @@ def load_catalog(
     because the key order of a JSON object means nothing.
     """
     existing = existing or {}
-    unified = c.unify_layout(records)
-    keyed, unkeyed = c.reject_unkeyed(unified)
+    keyed, unkeyed = c.reject_unkeyed(c.unify_layout(records))
+    # Every table below reads other columns of the records: parse them once, into columns.
+    keyed = materialized(keyed)
 
     names = keyed.select("seq", "year", "name")
     repeated = unique_violations(names, ["year", "name"], existing.get("problems"))
