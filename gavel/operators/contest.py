@@ -19,6 +19,7 @@ TEXT_FIELDS = {
     "demo-output": "demo_output",
 }
 PROBLEM_KEY = ["contest_id", "problem_index"]
+PIECES_PER_PROBLEM = 32
 
 
 def accepted_submissions(submissions: DataFrame) -> DataFrame:
@@ -27,8 +28,11 @@ def accepted_submissions(submissions: DataFrame) -> DataFrame:
 
 
 def first_per_problem(submissions: DataFrame, seq: str = "seq") -> DataFrame:
-    """The first submission of every problem in input order."""
-    return keep_first(submissions, ["contestId", "index"], [seq])
+    """The first submission of every problem in input order.
+
+    Popular problems have many wide submissions, so each problem is reduced in pieces first.
+    """
+    return keep_first(submissions, ["contestId", "index"], [seq], salts=PIECES_PER_PROBLEM)
 
 
 def problem_records(submissions: DataFrame) -> DataFrame:

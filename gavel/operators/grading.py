@@ -149,16 +149,22 @@ def sub_task_scores(cases: DataFrame, scores: DataFrame) -> DataFrame:
         F.count_if(F.col("score").isNull()).alias("n_missing"),
         F.sum("score").alias("case_total"),
     )
-    fields = F.struct("sub_task_position", "points", "n_cases", "n_missing", "case_total")
-    last = summed.groupBy("problem_id", "sub_task").agg(F.max(fields).alias("f"))
-    complete = F.col("f.n_missing") == 0
+    # One max_by per number keeps this a hash aggregate; a struct would need a sort.
+    last = summed.groupBy("problem_id", "sub_task").agg(
+        F.max("sub_task_position").alias("last_position"),
+        *[
+            F.max_by(c, "sub_task_position").alias(c)
+            for c in ("points", "n_cases", "n_missing", "case_total")
+        ],
+    )
+    complete = F.col("n_missing") == 0
     return last.select(
         "problem_id",
         "sub_task",
-        "f.sub_task_position",
-        "f.points",
-        "f.n_cases",
-        F.when(complete, F.try_divide("f.case_total", "f.n_cases") * F.col("f.points")).alias("score"),
+        F.col("last_position").alias("sub_task_position"),
+        "points",
+        "n_cases",
+        F.when(complete, F.try_divide("case_total", "n_cases") * F.col("points")).alias("score"),
         F.when(~complete, "case without result").alias("reason"),
     )
 
@@ -179,18 +185,19 @@ def problem_scores(
 
     A problem with an unscored sub-task (or one in ``rejects``) has no score but a ``reason``.
     """
-    parts = sub_task_scores.select("problem_id", "score", "reason")
+    parts = sub_task_scores.select("problem_id", "score")
     if rejects is not None:
         parts = parts.unionByName(
-            rejects.select("problem_id", F.lit(None).cast("double").alias("score"), "reason")
+            rejects.select("problem_id", F.lit(None).cast("double").alias("score"))
         )
     totals = parts.groupBy("problem_id").agg(
-        F.sum("score").alias("total"), F.min("reason").alias("reason")
+        F.sum("score").alias("total"), F.count_if(F.col("score").isNull()).alias("unscored")
     )
+    unscored = F.coalesce("unscored", F.lit(0))
     return problems.join(totals, "problem_id", "left").select(
         *problems.columns,
-        F.when(F.col("reason").isNull(), F.coalesce("total", F.lit(0.0))).alias("score"),
-        "reason",
+        F.when(unscored == 0, F.coalesce("total", F.lit(0.0))).alias("score"),
+        F.when(unscored > 0, F.concat(unscored, F.lit(" sub-tasks without a score"))).alias("reason"),
     )
 
 

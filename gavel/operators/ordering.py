@@ -13,13 +13,22 @@ _POSITION_BITS = (1 << 33) - 1
 
 
 def keep_first(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], last: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    last: bool = False,
+    salts: int = 0,
 ) -> DataFrame:
     """One row per key: the first (or last) by ``order_by``, which must be a total order.
 
     The ``= 1`` on the row number lets Spark cut every key to one row inside each map
-    task (WindowGroupLimit) before the shuffle, so a hot key sends one row per task.
+    task (WindowGroupLimit) before the shuffle, so a hot key sends one row per task. Where
+    many wide rows share a key, ``salts`` first reduces each key in that many pieces, so that
+    not even those go to one task.
     """
+    if salts:
+        pieces = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
+        df = keep_first(pieces, [*keys, "_salt"], order_by, last).drop("_salt")
     order = [F.col(c).desc() if last else F.col(c).asc() for c in order_by]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")

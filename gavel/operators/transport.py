@@ -88,8 +88,8 @@ def expired_responses(
 
     Arrivals before and after the request never share a slot of the store. Time is cut into
     TTL-wide buckets: within one, all but the last arrival are overwritten for certain; the last
-    one only has to be compared with the first arrival of the next bucket. That needs aggregates
-    and equi-joins on unique keys, never an ordered group of all copies of an id.
+    one only has to be compared with the first arrival of the next bucket. That needs one partial
+    aggregate and joins on ``seq``, never an ordered group of all copies of an id.
     """
     taken = (
         match_responses(requests, responses, ttl_seconds)
@@ -98,25 +98,23 @@ def expired_responses(
     )
     asked = requests.select("id", "request_ts")
     later = F.coalesce(F.col("response_ts") > F.col("request_ts"), F.lit(False))
-    bucket = F.floor(F.unix_micros("response_ts") / F.lit(int(ttl_seconds * 1_000_000)))
-    slot = ["id", "later", "bucket"]
-    arrivals = (
-        responses.join(asked, "id", "left")
-        .withColumn("later", later)
-        .withColumn("bucket", bucket.cast("bigint"))
-    )
-    buckets = arrivals.groupBy(*slot).agg(
-        F.max(F.struct("response_ts", "seq")).alias("last"),
-        F.min("response_ts").alias("first_ts"),
-    )
-    following = buckets.select(
-        "id", "later", (F.col("bucket") - 1).alias("bucket"), F.col("first_ts").alias("next_ts")
-    )
-    in_time = F.coalesce(
-        F.col("next_ts") <= F.col("last.response_ts") + F.make_dt_interval(secs=F.lit(ttl_seconds)),
-        F.lit(False),
+    bucket = F.floor(F.unix_micros("response_ts") / F.lit(int(ttl_seconds * 1_000_000))).cast("bigint")
+    # Every arrival counts for its own bucket and, as a successor, for the one before.
+    slots = (
+        responses.select("id", "response_ts", "seq")
+        .join(asked, "id", "left")
+        .select("id", later.alias("later"), bucket.alias("own"), "response_ts", "seq",
+                F.explode(F.array(F.lit(0), F.lit(1))).alias("back"))
+        .groupBy("id", "later", (F.col("own") - F.col("back")).alias("bucket"))
+        .agg(
+            F.max(F.when(F.col("back") == 0, F.struct("response_ts", "seq"))).alias("last"),
+            F.min(F.when(F.col("back") == 1, F.col("response_ts"))).alias("next_ts"),
+        )
+        .filter("last IS NOT NULL")
     )
-    last_of_bucket = buckets.join(following, slot, "left").select(
+    lifetime = F.make_dt_interval(secs=F.lit(ttl_seconds))
+    in_time = F.coalesce(F.col("next_ts") <= F.col("last.response_ts") + lifetime, F.lit(False))
+    last_of_bucket = slots.select(
         F.col("last.seq").alias("seq"),
         F.when(in_time, "overwritten").otherwise("expired").alias("fate"),
     )

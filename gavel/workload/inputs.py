@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gavel.session import spread
 from gavel.workload.registry import Tables
 
 
@@ -30,7 +31,7 @@ def submissions(t: Tables) -> DataFrame:
         F.when(i % 4 == 3, "").otherwise(text(key, " ", i)).alias("input"),
         text("é", customer * i).alias("output"),
     )
-    return t.orders.select(
+    return spread(t.orders).select(
         key.alias("seq"),
         customer.cast("int").alias("contestId"),
         F.substring("o_orderpriority", 1, 1).alias("index"),
@@ -76,7 +77,7 @@ SPLIT_DATE = "1998-01-01"
 
 def packed_documents(t: Tables) -> DataFrame:
     lines = F.split("text", "\n")
-    return t.documents.select(
+    return spread(t.documents).select(
         F.col("doc_id").alias("seq"),
         (F.substring("source", 4, 10).cast("int") + 1).alias("contest_id"),
         F.when(F.col("doc_id") % 97 == 0, F.repeat("lang", F.lit(150)))
@@ -184,7 +185,7 @@ def olympiad_records(t: Tables) -> DataFrame:
         "test_cases": cases,
         "grader_files": files,
     }
-    return t.orders.select(
+    return spread(t.orders).select(
         key.alias("seq"),
         F.when(nested, F.struct(*[e.alias(n) for n, e in fields.items()])).alias("metadata"),
         *[F.when(~nested, e).alias(n) for n, e in fields.items()],
@@ -236,7 +237,7 @@ def judged_sub_tasks(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     positions = F.posexplode(upto((1 + key % 3).cast("int"))).alias("position", "k")
     k = F.col("k")
-    return t.orders.select(key, positions).select(
+    return spread(t.orders).select(key, positions).select(
         key.alias("problem_id"),
         "position",
         text("st", k % 2).alias("name"),
@@ -342,7 +343,8 @@ parts AS (
   UNION ALL SELECT problem_id, NULL, 'sub-task without cases' FROM sub_tasks WHERE n_names = 0),
 problem_score AS (
   SELECT o_orderkey AS problem_id,
-         CASE WHEN min(reason) IS NULL THEN coalesce(sum(score), 0.0) END AS score, min(reason) AS reason
+         CASE WHEN count(reason) = 0 THEN coalesce(sum(score), 0.0) END AS score,
+         CASE WHEN count(reason) > 0 THEN count(reason) || ' sub-tasks without a score' END AS reason
   FROM orders LEFT JOIN parts ON o_orderkey = problem_id GROUP BY o_orderkey)
 """
 
@@ -370,7 +372,7 @@ def judge_jobs(t: Tables) -> DataFrame:
     lines = F.when(
         count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), line)
     ).otherwise(F.array().cast("array<string>"))
-    return t.orders.select(
+    return spread(t.orders).select(
         key.alias("job"),
         F.when(key % 17 == 0, 1).otherwise(0).alias("exit_code"),
         F.when(key % 13 == 0, F.when(key % 2 == 0, "").otherwise("bad")).cast("binary").alias("compile_errors"),

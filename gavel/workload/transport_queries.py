@@ -296,13 +296,18 @@ def first_response(t):
     )
 
 
-@query("expired_responses", f"""
-WITH {i.TRANSPORT},
-phased AS (SELECT r.*, coalesce(r.response_ts > q.request_ts, false) AS later FROM responses r LEFT JOIN requests q ON r.id = q.id),
-followed AS (SELECT *, lead(response_ts) OVER (PARTITION BY id, later ORDER BY response_ts, seq) AS next_ts FROM phased)
-SELECT seq, id, CASE WHEN next_ts <= response_ts + INTERVAL {i.TTL_SECONDS} SECOND THEN 'overwritten' ELSE 'expired' END AS fate
-FROM followed WHERE seq NOT IN (SELECT seq FROM taken)
-""")
+FATES = f"""
+{i.TRANSPORT},
+phased AS (SELECT r.*, q.request_ts, coalesce(r.response_ts > q.request_ts, false) AS later
+           FROM responses r LEFT JOIN requests q ON r.id = q.id),
+followed AS (SELECT *, lead(response_ts) OVER (PARTITION BY id, later ORDER BY response_ts, seq) AS next_ts FROM phased),
+fates AS (
+  SELECT *, CASE WHEN next_ts <= response_ts + INTERVAL {i.TTL_SECONDS} SECOND THEN 'overwritten' ELSE 'expired' END AS fate
+  FROM followed WHERE seq NOT IN (SELECT seq FROM taken))
+"""
+
+
+@query("expired_responses", f"WITH {FATES} SELECT seq, id, fate FROM fates")
 def expired_responses(t):
     return transport.expired_responses(i.requests(t), i.responses(t), i.TTL_SECONDS).select("seq", "id", "fate")
 
@@ -356,7 +361,14 @@ def match_responses_stream(t):
     return t.spark.read.parquet(path).filter("outcome IN ('waiting', 'arrived')")
 
 
-@query("expired_responses_stream")
+@query("expired_responses_stream", f"""
+WITH {FATES},
+ends AS (SELECT max(ts) - INTERVAL 1 MINUTE AS watermark FROM (
+  SELECT request_ts AS ts FROM requests UNION ALL SELECT response_ts FROM responses))
+SELECT seq, id, fate FROM fates, ends
+WHERE next_ts IS NOT NULL OR (NOT later AND request_ts IS NOT NULL)
+   OR response_ts + INTERVAL {i.TTL_SECONDS} SECOND < watermark
+""")
 def expired_responses_stream(t):
     """What the stream has given up by the end of the replay; the newest are still held."""
     asked = _stream_of(t, i.requests(t), "requests")
