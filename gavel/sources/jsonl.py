@@ -17,12 +17,16 @@ BLANK, BROKEN = "blank line", "invalid JSON"
 
 @dataclass(frozen=True)
 class RecordSchema:
-    """Fields of a record file; lenient fields are declared STRING in ``fields``."""
+    """Fields of a record file, as a type or as DDL; lenient fields are declared STRING."""
 
-    fields: T.StructType
+    fields: T.StructType | str
     lenient_ints: Sequence[str] = ()
     lenient_texts: Sequence[str] = ()
 
+    def struct(self) -> T.StructType:
+        # DDL needs a running session, so it is parsed on use.
+        return T.StructType.fromDDL(self.fields) if isinstance(self.fields, str) else self.fields
+
 
 def text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Lines of all paths with ``seq``, a total order: caller's path order, file, split, line.
@@ -89,7 +93,8 @@ def scan_jsonl(
 
 def parse_lines(lines: DataFrame, schema: RecordSchema) -> DataFrame:
     """Parse a ``line`` column into ``record`` and ``reason``; works on streams too."""
-    with_corrupt = T.StructType([*schema.fields.fields, T.StructField(_CORRUPT, T.StringType())])
+    fields = schema.struct()
+    with_corrupt = T.StructType([*fields.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = F.from_json("line", with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
     df = lines.withColumn("_raw", F.when(~is_blank(F.col("line")), parsed))
 
@@ -97,7 +102,7 @@ def parse_lines(lines: DataFrame, schema: RecordSchema) -> DataFrame:
         F.col(f"_raw.{_CORRUPT}").isNotNull(), BROKEN
     )
     columns = []
-    for field in schema.fields.fieldNames():
+    for field in fields.fieldNames():
         value = F.col("_raw").getField(field)
         if field in schema.lenient_ints:
             number = lenient_int(value)
@@ -117,11 +122,14 @@ def read_jsonl(
     line_numbers: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejects)``: blank lines skipped, broken lines reported with their path."""
-    scanned = scan_jsonl(spark, paths, schema, line_numbers).filter(
-        "reason IS NULL OR reason <> '" + BLANK + "'"
-    )
-    good, bad = split_rejects(scanned, F.col("reason"), on_error)
-    position = ["seq", "path"] + (["line_no"] if line_numbers else [])
+    return rows_and_rejects(scan_jsonl(spark, paths, schema, line_numbers), on_error)
+
+
+def rows_and_rejects(scanned: DataFrame, on_error: str = "split") -> tuple[DataFrame, DataFrame]:
+    """Part a scan into records and rejects, leaving blank lines out."""
+    kept = scanned.filter(F.col("reason").isNull() | (F.col("reason") != BLANK))
+    good, bad = split_rejects(kept, F.col("reason"), on_error)
+    position = [c for c in ("seq", "path", "line_no") if c in scanned.columns]
     return (
         good.select(*position, "record.*"),
         bad.select(*position, "line", "reason"),

@@ -8,6 +8,7 @@ from gavel.operators import catalog as c, integrity, lookup
 from gavel.plans.catalog_load import TABLES, load_catalog as load_job
 from gavel.session import scratch_path
 from gavel.sources.catalog_store import read_catalog, write_catalog as write_tables
+from gavel.sources.records import read_olympiad
 from gavel.workload import inputs as i
 from gavel.workload.registry import query
 
@@ -174,6 +175,14 @@ def load_catalog(t):
     return _all_rows(load_job(i.olympiad_records(t)).tables)
 
 
+@query("load_catalog_jsonl", LOADED + _ALL_ROWS)
+def load_catalog_jsonl(t):
+    """The same records, written as JSON lines and read back."""
+    path = i.as_json_lines(i.olympiad_records(t), "olympiad")
+    good, _ = read_olympiad(t.spark, [path])
+    return _all_rows(load_job(good).tables)
+
+
 def _stored(t):
     path = scratch_path(t.spark, "catalog")
     write_tables(load_job(i.olympiad_records(t)).tables, path, drop=True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators import contest, packed
 from gavel.plans.contest_load import curate_submissions as curate_job, load_contest, pack
+from gavel.sources.records import read_contest
 from gavel.workload import inputs as i
 from gavel.workload.registry import query
 
@@ -169,7 +170,21 @@ def replace_cases(t):
     return contest.replace_cases(catalog, new)
 
 
-@query("latest_problem_entry", f"WITH {i.PACKED} SELECT contest_id, \"index\", seq, case_count FROM latest")
+@query("load_contest_jsonl", f"""
+WITH {i.SUBMISSIONS}, {_SPLIT}, {HASHED},
+newest AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY contest_id, problem_index ORDER BY seq DESC) = 1)
+SELECT h.id, n.contest_id, n.problem_index, time_limit, memory_limit, problem_description,
+       input_specification, title, demo_input, demo_output
+FROM newest n JOIN hashed h ON n.contest_id = h.contest_id AND n.problem_index = h.problem_index
+""")
+def load_contest_jsonl(t):
+    """Submissions written as JSON lines and loaded from there."""
+    path = i.as_json_lines(i.submissions(t).drop("o_orderdate"), "contest")
+    good, _ = read_contest(t.spark, [path])
+    return load_contest(good)["contest_problems"]
+
+
+@query("latest_problem_entry", f"WITH {i.PACKED} SELECT contest_id, \"index\", seq, CAST(case_count AS INTEGER) AS case_count FROM latest")
 def latest_problem_entry(t):
     entries, _ = packed.packed_entries(i.packed_documents(t))
     return packed.latest_problem_entry(entries).select("contest_id", "index", "seq", "case_count")

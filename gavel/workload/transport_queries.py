@@ -148,7 +148,7 @@ def _job_lines(t) -> DataFrame:
 
 @query("read_jobs", """
 SELECT event_id, event_type AS queue, CASE WHEN k % 10 NOT IN (0, 1, 2, 3, 4) THEN 'http://cb/' || event_id END AS callback_url,
-  CASE WHEN k % 10 NOT IN (0, 1, 2, 3, 4) THEN strlen(props) END AS binary_bytes,
+  CASE WHEN k % 10 NOT IN (0, 1, 2, 3, 4) THEN CAST(strlen(props) AS INTEGER) END AS binary_bytes,
   CASE k % 10 WHEN 0 THEN 'job binary is empty' WHEN 1 THEN 'decode job payload: invalid JSON' WHEN 2 THEN 'missing callback URL'
     WHEN 3 THEN 'decode job payload: binary is not base64' WHEN 4 THEN 'decode job payload: blank' END AS reason
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
@@ -408,7 +408,7 @@ def pending_jobs_stream(t):
 
 
 @query("read_jobs_stream", """
-SELECT event_id, event_type AS queue, strlen(props) AS binary_bytes
+SELECT event_id, event_type AS queue, CAST(strlen(props) AS INTEGER) AS binary_bytes
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events) WHERE k % 10 NOT IN (0, 1, 2, 3, 4)
 """)
 def read_jobs_stream(t):
