@@ -10,30 +10,19 @@ BASIS_LOW = 2216829733
 PRIME_LOW = 435
 
 _MASK = 0xFFFFFFFF
-_HEX_DIGITS = "0123456789ABCDEF"
 
 
-def utf8_bytes(text: Column) -> Column:
-    """Bytes of the UTF-8 form as an array of BIGINT."""
-    digits = F.hex(F.encode(text, "UTF-8"))
-
-    def nibble(at: Column) -> Column:
-        return F.instr(F.lit(_HEX_DIGITS), F.substring(digits, at, F.lit(1))) - 1
-
-    # sequence(0, -1) would count down, so an empty text needs its own case.
-    positions = F.when(
-        F.octet_length(text) > 0, F.sequence(F.lit(0), F.octet_length(text) - 1)
-    ).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        positions, lambda i: (nibble(2 * i + 1) * 16 + nibble(2 * i + 2)).cast("bigint")
-    )
+def byte_characters(text: Column) -> Column:
+    """The UTF-8 bytes of a text as characters of the same number, none for an empty text."""
+    characters = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
+    return F.when(text != "", characters).otherwise(F.array().cast("array<string>"))
 
 
 def fnv1a64(text: Column) -> Column:
     """FNV-1a as a signed BIGINT, in 32-bit halves so that ANSI mode never overflows."""
 
-    def step(state: Column, byte: Column) -> Column:
-        mixed = state["lo"].bitwiseXOR(byte)
+    def step(state: Column, character: Column) -> Column:
+        mixed = state["lo"].bitwiseXOR(F.ascii(character).cast("bigint"))
         product = mixed * PRIME_LOW
         high = (
             state["hi"] * PRIME_LOW + F.shiftright(product, 32) + F.shiftleft(mixed, 8)
@@ -44,7 +33,7 @@ def fnv1a64(text: Column) -> Column:
         F.lit(BASIS_HIGH).cast("bigint").alias("hi"), F.lit(BASIS_LOW).cast("bigint").alias("lo")
     )
     return F.aggregate(
-        utf8_bytes(text),
+        byte_characters(text),
         start,
         step,
         lambda state: F.shiftleft(state["hi"], 32).bitwiseOR(state["lo"]),

@@ -26,6 +26,8 @@ RUNTIME_ERROR = "Runtime Error"
 COMPILE_ERROR = "Compilation Error"
 SYSTEM_ERROR = "System Error"
 
+NOT_ACCEPTED = [WRONG_ANSWER, TIME_LIMIT, MEMORY_LIMIT, RUNTIME_ERROR, COMPILE_ERROR, SYSTEM_ERROR]
+
 SYSTEM_FAULTS = ["Fatal Error", "Disallowed Syscall", "Invalid", "Unknown"]
 WRONG_OUTPUT = ["Normal", "Output Limit Exceeded"]
 

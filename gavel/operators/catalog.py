@@ -49,31 +49,55 @@ def reject_unkeyed(problems: DataFrame, on_error: str = "split") -> tuple[DataFr
     )
 
 
+def _by_name(entries: str) -> Column:
+    """Entries of a map with their place in the order of names."""
+    return F.posexplode(F.array_sort(F.map_entries(entries))).alias("position", "entry")
+
+
 def named_cases(problems: DataFrame) -> DataFrame:
-    """One row per test case: ``problem_id, name, input, output``."""
-    return problems.select(
-        "problem_id", F.explode("test_cases").alias("name", "case")
-    ).select(
+    """One row per test case: ``problem_id, position, name, input, output``.
+
+    ``position`` is the place of the name in the problem. Columns after ``problem_id`` that
+    start with ``first_`` are passed on.
+    """
+    return problems.select("problem_id", *_offsets(problems), _by_name("test_cases")).select(
         "problem_id",
-        "name",
-        empty_if_null(F.col("case.input")).alias("input"),
-        empty_if_null(F.col("case.output")).alias("output"),
+        *_offsets(problems),
+        "position",
+        F.col("entry.key").alias("name"),
+        empty_if_null(F.col("entry.value.input")).alias("input"),
+        empty_if_null(F.col("entry.value.output")).alias("output"),
     )
 
 
+def case_names(problems: DataFrame) -> DataFrame:
+    """The names and positions of :func:`named_cases` without the texts."""
+    names = F.posexplode(F.array_sort(F.map_keys("test_cases"))).alias("position", "name")
+    return problems.select("problem_id", *_offsets(problems), names)
+
+
 def grader_files(problems: DataFrame) -> DataFrame:
-    """One row per grader file: ``problem_id, name, content``."""
-    return problems.select(
-        "problem_id", F.explode("grader_files").alias("name", "content")
-    ).withColumn("content", empty_if_null(F.col("content")))
+    """One row per grader file in name order: ``problem_id, position, name, content``."""
+    return problems.select("problem_id", *_offsets(problems), _by_name("grader_files")).select(
+        "problem_id",
+        *_offsets(problems),
+        "position",
+        F.col("entry.key").alias("name"),
+        empty_if_null(F.col("entry.value")).alias("content"),
+    )
+
+
+def _offsets(problems: DataFrame) -> list[str]:
+    return [c for c in problems.columns if c.startswith("first_")]
 
 
 def sub_tasks(problems: DataFrame) -> DataFrame:
     """One row per sub-task with its position and its case names; limits in single precision."""
     return problems.select(
-        "problem_id", F.posexplode("sub_tasks").alias("position", "task")
+        "problem_id", *_offsets(problems), F.posexplode("sub_tasks").alias("position", "task")
     ).select(
         "problem_id",
+        *_offsets(problems),
         "position",
         empty_if_null(F.col("task.name")).alias("name"),
         F.coalesce("task.score", F.lit(0)).cast("int").alias("score"),

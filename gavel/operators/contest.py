@@ -86,7 +86,7 @@ def key_collisions(keyed: DataFrame) -> DataFrame:
 
 def contest_cases(records: DataFrame) -> DataFrame:
     """One row per test case of the keyed records with its 0-based offset."""
-    kept = ["seq"] if "seq" in records.columns else []
+    kept = [c for c in ("seq", "problem_id") if c in records.columns]
     return (
         records.filter(has_problem_key(F.col("contestId"), F.col("index")))
         .select(
@@ -138,6 +138,9 @@ def replace_cases(cases: DataFrame, records: DataFrame, seq: str = "seq") -> Dat
         problem_id(F.col("contestId"), F.col("index")).alias("problem_id")
     )
     columns = ["problem_id", "case_offset", "input", "output"]
-    fresh = contest_cases(latest).withColumn("problem_id", problem_id(*map(F.col, PROBLEM_KEY)))
+    # The id is hashed once per problem, not per case.
+    fresh = contest_cases(
+        latest.withColumn("problem_id", problem_id(F.col("contestId"), F.col("index")))
+    )
     kept = cases.join(touched, "problem_id", "left_anti")
     return kept.select(*columns).unionByName(fresh.select(*columns))

@@ -87,8 +87,14 @@ def submission_verdict(
     jobs: DataFrame, results: DataFrame, compile_errors: DataFrame | None = None
 ) -> DataFrame:
     """One verdict per ``job``: compilation error, else the first case not accepted, else accepted."""
-    first_bad = results.groupBy("job").agg(
-        F.min_by("verdict", F.when(F.col("verdict") != v.ACCEPTED, F.col("position"))).alias("first_bad")
+    # Position and verdict in one number keep this a hash aggregate; a text would need a sort.
+    names = F.array(*[F.lit(name) for name in v.NOT_ACCEPTED])
+    code = F.nullif(F.array_position(names, F.col("verdict")), F.lit(0))
+    base = len(v.NOT_ACCEPTED) + 1
+    first_bad = (
+        results.groupBy("job")
+        .agg(F.min(F.col("position").cast("bigint") * base + code).alias("first"))
+        .select("job", F.get(names, (F.col("first") % base - 1).cast("int")).alias("first_bad"))
     )
     judged = jobs.select("job").join(first_bad, "job", "left")
     compiled = F.lit(True)

@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.operators import catalog as c
 from gavel.operators.integrity import unique_violations
+from gavel.operators.ordering import running_totals
 from gavel.session import materialized
 
+# Collections of a record that become tables of the same name.
+COUNTED = ["test_cases", "grader_files", "sub_tasks"]
 TABLES = ["problems", "test_cases", "sub_tasks", "sub_task_test_cases", "grader_files"]
 
 
+def _count(column: str) -> Column:
+    return F.coalesce(F.nullif(F.size(column), F.lit(-1)), F.lit(0))
+
+
 @dataclass(frozen=True)
 class LoadedCatalog:
     tables: dict[str, DataFrame]
@@ -36,27 +43,42 @@ def load_catalog(
 
     names = keyed.select("seq", "year", "name")
     repeated = unique_violations(names, ["year", "name"], existing.get("problems"))
-    fresh = names.join(repeated.select("seq"), "seq", "left_anti")
-
-    ids = c.assign_ids(fresh, ["seq"], existing.get("problems"))
-    nested = keyed.drop("year", "name").join(
-        ids.select("seq", F.col("id").alias("problem_id")), "seq"
+    # A record holds all its cases, files and sub-tasks, so an id is the problem's first one plus
+    # the place in the record: only counts per problem are ordered, never a text.
+    counts = keyed.select(
+        "seq", "year", "name", *[_count(column).alias(column) for column in COUNTED]
+    ).join(repeated.select("seq"), "seq", "left_anti")
+    firsts = running_totals(
+        counts,
+        ["seq"],
+        {"before": F.lit(1), **{f"{column}_before": F.col(column) for column in COUNTED}},
+    ).select(
+        "seq",
+        "year",
+        "name",
+        (F.col("before") + c.next_id(existing.get("problems"))).alias("problem_id"),
+        *[
+            (F.col(f"{column}_before") + c.next_id(existing.get(column))).alias(f"first_{column}")
+            for column in COUNTED
+        ],
     )
+    firsts = materialized(firsts)
+    nested = keyed.drop("year", "name").join(firsts.drop("year", "name"), "seq")
+
+    def numbered(rows: DataFrame, column: str) -> DataFrame:
+        return rows.withColumn("id", F.col(f"first_{column}") + F.col("position"))
 
-    # Texts are never ranged or written to number them: only their keys are.
-    by_name = ["problem_id", "name"]
-    named, contents = c.named_cases(nested), c.grader_files(nested)
-    case_keys = c.assign_ids(named.select(*by_name), by_name, existing.get("test_cases"))
-    file_keys = c.assign_ids(contents.select(*by_name), by_name, existing.get("grader_files"))
-    cases, files = named.join(case_keys, by_name), contents.join(file_keys, by_name)
-    tasks = c.assign_ids(c.sub_tasks(nested), ["problem_id", "position"], existing.get("sub_tasks"))
+    cases = numbered(c.named_cases(nested), "test_cases")
+    files = numbered(c.grader_files(nested), "grader_files")
+    tasks = numbered(c.sub_tasks(nested), "sub_tasks")
+    case_keys = numbered(c.case_names(nested), "test_cases").select("id", "problem_id", "name")
     links = c.assign_ids(
         c.link_sub_tasks(tasks, case_keys),
         ["sub_task_id", "case_position"],
         existing.get("sub_task_test_cases"),
     )
     tables = {
-        "problems": ids.select("id", "year", "name"),
+        "problems": firsts.select(F.col("problem_id").alias("id"), "year", "name"),
         "test_cases": cases.select("id", "problem_id", "name", "input", "output"),
         "sub_tasks": tasks.select("id", "problem_id", "name", "score", "time_limit", "memory_limit"),
         "sub_task_test_cases": links.select("id", "sub_task_id", "test_case_id"),

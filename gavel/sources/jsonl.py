@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from gavel.functions.text import empty_if_null, is_blank, lenient_int
 from gavel.operators.rejects import split_rejects
+from gavel.session import materialized
 
 _CORRUPT = "_corrupt_record"
+# A row of the split table is a path and four numbers, so this is about 200 MB.
+MAX_BROADCAST_SPLITS = 1_000_000
 BLANK, BROKEN = "blank line", "invalid JSON"
 
 
@@ -53,9 +56,10 @@ def text_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 def with_line_numbers(lines: DataFrame) -> DataFrame:
     """Add ``line_no``, the physical 1-based line in its file.
 
-    One extra pass counts the lines of each split. Row ids are contiguous inside a split, so
-    the number is the id's distance from the split's first id plus the lines of earlier splits:
-    no row is shuffled, and one huge file is as parallel as many small ones.
+    One extra pass, run at once, counts the lines of each split. Row ids are contiguous inside
+    a split, so the number is the id's distance from the split's first id plus the lines of
+    earlier splits: one huge file is as parallel as many small ones. The table of splits is
+    broadcast up to ``MAX_BROADCAST_SPLITS``, so that no line is shuffled, and joined beyond.
     """
     part = ["path_rank", "file", "block"]
     counted = (
@@ -73,6 +77,9 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
         "first_row",
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("lines_before"),
     )
+    splits = materialized(splits)
+    if splits.count() <= MAX_BROADCAST_SPLITS:
+        splits = F.broadcast(splits)
     placed = lines.withColumn("_split", F.struct(*[F.col(f"seq.{c}") for c in part]))
     joined = placed.join(splits, "_split", "left")
     number = F.col("seq.row") - F.col("first_row") + F.col("lines_before") + 1

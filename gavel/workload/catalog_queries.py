@@ -45,10 +45,14 @@ def reject_unkeyed(t):
 
 @query("named_cases", f"WITH {i.OLYMPIAD} SELECT seq AS problem_id, name, input, output FROM record_cases")
 def named_cases(t):
-    return c.named_cases(_by_seq(t).drop("name"))
+    return c.named_cases(_by_seq(t).drop("name")).drop("position")
 
 
-@query("grader_files", f"WITH {i.OLYMPIAD} SELECT seq AS problem_id, name, content FROM record_files")
+@query("grader_files", f"""
+WITH {i.OLYMPIAD}
+SELECT seq AS problem_id, CAST(row_number() OVER (PARTITION BY seq ORDER BY name) - 1 AS INTEGER) AS position, name, content
+FROM record_files
+""")
 def grader_files(t):
     return c.grader_files(_by_seq(t).drop("name"))
 

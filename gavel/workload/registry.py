@@ -19,7 +19,10 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        # Kept, so that a query using a table twice lists its files and reads its schema once.
+        table = self.spark.read.parquet(self.path(name))
+        setattr(self, name, table)
+        return table
 
 
 Query = Callable[[SparkSession, str], DataFrame]
