@@ -6,6 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from gavel.operators.joins import salted_join
+
 # Declared keys of the catalogue tables.
 UNIQUE_KEYS = {
     "problems": ["year", "name"],
@@ -35,7 +37,7 @@ def unique_violations(
     if existing is not None:
         seen = seen.unionByName(existing.select(*keys))
     repeated = seen.groupBy(*keys).count().filter("count > 1").select(*keys)
-    return df.join(repeated, keys, "left_semi")
+    return salted_join(df, repeated, keys, "left_semi")
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:

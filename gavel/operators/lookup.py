@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gavel.functions.text import empty_if_null, is_safe_file_name
+from gavel.operators.joins import salted_join
 from gavel.operators.ordering import keep_first
 
 # Accepted column names, first match wins.
@@ -54,18 +55,16 @@ def resolve_problems(requests: DataFrame, problems: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_count"),
         F.sort_array(F.collect_set("year")).alias("_years"),
     )
-    third = (
-        requests.filter(named & (given_year <= 0))
-        .join(by_name, "name", "left")
-        .select(
-            *own,
-            F.when(F.col("_count") == 1, F.col("_id")).alias("resolved_id"),
-            F.when(F.col("_count").isNull(), "problem not found")
-            .when(F.col("_count") > 1, "problem exists in multiple years")
-            .otherwise(OK)
-            .alias("status"),
-            F.when(F.col("_count") > 1, F.col("_years")).alias("years"),
-        )
+    third = salted_join(
+        requests.filter(named & (given_year <= 0)), by_name, ["name"], "left"
+    ).select(
+        *own,
+        F.when(F.col("_count") == 1, F.col("_id")).alias("resolved_id"),
+        F.when(F.col("_count").isNull(), "problem not found")
+        .when(F.col("_count") > 1, "problem exists in multiple years")
+        .otherwise(OK)
+        .alias("status"),
+        F.when(F.col("_count") > 1, F.col("_years")).alias("years"),
     )
 
     neither = requests.filter(~by_id & (given_name == "")).select(

@@ -35,8 +35,9 @@ def keep_first(
 
 
 def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # No partition count is given, so that small ranges are coalesced; what is coalesced is
+    # adjacent, and is sorted and numbered afterwards.
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return materialized(
         ordered.withColumn(_PART, F.spark_partition_id()).withColumn(
             _POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gavel.operators.contest import has_problem_key
+from gavel.operators.joins import salted_join
 from gavel.operators.ordering import keep_first, running_totals
 from gavel.operators.rejects import split_rejects
 
@@ -117,11 +118,11 @@ def packed_cases(latest: DataFrame) -> DataFrame:
 def lookup_cases(requests: DataFrame, latest: DataFrame) -> DataFrame:
     """Answer ``request_id, contest_id, index, case_no`` requests from the latest entries.
 
-    Both joins keep the requests on the left, the side Spark may split when one case is
-    asked for far more often than others.
+    Requests for one popular case are spread in both joins: by salt against the counts, which
+    are grouped by the key, and by Spark's own splitting against the cases.
     """
     counts = latest.select(*KEY, "case_count")
-    answered = requests.join(counts, KEY, "left").join(
+    answered = salted_join(requests, counts, KEY, "left").join(
         packed_cases(latest), [*KEY, "case_no"], "left"
     )
     out_of_range = (F.col("case_no") < 0) | (F.col("case_no") >= F.col("case_count"))
