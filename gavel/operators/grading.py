@@ -228,7 +228,9 @@ def audit_passed(scored: DataFrame) -> DataFrame:
 def apply_solver(cases: DataFrame, solver: Callable[[bytes], bytes]) -> DataFrame:
     """Run a registered, trusted callable over every case ``input``: adds got, time_ms, launch_error.
 
-    There is no sandbox and no limit: use it for checkers and model solutions of one's own.
+    There is no sandbox and no limit: use it for checkers and model solutions of one's own. A
+    worker is sent ``spark.sql.execution.arrow.maxRecordsPerBatch`` inputs at a time; lower that
+    setting where inputs are large.
     """
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in cases.schema.fields]

@@ -170,10 +170,13 @@ def explode_judge_results(jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     lines = F.filter(
         F.split(F.col("judge_result").cast("string"), "\n"), lambda line: ~is_blank(line)
     )
+    # Parsed inside the explode, so that the filters below do not parse each line again; outer,
+    # as an inner one gets a filter of its own.
+    records = F.transform(lines, lambda line: F.from_json(line, JUDGE_RESULT))
     parsed = (
         good.filter("compile_errors IS NULL")
-        .select("job", F.posexplode(lines).alias("position", "line"))
-        .withColumn("r", F.from_json("line", JUDGE_RESULT))
+        .select("job", F.posexplode_outer(records).alias("position", "r"))
+        .filter("position IS NOT NULL")
     )
     broken = F.when(F.col("r._corrupt_record").isNotNull() | F.col("r.name").isNull(), "invalid result line")
     results, bad_lines = split_rejects(parsed, broken)

@@ -103,7 +103,10 @@ def parse_lines(lines: DataFrame, schema: RecordSchema) -> DataFrame:
     fields = schema.struct()
     with_corrupt = T.StructType([*fields.fields, T.StructField(_CORRUPT, T.StringType())])
     parsed = F.from_json("line", with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
-    df = lines.withColumn("_raw", F.when(~is_blank(F.col("line")), parsed))
+    # The one-element explode keeps later filters from being pushed below it, where they would
+    # parse every line again; outer, as an inner one gets a filter of its own.
+    once = F.array(F.when(~is_blank(F.col("line")), parsed))
+    df = lines.select("*", F.explode_outer(once).alias("_raw"))
 
     reason = F.when(F.col("_raw").isNull(), BLANK).when(
         F.col(f"_raw.{_CORRUPT}").isNotNull(), BROKEN

@@ -16,6 +16,9 @@ from gavel.operators.transport import TTL_SECONDS
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = "id string, request_us bigint, response_us bigint, response_seq bigint, outcome string"
+# In place of NULL, which would turn the column, and every large seq in it, into floats.
+NO_DEADLINE = -(2**63)
+COLUMNS = ["id", "request_us", "response_us", "response_seq", "outcome"]
 STATE = "request_us bigint, deadline_us bigint, held_us bigint, held_seq bigint"
 
 WAITING, ARRIVED, UNANSWERED = "waiting", "arrived", "unanswered"
@@ -100,7 +103,7 @@ def match_stream(
     # A response at the very moment of a request counts as waiting, so it sorts first.
     events = requests.select(
         "id", F.col("request_ts").alias("ts"), F.lit(1).alias("is_request"),
-        F.unix_micros(deadline).alias("number"),
+        F.coalesce(F.unix_micros(deadline), F.lit(NO_DEADLINE)).alias("number"),
     ).unionByName(
         responses.select(
             "id", F.col("response_ts").alias("ts"), F.lit(0).alias("is_request"),
@@ -118,24 +121,16 @@ def match_stream(
         else:
             rows = []
             for batch in batches:
-                numbers = batch["number"].astype("Int64")
-                rows.extend(zip(batch["us"].tolist(), batch["is_request"].tolist(), numbers.tolist()))
-            rows = [(us, r, None if n is pd.NA else int(n)) for us, r, n in rows]
-            for us, is_request, number in sorted(rows, key=lambda r: (r[0], r[1], r[2] or 0)):
+                rows.extend(zip(batch["us"].tolist(), batch["is_request"].tolist(), batch["number"].tolist()))
+            for us, is_request, number in sorted(rows):
                 if is_request:
-                    slot.on_request(us, number)
+                    slot.on_request(us, None if number == NO_DEADLINE else number)
                 else:
                     slot.on_response(us, number)
         slot.save(state)
-        yield pd.DataFrame(
-            {
-                name: pd.Series([row[i] for row in slot.out], dtype=kind)
-                for i, (name, kind) in enumerate(
-                    [("id", "object"), ("request_us", "Int64"), ("response_us", "Int64"),
-                     ("response_seq", "Int64"), ("outcome", "object")]
-                )
-            }
-        )
+        if slot.out:
+            # As objects, so that whole numbers next to a None do not become floats.
+            yield pd.DataFrame(slot.out, columns=COLUMNS, dtype="object")
 
     return timed.groupBy("id").applyInPandasWithState(
         step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout

@@ -87,6 +87,12 @@ def test_line_numbers_across_splits_and_paths(spark, tmp_path):
     assert got == [(1, -1), (2, -2), (3, -3)] + [(i, i) for i in range(1, 4001) if i % 3]
 
 
+def test_each_line_is_parsed_once(spark, tmp_path):
+    good, _ = jsonl.read_jsonl(spark, [write(tmp_path, "a.jsonl", LINES)], SCHEMA)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
 def test_write_jsonl_keeps_nulls_and_escapes(spark, rows, tmp_path):
     one = rows("id int, text string, note string", (1, "é", None))
     two = rows("id int, text string", (2, "日本"))
