@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: int | str = 8, partitions: int = 8, memory: str = "8g", checkpoints: str | None = None
+) -> SparkSession:
     """A session for tests and the bench."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -34,6 +35,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     for key, value in SQL_SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -42,13 +45,15 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one inside the warehouse.
+
+    Both are shared by the driver and all executors of a cluster. No machine-local folder is
+    ever used.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="gavel-")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
@@ -59,18 +64,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
-
-    For inputs too small to be split (a file with one row group) but costly per row. A table
-    with at least one split per core, so any large one, is returned as it is: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and go on from there.
 

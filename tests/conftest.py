@@ -10,8 +10,9 @@ from gavel.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, partitions=4, memory="4g")
+def spark(tmp_path_factory):
+    checkpoints = str(tmp_path_factory.mktemp("shared"))
+    return local_session(8, partitions=4, memory="4g", checkpoints=checkpoints)
 
 
 @pytest.fixture
