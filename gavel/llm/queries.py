@@ -5,12 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from gavel.llm.common import table, tuned
+from gavel.llm.common import n_words, table, tuned
 from gavel.llm.exact_dedup import exact_dedup
+from gavel.llm.licences import scan_licences
 from gavel.llm.mixing import mix, taken
 from gavel.llm.near_dedup import near_dedup
 from gavel.llm.packing import pack
+from gavel.llm.pii import find_personal_data, joined_spans
 from gavel.llm.quality import rate_quality, trusted_ids
+from gavel.llm.suffix_dedup import remove_repeats
+from gavel.llm.tool_calls import link_tool_calls
+from gavel.llm.warc import archive_pages
 
 QUERIES, ORACLES = {}, {}
 
@@ -80,3 +85,141 @@ def op7(spark, folder) -> DataFrame:
         "kept",
         F.round("score", 9).alias("score"),
     )
+
+
+@query("op5_personal_data")
+def op5(spark, folder) -> DataFrame:
+    found = find_personal_data(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")],
+        F.sha2(joined_spans(base), 256).alias("base_sha256"),
+        joined_spans(F.col("spans")).alias("spans"),
+    )
+
+
+@query(
+    "op8_warc_archives",
+    """
+    WITH payloads AS (
+        SELECT page_id, coalesce(html, '') AS body FROM pages
+    ), digests AS (
+        SELECT page_id, octet_length(encode(body)) AS payload_bytes, body,
+               max(page_id) OVER (PARTITION BY body) AS response
+        FROM payloads
+    )
+    SELECT page_id, payload_bytes,
+           CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> response THEN response END AS refers_to,
+           (SELECT string_agg(
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                       1 + list_sum(list_transform(range(5), lambda k: CASE
+                           WHEN (instr('0123456789abcdef', sha1(body)[1 + (5 * g + k) // 4]) - 1)
+                                & (8 >> ((5 * g + k) % 4)) > 0 THEN 16 >> k ELSE 0 END))::INT, 1),
+                '' ORDER BY g)
+            FROM range(32) AS t(g)) AS payload_digest
+    FROM digests
+    """,
+)
+def op8(spark, folder) -> DataFrame:
+    read = archive_pages(table(spark, folder, "pages"))
+    return read.select(
+        F.col("source_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("warc_type").alias("record_type"),
+        F.col("refers_to_id").alias("refers_to"),
+    )
+
+
+TOOLS = {
+    "search": {"query": ("string", True), "limit": ("integer", False), "after": ("object", False)},
+    "read": {"query": ("string", True), "after": ("object", True)},
+}
+
+
+def tool_dialogues(conversations: DataFrame) -> DataFrame:
+    """Conversations in which every assistant turn made a tool call, whose result is its text.
+
+    Calls refer to the assistant turn two turns earlier; some have faulty arguments, no result, or
+    two, by the number of words.
+    """
+    words = n_words(F.col("text"))
+    call_id = F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    before = F.concat_ws(
+        "-", F.lit("c"), F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string")
+    )
+    arguments = F.to_json(
+        F.struct(
+            F.col("text").alias("query"),
+            F.when(words % 13 == 0, words.cast("string")).alias("limit"),
+            F.when(F.col("turn") > 2, F.struct(before.alias("$ref"))).alias("after"),
+        )
+    )
+    named = F.struct(
+        call_id.alias("id"),
+        F.when(words % 2 == 0, F.lit("search")).otherwise(F.lit("read")).alias("name"),
+        arguments.alias("arguments"),
+    )
+    none = F.lit(None).cast("string")
+    assistant = F.col("role") == "assistant"
+    spoken = conversations.select(
+        "conv_id",
+        "turn",
+        "role",
+        "text",
+        F.when(assistant, F.array(named)).alias("calls"),
+        none.alias("call_id"),
+    )
+    times = F.when(words % 5 == 0, 0).when(words % 7 == 0, 2).otherwise(1)
+    returned = (
+        conversations.filter(assistant)
+        .withColumn("_times", F.explode(F.array_repeat(F.lit(1), times)))
+        .select(
+            "conv_id",
+            "turn",
+            F.lit("tool").alias("role"),
+            "text",
+            F.lit(None).cast(spoken.schema["calls"].dataType).alias("calls"),
+            call_id.alias("call_id"),
+        )
+    )
+    return spoken.unionAll(returned)
+
+
+@query("op10_tool_call_linking")
+def op10(spark, folder) -> DataFrame:
+    events = link_tool_calls(tool_dialogues(table(spark, folder, "conversations")), TOOLS)
+    return events.withColumn("errors", F.array_join("errors", "; "))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark, folder) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("starts").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op9_licence_scan")
+def op9(spark, folder) -> DataFrame:
+    found = scan_licences(table(spark, folder, "documents"))
+    listed = F.transform(
+        "found",
+        lambda x: F.concat_ws(
+            ":", x["family"], x["paragraph"].cast("string"), x["start"].cast("string")
+        ),
+    )
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("bigint").alias("n_licences"),
+        F.array_join(listed, ",").alias("licences"),
+        F.array_min(F.transform("found", lambda x: x["probability"])).alias("least_probability"),
+    )
