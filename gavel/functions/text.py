@@ -20,6 +20,11 @@ WHITE_SPACE = (
 
 INTEGER_TOLERANCE = 1e-9
 
+#: The JSON parser's own limits, lifted: without them a text over 20 million characters is refused.
+JSON_LIMITS = {
+    name: str((1 << 31) - 1) for name in ("maxStringLen", "maxNumLen", "maxNestingDepth")
+}
+
 
 def null_if_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))

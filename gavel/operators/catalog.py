@@ -33,7 +33,7 @@ def unify_layout(records: DataFrame) -> DataFrame:
     return records.select(
         *[c for c in records.columns if c not in taken],
         F.when(use_top, top_id).otherwise(nested_id).alias("name"),
-        F.coalesce(scalar("year"), F.lit(0)).cast("int").alias("year"),
+        F.coalesce(scalar("year"), F.lit(0)).try_cast("int").alias("year"),
         scalar("sample_solution").alias("sample_solution"),
         collection("sub_tasks").alias("sub_tasks"),
         collection("test_cases").alias("test_cases"),
@@ -49,6 +49,23 @@ def reject_unkeyed(problems: DataFrame, on_error: str = "split") -> tuple[DataFr
     )
 
 
+def reject_sub_tasks(problems: DataFrame, on_error: str = "split") -> tuple[DataFrame, DataFrame]:
+    """``(problems, rejects)`` by their sub-tasks: names unique in the problem, scores that fit.
+
+    Arrays within the row decide, so nothing is shuffled.
+    """
+    names = F.transform("sub_tasks", lambda task: empty_if_null(task["name"]))
+    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    large = F.exists(
+        "sub_tasks",
+        lambda task: task["score"].isNotNull() & task["score"].try_cast("int").isNull(),
+    )
+    reason = F.when(F.coalesce(repeated, F.lit(False)), "repeated sub-task name").when(
+        F.coalesce(large, F.lit(False)), "sub-task score out of range"
+    )
+    return split_rejects(problems, reason, on_error)
+
+
 def _by_name(entries: str) -> Column:
     """Entries of a map with their place in the order of names."""
     return F.posexplode(F.array_sort(F.map_entries(entries))).alias("position", "entry")
@@ -100,7 +117,7 @@ def sub_tasks(problems: DataFrame) -> DataFrame:
         *_offsets(problems),
         "position",
         empty_if_null(F.col("task.name")).alias("name"),
-        F.coalesce("task.score", F.lit(0)).cast("int").alias("score"),
+        F.coalesce("task.score", F.lit(0)).try_cast("int").alias("score"),
         float32(F.coalesce("task.limit.time_limit", F.lit(0.0))).alias("time_limit"),
         float32(F.coalesce("task.limit.memory_limit", F.lit(0.0))).alias("memory_limit"),
         F.col("task.test_case_names").alias("test_case_names"),

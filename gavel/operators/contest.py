@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.functions.hashing import fnv1a64
 from gavel.functions.text import null_if_empty
-from gavel.operators.ordering import keep_first
+from gavel.operators.ordering import keep_first, keep_last_wide
 
 # Record field -> catalogue column.
 TEXT_FIELDS = {
@@ -111,7 +111,7 @@ def upsert_problems(catalog: DataFrame, incoming: DataFrame, seq: str = "seq") -
     The last incoming row of a key replaces every non-key column, NULLs included, and the
     old id stays. Presence decides, not whether a value is NULL.
     """
-    latest = keep_first(incoming, PROBLEM_KEY, [seq], last=True)
+    latest = keep_last_wide(incoming, PROBLEM_KEY, [seq])
     values = [c for c in catalog.columns if c not in ("id", *PROBLEM_KEY)]
     new = latest.select(
         *PROBLEM_KEY, F.struct(*values).alias("new"), F.lit(True).alias("is_new")
@@ -133,7 +133,7 @@ def replace_cases(cases: DataFrame, records: DataFrame, seq: str = "seq") -> Dat
     still clears the old ones.
     """
     keyed = records.filter(has_problem_key(F.col("contestId"), F.col("index")))
-    latest = keep_first(keyed, ["contestId", "index"], [seq], last=True)
+    latest = keep_last_wide(keyed, ["contestId", "index"], [seq])
     touched = keyed.select("contestId", "index").distinct().select(
         problem_id(F.col("contestId"), F.col("index")).alias("problem_id")
     )

@@ -141,14 +141,47 @@ def case_scores(runs: DataFrame) -> DataFrame:
     )
 
 
-def sub_task_scores(cases: DataFrame, scores: DataFrame) -> DataFrame:
+def one_result_per_task(scores: DataFrame, order_by: str | None = None) -> DataFrame:
+    """Task key and score: the last result by ``order_by``, or the lowest where no order is given."""
+    last = F.max_by("score", order_by) if order_by else F.min("score")
+    return scores.groupBy(*TASK_KEY).agg(last.alias("score"))
+
+
+def submission_verdicts(
+    jobs: DataFrame, results: DataFrame, compile_errors: DataFrame, rejects: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """``(verdicts, rejects)`` of whole jobs, from what ``explode_judge_results`` made of them.
+
+    A job with any line that cannot be judged has no verdict, whatever its other lines say;
+    its reason is that of its first such line.
+    """
+    judged, unknown = case_verdict(results)
+    lines = rejects.select("job", "position", "reason").unionByName(
+        unknown.select("job", "position", "reason")
+    )
+    refused = lines.groupBy("job").agg(F.min(F.struct("position", "reason"))["reason"].alias("reason"))
+    kept = jobs.join(refused.select("job"), "job", "left_anti")
+    return submission_verdict(kept, judged, compile_errors), refused
+
+
+def sub_task_scores(
+    cases: DataFrame, scores: DataFrame, order_by: str | None = None
+) -> DataFrame:
     """Mean case score times the points of each sub-task.
 
     ``cases`` comes from ``sub_task_cases``; ``scores`` has the task key and ``score``. Of
-    sub-tasks with one name the last counts. A sub-task with a case that was never run has no
+    sub-tasks with one name the last counts, and of results for one task the last by ``order_by``.
+    A sub-task with a case that was never run has no
     score but a reason. Sub-tasks without cases have no row here; see ``empty_sub_tasks``.
     """
-    joined = cases.join(scores.select(*TASK_KEY, "score"), TASK_KEY, "left")
+    single = one_result_per_task(scores, order_by).withColumnsRenamed(
+        {key: f"_{key}" for key in TASK_KEY}
+    )
+    # A limit that is not set is the same task as another that is not set.
+    same = F.lit(True)
+    for key in TASK_KEY:
+        same = same & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    joined = cases.join(single, same, "left")
     summed = joined.groupBy("problem_id", "sub_task", "sub_task_position").agg(
         F.max("points").alias("points"),
         F.count(F.lit(1)).alias("n_cases"),

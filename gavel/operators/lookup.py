@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.functions.text import empty_if_null, is_safe_file_name
 from gavel.operators.joins import salted_join
-from gavel.operators.ordering import keep_first
+from gavel.operators.ordering import keep_last_wide
 
 # Accepted column names, first match wins.
 NAME_COLUMNS = ["name", "filename", "file_name"]
@@ -91,13 +91,21 @@ def fetch_cases(resolved: DataFrame, cases: DataFrame) -> DataFrame:
         .when(F.col("_found").isNull(), "test case not found")
         .otherwise(OK)
     )
+    able = (F.col("status") == OK) & (empty_if_null(F.col("test_case")) != "")
     return (
-        resolved.join(known, ["resolved_id", "test_case"], "left")
+        _join_where(resolved, able, known, ["resolved_id", "test_case"])
         .withColumn("status", status)
         .drop("_found", "years")
     )
 
 
+def _join_where(requests: DataFrame, able: Column, known: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of the requests that can have an answer; the others never meet on a NULL key."""
+    able = F.coalesce(able, F.lit(False))
+    joined = requests.filter(able).join(known, on, "left")
+    return joined.unionByName(requests.filter(~able), allowMissingColumns=True)
+
+
 def adapt_file_columns(files: DataFrame | None) -> DataFrame:
     """Rename whichever name and content columns a file table has to ``name`` and ``content``."""
     if files is None or not files.columns:
@@ -120,7 +128,7 @@ def fetch_files(resolved: DataFrame, files: DataFrame) -> DataFrame:
     A request without files gets one row saying so; a file with an unsafe name has its
     content withheld.
     """
-    latest = keep_first(files, ["problem_id", "name"], ["id"], last=True).select(
+    latest = keep_last_wide(files, ["problem_id", "name"], ["id"]).select(
         F.col("problem_id").alias("resolved_id"), F.col("name").alias("file_name"), "content"
     )
     unsafe = F.col("file_name").isNotNull() & ~is_safe_file_name(F.col("file_name"))
@@ -131,7 +139,7 @@ def fetch_files(resolved: DataFrame, files: DataFrame) -> DataFrame:
         .otherwise(OK)
     )
     return (
-        resolved.join(latest, "resolved_id", "left")
+        _join_where(resolved, F.col("status") == OK, latest, ["resolved_id"])
         .withColumn("content", F.when(~unsafe, F.col("content")))
         .withColumn("status", status)
         .drop("years")

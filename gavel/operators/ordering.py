@@ -23,17 +23,32 @@ def keep_first(
 
     The ``= 1`` on the row number lets Spark cut every key to one row inside each map
     task (WindowGroupLimit) before the shuffle, so a hot key sends one row per task. Where
-    many wide rows share a key, ``salts`` first reduces each key in that many pieces, so that
-    not even those go to one task.
+    many wide rows share a key, ``salts`` first reduces each key in that many pieces, dealt by
+    map task, so that a task still sends one row and a reducer gets one in ``salts`` of them.
     """
     if salts:
-        pieces = df.withColumn("_salt", F.pmod(F.xxhash64(*order_by), F.lit(salts)))
+        pieces = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         df = keep_first(pieces, [*keys, "_salt"], order_by, last).drop("_salt")
     order = [F.col(c).desc() if last else F.col(c).asc() for c in order_by]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def keep_last_wide(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per key, the last by ``order_by`` (a total order), for rows with texts.
+
+    The last place of each key is an aggregate over narrow columns; the rows themselves only
+    take part in a semi-join by key and place, which no hot key fills.
+    """
+    place = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
+    chosen = df.groupBy(*keys).agg(F.max(place).alias("_place"))
+    chosen = chosen.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = place == F.col("_place")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))
+    return df.join(chosen, same, "left_semi")
+
+
 def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
     # No partition count is given, so that small ranges are coalesced; what is coalesced is
     # adjacent, and is sorted and numbered afterwards.

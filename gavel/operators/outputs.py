@@ -7,7 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from gavel.functions.text import is_blank, python_int, strip
+from gavel.functions.text import JSON_LIMITS, is_blank, python_int, strip
 from gavel.functions.verdicts import UNKNOWN_STATUS, run_status_name
 from gavel.operators.rejects import split_rejects
 
@@ -172,7 +172,7 @@ def explode_judge_results(jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     )
     # Parsed inside the explode, so that the filters below do not parse each line again; outer,
     # as an inner one gets a filter of its own.
-    records = F.transform(lines, lambda line: F.from_json(line, JUDGE_RESULT))
+    records = F.transform(lines, lambda line: F.from_json(line, JUDGE_RESULT, JSON_LIMITS))
     parsed = (
         good.filter("compile_errors IS NULL")
         .select("job", F.posexplode_outer(records).alias("position", "r"))

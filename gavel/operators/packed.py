@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gavel.operators.contest import has_problem_key
 from gavel.operators.joins import salted_join
-from gavel.operators.ordering import keep_first, running_totals
+from gavel.operators.ordering import keep_last_wide, running_totals
 from gavel.operators.rejects import split_rejects
 
 MAX_INDEX_BYTES = 255
@@ -50,7 +50,7 @@ def case_index(entries: DataFrame) -> DataFrame:
 
 def latest_problem_entry(entries: DataFrame) -> DataFrame:
     """The entry that counts when a problem was written more than once: the last."""
-    return keep_first(entries, KEY, ["seq"], last=True)
+    return keep_last_wide(entries, KEY, ["seq"])
 
 
 def store_summary(index: DataFrame, entries: DataFrame) -> DataFrame:

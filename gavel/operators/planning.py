@@ -210,10 +210,15 @@ def batch_requests(requests: DataFrame, order_by: list[str], size: int = BATCH_S
     """Cut requests, in the total order ``order_by``, into batches numbered from 0.
 
     Adds ``batch`` and ``batch_pos``. The delay part of batching is a stream's trigger interval.
+    Only the keys are ranged and numbered; the requests, binaries included, join in by them.
     """
-    numbered = row_numbers(requests, order_by, "_number", start=0)
-    return (
-        numbered.withColumn("batch", F.floor(F.col("_number") / size))
-        .withColumn("batch_pos", F.col("_number") % size)
-        .drop("_number")
+    numbered = row_numbers(requests.select(*order_by), order_by, "_number", start=0)
+    numbered = numbered.withColumnsRenamed({c: f"_key_{c}" for c in order_by})
+    same = F.lit(True)
+    for c in order_by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return requests.join(numbered, same).select(
+        *requests.columns,
+        F.floor(F.col("_number") / size).alias("batch"),
+        (F.col("_number") % size).alias("batch_pos"),
     )

@@ -175,36 +175,48 @@ def demux_results(requests: DataFrame, results: DataFrame) -> DataFrame:
     Requests: ``batch``, ``id`` (integer). Results: ``batch``, ``id`` (text), ``error``,
     ``result``, ``seq``. Further copies of an answered id are reported, not used.
     """
-    number = python_int(F.col("id"))
-    read = results.withColumn("raw_id", F.col("id")).withColumn("id", number)
-    unreadable = F.col("id").isNull()
-    bad = read.filter(unreadable).select(
+    # Everything is decided on (batch, id, seq); the payloads join in once, by their unique seq.
+    raw = empty_if_null(F.col("id"))
+    read = results.select("batch", python_int(F.col("id")).alias("id"), "seq", raw.alias("raw"))
+    usable = read.filter("id IS NOT NULL")
+    first = usable.groupBy("batch", "id").agg(F.min("seq").alias("seq"))
+    copies = usable.join(first.select("seq"), "seq", "left_anti").select(
+        "batch", "id", "seq", F.lit("duplicate result").alias("status")
+    )
+    bad = read.filter("id IS NULL").select(
         "batch",
-        F.lit(None).cast("bigint").alias("id"),
+        "id",
         "seq",
-        F.when(empty_if_null(F.col("raw_id")) == "", "missing id")
-        .otherwise("invalid request id")
-        .alias("status"),
-        "error",
-        F.lit(None).cast(results.schema["result"].dataType).alias("result"),
-    )
-    usable = read.filter(~unreadable).drop("raw_id")
-    first = keep_first(usable, ["batch", "id"], ["seq"])
-    copies = usable.join(first.select("seq"), "seq", "left_anti").select(
-        "batch", "id", "seq", F.lit("duplicate result").alias("status"), "error", "result"
+        F.when(F.col("raw") == "", "missing id").otherwise("invalid request id").alias("status"),
     )
     asked = requests.select("batch", F.col("id").cast("bigint").alias("id"), F.lit(True).alias("asked"))
+    met = asked.join(first, ["batch", "id"], "full_outer").select(
+        "batch", "id", "seq", F.when(F.col("asked").isNull(), "unknown request id").alias("status")
+    )
+    # Requests without a result have no payload to look for, and never meet on its NULL.
+    returned = met.filter("seq IS NOT NULL").unionByName(copies).unionByName(bad)
     status = (
-        F.when(F.col("asked").isNull(), "unknown request id")
-        .when(F.col("seq").isNull(), "no result")
+        F.when(F.col("status").isNotNull(), F.col("status"))
         .when(F.col("error").isNotNull(), "error")
         .when(F.col("result").isNull(), "empty response")
         .otherwise("ok")
     )
-    matched = asked.join(first, ["batch", "id"], "full_outer").select(
-        "batch", "id", "seq", status.alias("status"), "error", "result"
+    paid = returned.join(results.select("seq", "error", "result"), "seq").select(
+        "batch",
+        "id",
+        "seq",
+        status.alias("status"),
+        "error",
+        F.when(F.col("id").isNotNull(), F.col("result")).alias("result"),
+    )
+    silent = met.filter("seq IS NULL").select(
+        "batch",
+        "id",
+        "seq",
+        F.lit("no result").alias("status"),
+        *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in ("error", "result")],
     )
-    return matched.unionByName(copies).unionByName(bad)
+    return paid.unionByName(silent)
 
 
 def batch_count_mismatches(requests: DataFrame, results: DataFrame) -> DataFrame:

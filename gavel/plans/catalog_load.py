@@ -32,12 +32,13 @@ def load_catalog(
 ) -> LoadedCatalog:
     """Flatten records (with a unique ``seq``) and number every table after the existing rows.
 
-    Records without id or year, records that repeat a (year, name), and references to unknown
-    cases are returned as rejects. Cases and files are numbered by name within their problem,
+    Records without id or year, with two sub-tasks of one name or a score out of range, records
+    that repeat a (year, name), and references to unknown cases are returned as rejects. Cases and files are numbered by name within their problem,
     because the key order of a JSON object means nothing.
     """
     existing = existing or {}
     keyed, unkeyed = c.reject_unkeyed(c.unify_layout(records))
+    keyed, bad_sub_tasks = c.reject_sub_tasks(keyed)
     # Every table below reads other columns of the records: parse them once, into columns.
     keyed = materialized(keyed)
 
@@ -86,6 +87,7 @@ def load_catalog(
     }
     rejects = {
         "unkeyed": unkeyed,
+        "sub_tasks": bad_sub_tasks,
         "repeated": repeated,
         "missing_case_refs": c.missing_case_refs(tasks, case_keys),
     }

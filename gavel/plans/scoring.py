@@ -9,23 +9,40 @@ from gavel.operators.outputs import parse_run_results
 
 
 def score_problems(
-    problems: DataFrame, sub_tasks: DataFrame, runs: DataFrame
+    problems: DataFrame,
+    sub_tasks: DataFrame,
+    runs: DataFrame,
+    outcomes: DataFrame | None = None,
+    order_by: str | None = None,
 ) -> dict[str, DataFrame]:
     """Grade executed tasks and roll them up to sub-tasks and problems.
 
     ``runs`` has the task key, ``run_result``, ``job_exit_code``, ``stdout`` and ``stderr``; a
-    run whose result cannot be read leaves its case without a result.
+    run whose result cannot be read leaves its case without a result. With ``outcomes`` of the
+    compile jobs, a problem that did not compile scores 0 and has the compiler's ``detail``.
     """
     cases = planning.sub_task_cases(sub_tasks)
     parsed, unreadable = parse_run_results(runs)
     scores = grading.case_scores(parsed)
-    per_task = grading.sub_task_scores(cases, scores)
+    per_task = grading.sub_task_scores(cases, scores, order_by)
     empty = grading.empty_sub_tasks(sub_tasks)
+    totals = grading.problem_scores(problems, per_task, empty)
+    if outcomes is not None:
+        failed = compile_failures(problems, outcomes).select(
+            "problem_id", F.lit(True).alias("_failed"), "detail"
+        )
+        none = F.lit(None).cast("string")
+        totals = (
+            totals.join(failed, "problem_id", "left")
+            .withColumn("score", F.when(F.col("_failed"), 0.0).otherwise(F.col("score")))
+            .withColumn("reason", F.when(F.col("_failed"), none).otherwise(F.col("reason")))
+            .drop("_failed")
+        )
     return {
         "tasks": planning.judge_tasks(cases),
         "case_scores": scores,
         "sub_task_scores": per_task,
-        "problem_scores": grading.problem_scores(problems, per_task, empty),
+        "problem_scores": totals,
         "rejects": unreadable,
     }
 

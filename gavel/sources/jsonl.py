@@ -8,13 +8,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from gavel.functions.text import empty_if_null, is_blank, lenient_int
+from gavel.functions.text import JSON_LIMITS, empty_if_null, is_blank, lenient_int
 from gavel.operators.rejects import split_rejects
 from gavel.session import materialized
 
 _CORRUPT = "_corrupt_record"
-# A row of the split table is a path and four numbers, so this is about 200 MB.
-MAX_BROADCAST_SPLITS = 1_000_000
 BLANK, BROKEN = "blank line", "invalid JSON"
 
 
@@ -59,7 +57,7 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
     One extra pass, run at once, counts the lines of each split. Row ids are contiguous inside
     a split, so the number is the id's distance from the split's first id plus the lines of
     earlier splits: one huge file is as parallel as many small ones. The table of splits is
-    broadcast up to ``MAX_BROADCAST_SPLITS``, so that no line is shuffled, and joined beyond.
+    written, so Spark knows its size and decides how to join it.
     """
     part = ["path_rank", "file", "block"]
     counted = (
@@ -78,8 +76,6 @@ def with_line_numbers(lines: DataFrame) -> DataFrame:
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("lines_before"),
     )
     splits = materialized(splits)
-    if splits.count() <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
     placed = lines.withColumn("_split", F.struct(*[F.col(f"seq.{c}") for c in part]))
     joined = placed.join(splits, "_split", "left")
     number = F.col("seq.row") - F.col("first_row") + F.col("lines_before") + 1
@@ -102,7 +98,7 @@ def parse_lines(lines: DataFrame, schema: RecordSchema) -> DataFrame:
     """Parse a ``line`` column into ``record`` and ``reason``; works on streams too."""
     fields = schema.struct()
     with_corrupt = T.StructType([*fields.fields, T.StructField(_CORRUPT, T.StringType())])
-    parsed = F.from_json("line", with_corrupt, {"columnNameOfCorruptRecord": _CORRUPT})
+    parsed = F.from_json("line", with_corrupt, {**JSON_LIMITS, "columnNameOfCorruptRecord": _CORRUPT})
     # The one-element explode keeps later filters from being pushed below it, where they would
     # parse every line again; outer, as an inner one gets a filter of its own.
     once = F.array(F.when(~is_blank(F.col("line")), parsed))

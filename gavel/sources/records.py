@@ -53,7 +53,7 @@ def read_prepared(
 
 def _whole_scores(tasks: Column) -> Column:
     return F.transform(
-        tasks, lambda task: task.withField("score", lenient_int(task["score"]).cast("int"))
+        tasks, lambda task: task.withField("score", lenient_int(task["score"]).try_cast("int"))
     )
 
 
@@ -64,8 +64,11 @@ def read_olympiad(
     scanned = scan_jsonl(spark, paths, OLYMPIAD, line_numbers)
     bad_year, bad_score = F.lit(False), F.lit(False)
     for level in ("record", "record.metadata"):
-        bad_year = bad_year | lenient_int(F.col(f"{level}.year")).isNull()
-        wrong = F.exists(f"{level}.sub_tasks", lambda task: lenient_int(task["score"]).isNull())
+        # Whole numbers beyond 32 bits are rejected too, instead of failing the load.
+        bad_year = bad_year | lenient_int(F.col(f"{level}.year")).try_cast("int").isNull()
+        wrong = F.exists(
+            f"{level}.sub_tasks", lambda task: lenient_int(task["score"]).try_cast("int").isNull()
+        )
         bad_score = bad_score | F.coalesce(wrong, F.lit(False))
     reason = F.coalesce(
         F.col("reason"),

@@ -371,13 +371,28 @@ first_bad AS (SELECT job, arg_min(verdict, position) AS verdict FROM verdicts WH
 SELECT j.job, CASE WHEN j.bad_compile THEN 'Compilation Error' ELSE coalesce(f.verdict, 'Accepted') END AS verdict
 FROM jobs j LEFT JOIN first_bad f ON j.job = f.job
 WHERE NOT j.failed AND (j.bad_compile OR j.has_result)
+  AND NOT EXISTS (SELECT 1 FROM verdicts v WHERE v.job = j.job AND v.verdict IS NULL)
 """)
 def submission_verdict(t):
+    return _judged(t)[0]
+
+
+def _judged(t):
     jobs = i.judge_jobs(t)
-    results, errors, rejects = outputs.explode_judge_results(jobs)
-    judged, _ = grading.case_verdict(results)
-    kept = jobs.join(rejects.select("job"), "job", "left_anti")
-    return grading.submission_verdict(kept, judged, errors)
+    return grading.submission_verdicts(jobs, *outputs.explode_judge_results(jobs))
+
+
+@query("submission_verdict_rejects", f"""
+WITH {i.JUDGE_JOBS},
+odd AS (SELECT job, arg_min(status, position) AS status FROM verdicts WHERE verdict IS NULL GROUP BY job)
+SELECT j.job, CASE WHEN j.failed THEN 'execution failed'
+    WHEN NOT j.bad_compile AND NOT j.has_result THEN 'judge result file not found'
+    ELSE 'unknown status: ' || o.status END AS reason
+FROM jobs j LEFT JOIN odd o ON j.job = o.job
+WHERE j.failed OR (NOT j.bad_compile AND NOT j.has_result) OR o.job IS NOT NULL
+""")
+def submission_verdict_rejects(t):
+    return _judged(t)[1]
 
 
 @query("case_scores", f"""

@@ -151,10 +151,9 @@ GOLDEN = b"""{"name":"test1","error":"exit code 1","details":{"time_ms":0,"memor
 def verdicts_of(rows, *jobs):
     df = rows("job int, exit_code int, compile_errors binary, judge_result binary", *jobs)
     results, errors, rejects = outputs.explode_judge_results(df)
-    judged, odd = grading.case_verdict(results)
-    kept = df.join(rejects.select("job"), "job", "left_anti")
-    verdicts = {r.job: r.verdict for r in grading.submission_verdict(kept, judged, errors).collect()}
-    return verdicts, {r.job: r.reason for r in rejects.collect()}, odd
+    verdicts, refused = grading.submission_verdicts(df, results, errors, rejects)
+    odd = grading.case_verdict(results)[1]
+    return {r.job: r.verdict for r in verdicts.collect()}, {r.job: r.reason for r in refused.collect()}, odd
 
 
 def test_golden_payload_is_a_system_error(rows):
@@ -182,13 +181,17 @@ def test_submission_verdicts(rows):
         (10, 0, None, None),
         (11, 0, None, b"{broken"),
         (12, 0, None, failed("Strange")),
+        (13, 0, None, failed("Time Limit Exceeded") + b"\n" + failed("Strange") + b"\n" + failed("Odd")),
     )
     assert verdicts == {
         1: "Compilation Error", 2: "Accepted", 3: "Time Limit Exceeded", 4: "Memory Limit Exceeded", 5: "Runtime Error",
-        6: "Wrong Answer", 7: "System Error", 8: "Accepted", 12: "Accepted",
+        6: "Wrong Answer", 7: "System Error", 8: "Accepted",
     }
-    assert rejects == {9: "execution failed", 10: "judge result file not found", 11: "invalid result line"}
-    assert [r.job for r in odd.collect()] == [12]
+    assert rejects == {
+        9: "execution failed", 10: "judge result file not found", 11: "invalid result line",
+        12: "unknown status: Strange", 13: "unknown status: Strange",
+    }
+    assert sorted(r.job for r in odd.collect()) == [12, 13, 13]
 
 
 def test_compile_outcomes(rows):
