@@ -7,16 +7,17 @@ for), and its documents go down one branch per chosen function, named by their m
 sets meet in a branch with the probability of their similarity, sets with nothing in common hardly
 ever, so nodes shrink to groups of alike documents.
 
-* A small node is compared exhaustively by sketches. A spanning forest of its likely pairs is
-  handed on for confirmation, the likeliest first.
-* A large node hands on the likely pairs of each member with one member drawn by hash, and branches
-  again. No group is ever expanded into all of its pairs.
-* Pairs are confirmed on the full sets. Documents linked so far form components; then every node
-  that still spans several components hands on its likely pairs across them, in small nodes and
-  in what is left large at the last depth, until no untried pair is left.
-
-A pair that reaches the similarity is missed when it is apart in all trees at the root:
-``(1 - s) ** ROOTS``, about 1e-9 at s = 0.8, or when its sketches differ by five standard
+1. *Roots.* A small node is compared exhaustively by sketches and hands on a spanning forest of
+   its likely pairs, the likeliest first; a large one hands on the likely pairs of its members with
+   one of them. These are confirmed on the full sets, and the confirmed links form components.
+2. *Branches.* From then on only nodes that span several components matter, and only pairs across
+   them. A large one branches again; a small one is compared exhaustively, and so is what is left
+   large at the last depth, in pairs of blocks. These pairs are confirmed too.
+
+No group is ever expanded into all of its pairs: those within a component are settled by step 1.
+
+A pair that reaches the similarity is missed when it is apart in all trees (at the root:
+``(1 - s) ** ROOTS``, about 1e-9 at s = 0.8), or when its sketches differ by four standard
 deviations; copies and chains of links make up for it. Equal sets count as one throughout.
 """
 
@@ -32,11 +33,13 @@ from gavel.llm.common import regrouped, shuffle_tasks, stored
 from gavel.llm.components import components
 from gavel.llm.textkit import CHUNK_BYTES, binary_parts, mix, shingles, words
 
-SKETCH = 64
+SKETCH = 128
 #: Branches at the roots of all trees together: ten trees with 1.25 chosen functions each.
 ROOTS = 13
-NODE_LIMIT = 48
+NODE_LIMIT = 64
 MAX_DEPTH = 6
+#: Members of a block, where a node is still large at the last depth.
+BLOCK = 1024
 #: Second branches of a node, in per cent of nodes.
 SECOND = 25
 SHINGLE_WORDS = 5
@@ -61,7 +64,7 @@ def _sets(table: pa.Table, width: int) -> Iterator[tuple[slice, list[np.ndarray]
         at = until
 
 
-_SIGNED = "row_id long, doc_id long, tie long, n_shingles long, set_a long, set_b long, sketch array<int>"
+_SIGNED = "row_id long, doc_id long, tie long, n_shingles long, set_a long, set_b long, sketch array<smallint>"
 
 
 def _signer(width: int):
@@ -73,14 +76,14 @@ def _signer(width: int):
             for _, sets in _sets(table, width):
                 lengths = np.array([len(s) for s in sets])
                 full = np.flatnonzero(lengths)
-                sketch = np.zeros((len(sets), SKETCH), np.int32)
+                sketch = np.zeros((len(sets), SKETCH), np.int16)
                 sums = np.zeros((2, len(sets)), np.uint64)
                 if len(full):
                     every = np.concatenate([sets[i] for i in full])
                     begin = (np.cumsum(lengths[full]) - lengths[full]).astype(np.int64)
                     for i in range(SKETCH):
                         least = np.minimum.reduceat((every ^ salts[i]) * (salts[i] | 1), begin)
-                        sketch[full, i] = (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                        sketch[full, i] = (least >> np.uint64(48)).astype(np.uint16).view(np.int16)
                     for i in range(2):
                         sums[i, full] = np.add.reduceat(mix(every + salts[i]), begin)
                 sizes.append(lengths)
@@ -111,45 +114,56 @@ def _signer(width: int):
 def _likely(similarity: int) -> float:
     """Share of equal minwise tokens under which a pair is not worth confirming."""
     s = similarity / 100
-    return s - 5 * (s * (1 - s) / SKETCH) ** 0.5
+    return s - 4 * (s * (1 - s) / SKETCH) ** 0.5
 
 
-def _compare_small(least: float, across: bool):
-    """Rows (node, rep, sketch[, label]) in node order to likely pairs (x, y).
+def _compare(least: float, similarity: int, across: bool):
+    """Rows (node, rep, size, sketch[, label, side]) in node order to likely pairs (x, y).
 
     Without ``across``, a spanning forest of the likely pairs of each node, the likeliest first;
-    with it, all likely pairs of members with different labels.
+    with it, all likely pairs of members with different labels; in a pair of blocks (side 0 and 1),
+    those between the blocks.
     """
 
-    def one(reps: np.ndarray, sketch: np.ndarray, labels: np.ndarray | None) -> list[tuple]:
-        m = len(reps)
-        if m < 2:
+    def likely(sketch: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(i, later members that may be similar to it, share of equal tokens)."""
+        for i in range(len(size) - 1):
+            small = np.minimum(size[i + 1 :], size[i]) * 100
+            near = np.flatnonzero(small >= np.maximum(size[i + 1 :], size[i]) * similarity)
+            near += i + 1
+            alike = (sketch[near] == sketch[i]).mean(axis=1)
+            good = alike >= least
+            yield i, near[good], alike[good]
+
+    def forest(reps: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> list[tuple]:
+        found = [
+            (-share, min(reps[i], reps[j]), max(reps[i], reps[j]), i, j)
+            for i, js, shares in likely(sketch, size)
+            for j, share in zip(js.tolist(), shares.tolist())
+        ]
+        root = list(range(len(reps)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        chosen = []
+        for _, x, y, i, j in sorted(found):
+            u, v = find(i), find(j)
+            if u != v:
+                root[u] = v
+                chosen.append((int(x), int(y)))
+        return chosen
+
+    def between(reps, sketch, size, labels, sides) -> list[tuple]:
+        if (labels == labels[0]).all():
             return []
-        upper = np.triu_indices(m, 1)
-        alike = (sketch[upper[0]] == sketch[upper[1]]).mean(axis=1)
-        good = alike >= least
-        if labels is not None:
-            good &= labels[upper[0]] != labels[upper[1]]
-        a, b = upper[0][good], upper[1][good]
-        if labels is None and m > 2:
-            order = np.lexsort((reps[b], reps[a], -alike[good]))
-            root = list(range(m))
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = i = root[root[i]]
-                return i
-
-            chosen = []
-            for i, j in zip(a[order].tolist(), b[order].tolist()):
-                u, v = find(i), find(j)
-                if u != v:
-                    root[u] = v
-                    chosen.append((i, j))
-            if not chosen:
-                return []
-            a, b = (np.array(c) for c in zip(*chosen))
-        return list(zip(reps[a].tolist(), reps[b].tolist()))
+        pairs = []
+        for i, js, _ in likely(sketch, size):
+            js = js[(labels[js] != labels[i]) & ((sides[js] != sides[i]) | (sides[i] < 0))]
+            pairs += [(int(min(reps[i], y)), int(max(reps[i], y))) for y in reps[js]]
+        return pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -157,15 +171,16 @@ def _compare_small(least: float, across: bool):
         def pairs(table: pa.Table) -> pa.RecordBatch:
             nodes = table.column("node").to_numpy()
             reps = table.column("rep").to_numpy()
+            size = table.column("size").to_numpy()
             flat = table.column("sketch").combine_chunks()
             sketch = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
-            labels = table.column("label").to_numpy() if across else None
+            more = [table.column(c).to_numpy() for c in ("label", "side")] if across else []
             cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
-            out: list[tuple] = []
+            out: dict[tuple, None] = {}
             for i, j in zip(cuts, cuts[1:]):
-                own = None if labels is None else labels[i:j]
-                out += one(reps[i:j], sketch[i:j], own)
-            out = list(dict.fromkeys((min(p), max(p)) for p in out))
+                if j - i > 1:
+                    own = (x[i:j] for x in (reps, sketch, size, *more))
+                    out.update(dict.fromkeys(between(*own) if across else forest(*own)))
             x, y = zip(*out) if out else ((), ())
             return pa.RecordBatch.from_arrays(
                 [pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"]
@@ -174,7 +189,7 @@ def _compare_small(least: float, across: bool):
         for table in regrouped(batches, "sketch", 1 << 20):
             table = table if held is None else pa.concat_tables([held, table])
             nodes = table.column("node").to_numpy()
-            last = int(np.searchsorted(nodes == nodes[-1], True)) if len(nodes) else 0
+            last = int(np.flatnonzero(nodes == nodes[-1])[0]) if len(nodes) else 0
             held = table.slice(last)
             if last:
                 yield pairs(table.slice(0, last))
@@ -189,51 +204,104 @@ def _alike(a: str, b: str) -> Column:
     return F.aggregate(same, F.lit(0), lambda n, x: n + x) / F.lit(float(SKETCH))
 
 
-def _grow(sketches: DataFrame, least: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """All trees at once: (members of small nodes, members left large, likely pairs by depth)."""
-    roots = F.array(
-        *[
-            F.xxhash64(F.lit(r), F.get("sketch", F.lit(r)))
-            for r in range(ROOTS)
-        ]
+def _roots(sketches: DataFrame) -> DataFrame:
+    """(node, rep, n) of the root branches of all trees that hold two sets or more."""
+    branches = F.array(*[F.xxhash64(F.lit(r), F.get("sketch", F.lit(r))) for r in range(ROOTS)])
+    return _shared(sketches.select(F.explode(branches).alias("node"), "rep"))
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    members = stored(members, "tree-members")
+    sizes = stored(
+        members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "tree-sizes"
+    )
+    return stored(members.join(sizes, "node"), "tree-shared")
+
+
+def _first_pairs(roots: DataFrame, sketches: DataFrame, least: float, similarity: int) -> DataFrame:
+    """Likely pairs that connect the alike members of every root branch."""
+    small = roots.filter(F.col("n") <= NODE_LIMIT).select("node", "rep").join(sketches, "rep")
+    found = _in_node_order(small).mapInArrow(_compare(least, similarity, False), "x long, y long")
+    # One member for all; a hash of the set itself, so that the trees agree on it where they can.
+    large = roots.filter(F.col("n") > NODE_LIMIT).select("node", "rep")
+    drawn = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep")))
+    pivots = stored(
+        large.groupBy("node")
+        .agg(drawn["rep"].alias("pivot"))
+        .join(sketches.select(F.col("rep").alias("pivot"), F.col("sketch").alias("_pivot")), "pivot"),
+        "tree-pivots",
+    )
+    stars = (
+        large.join(sketches, "rep")
+        .join(pivots, "node")
+        .filter((F.col("rep") != F.col("pivot")) & (_alike("sketch", "_pivot") >= least))
+        .select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y"))
+    )
+    return stored(found.unionAll(stars).distinct(), "near-pairs")
+
+
+def _pairs_across(
+    roots: DataFrame, sketches: DataFrame, labels: DataFrame, least: float, similarity: int
+) -> DataFrame:
+    """Likely pairs between the components that meet in any branch of any tree."""
+    labels = labels.withColumnsRenamed({"node": "rep", "root": "_root"})
+    known = stored(
+        sketches.join(labels, "rep", "left")
+        .withColumn("label", F.coalesce("_root", "rep"))
+        .drop("_root"),
+        "tree-labelled",
     )
-    members = sketches.select(F.explode(roots).alias("node"), "rep")
-    small, left, pairs = [], None, []
+    no_side = F.lit(-1).alias("side")
+    members, compared = roots.select("node", "rep", "n"), []
     for depth in range(MAX_DEPTH + 1):
-        members = stored(members, "tree-members")
-        sizes = stored(
-            members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"),
-            "tree-sizes",
+        named = members.join(known.select("rep", "label"), "rep")
+        several = named.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+        several = stored(several.filter("a < b").select("node"), "tree-several")
+        open_nodes = members.join(several, "node", "left_semi").join(known, "rep")
+        compared.append(
+            stored(open_nodes.filter(F.col("n") <= NODE_LIMIT).drop("n").withColumn("side", no_side), "tree-small")
         )
-        alive = stored(members.join(sizes, "node"), "tree-alive")
-        small.append(alive.filter(F.col("size") <= NODE_LIMIT).select("node", "rep"))
-        large = alive.filter(F.col("size") > NODE_LIMIT).select("node", "rep")
+        large = stored(open_nodes.filter(F.col("n") > NODE_LIMIT), "tree-large")
         if large.isEmpty():
             break
-        large = stored(large.join(sketches, "rep"), "tree-large")
-        drawn = F.struct(F.xxhash64("node", "rep").alias("h"), F.col("rep").alias("rep"))
-        pivots = (
-            large.groupBy("node")
-            .agg(F.min(drawn)["rep"].alias("pivot"))
-            .join(sketches.withColumnsRenamed({"rep": "pivot", "sketch": "_pivot"}), "pivot")
-        )
-        pairs.append(
-            large.join(stored(pivots, "tree-pivots"), "node")
-            .filter((F.col("rep") != F.col("pivot")) & (_alike("sketch", "_pivot") >= least))
-            .select(F.least("rep", "pivot").alias("x"), F.greatest("rep", "pivot").alias("y"))
-        )
         if depth == MAX_DEPTH:
-            left = large
+            compared.append(_in_blocks(large))
             break
         chosen = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(SKETCH)).cast("int") for i in (1, 2)]
         children = [F.xxhash64("node", c, F.get("sketch", c)) for c in chosen]
         second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(100)) < SECOND
         branches = F.when(second, F.array(*children)).otherwise(F.array(children[0]))
-        members = large.select(F.explode(branches).alias("node"), "rep")
-    together = small[0]
-    for part in small[1:]:
-        together = together.unionAll(part)
-    return together, left, pairs
+        members = _shared(large.select(F.explode(branches).alias("node"), "rep"))
+    columns = ["node", "rep", "size", "sketch", "label", "side"]
+    together = compared[0].select(columns)
+    for part in compared[1:]:
+        together = together.unionAll(part.select(columns))
+    return (
+        _in_node_order(together)
+        .mapInArrow(_compare(least, similarity, True), "x long, y long")
+        .distinct()
+    )
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Members of large nodes once for each pair of blocks that theirs is in."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    return (
+        large.withColumn("_blocks", blocks)
+        .withColumn("_own", own)
+        .withColumn("_other", other)
+        .withColumn("node", F.xxhash64("node", low, high))
+        .withColumn(
+            "side",
+            F.when(F.col("_own") == F.col("_other"), -1)
+            .when(F.col("_own") < F.col("_other"), 0)
+            .otherwise(1),
+        )
+        .drop("n", "_blocks", "_own", "_other")
+    )
 
 
 def _in_node_order(df: DataFrame) -> DataFrame:
@@ -315,59 +383,63 @@ def near_dedup(
         "near-classes",
     )
     sketches = stored(
-        classes.select("rep").join(signed.select(F.col("row_id").alias("rep"), "sketch"), "rep"),
+        classes.select("rep").join(
+            signed.select(
+                F.col("row_id").alias("rep"), F.col("n_shingles").alias("size"), "sketch"
+            ),
+            "rep",
+        ),
         "near-sketches",
     )
-    small, left, pairs = _grow(sketches, least)
-    compared = _in_node_order(small.join(sketches, "rep")).mapInArrow(
-        _compare_small(least, across=False), "x long, y long"
-    )
-    for part in pairs:
-        compared = compared.unionAll(part)
-    fresh = stored(compared.distinct(), "near-pairs")
-
-    links, tried = None, fresh
+    branches = _roots(sketches)
+    first_pairs = _first_pairs(branches, sketches, least, similarity)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("_id"), tie.alias("_tie"), F.col("text").cast("binary")
     )
-    sets = None
-    while True:
-        ends = fresh.select(F.col("x").alias("rep")).unionAll(fresh.select(F.col("y").alias("rep")))
+
+    def full_sets(pairs: DataFrame, there: DataFrame | None) -> DataFrame:
+        """The full sets of all ends of ``pairs``, added to those that are there."""
+        ends = pairs.select(F.col("x").alias("rep")).unionAll(pairs.select(F.col("y").alias("rep")))
         ends = ends.distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("rep"), "rep", "left_anti")
+        if there is not None:
+            ends = ends.join(there.select("rep"), "rep", "left_anti")
         wanted = stored(
             classes.select("rep", "doc_id", "tie").join(ends, "rep", "left_semi"), "near-wanted"
         )
-        if sets is None or not wanted.isEmpty():
-            more = stored(
-                texts.join(
-                    wanted.hint("shuffle_hash"),
-                    F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")),
-                )
-                .select("rep", "text")
-                .mapInArrow(_full_sets(width), "rep long, full binary"),
-                "near-sets",
-            )
-            sets = more if sets is None else sets.unionAll(more)
-        confirmed = stored(
-            fresh.join(sets.withColumnsRenamed({"rep": "x", "full": "set_x"}), "x")
+        if there is not None and wanted.isEmpty():
+            return there
+        same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))
+        more = stored(
+            texts.join(wanted.hint("shuffle_hash"), same)
+            .select("rep", "text")
+            .mapInArrow(_full_sets(width), "rep long, full binary"),
+            "near-sets",
+        )
+        return more if there is None else there.unionAll(more)
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return stored(
+            pairs.join(sets.withColumnsRenamed({"rep": "x", "full": "set_x"}), "x")
             .join(sets.withColumnsRenamed({"rep": "y", "full": "set_y"}), "y")
             .mapInArrow(_confirmer(similarity), "x long, y long")
             .distinct(),
             "near-links",
         )
-        if links is not None and confirmed.isEmpty():
-            break
-        links = confirmed if links is None else links.unionAll(confirmed)
-        roots = stored(components(links), "near-roots")
-        fresh = stored(
-            _across(small, left, sketches, roots, least).join(tried, ["x", "y"], "left_anti"),
-            "near-pairs",
-        )
-        if fresh.isEmpty():
-            break
-        tried = tried.unionAll(fresh)
+
+    sets = full_sets(first_pairs, None)
+    links = confirmed(first_pairs, sets)
+    roots = stored(components(links), "near-roots")
+    more_pairs = stored(
+        _pairs_across(branches, sketches, roots, least, similarity).join(
+            first_pairs, ["x", "y"], "left_anti"
+        ),
+        "near-pairs",
+    )
+    if not more_pairs.isEmpty():
+        sets = full_sets(more_pairs, sets)
+        more_links = confirmed(more_pairs, sets)
+        if not more_links.isEmpty():
+            roots = stored(components(links.unionAll(more_links)), "near-roots")
 
     grouped = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "root", F.coalesce("root", "rep")
@@ -392,46 +464,3 @@ def near_dedup(
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         (alone | (F.col("row_id") == F.col("keep_row"))).alias("kept"),
     )
-
-
-def _across(
-    small: DataFrame, left: DataFrame | None, sketches: DataFrame, roots: DataFrame, least: float
-) -> DataFrame:
-    """Likely pairs (x, y) between the components that meet in a node."""
-    labels = roots.withColumnsRenamed({"node": "rep", "root": "_root"})
-
-    def labelled(members: DataFrame) -> DataFrame:
-        named = members.join(labels, "rep", "left").withColumn("label", F.coalesce("_root", "rep"))
-        return stored(named.select("node", "rep", "label"), "near-labelled")
-
-    def mixed(members: DataFrame) -> DataFrame:
-        several = members.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        return stored(several.filter("a < b").select("node"), "near-mixed")
-
-    members = labelled(small)
-    found = _in_node_order(
-        members.join(mixed(members), "node", "left_semi").join(sketches, "rep")
-    ).mapInArrow(_compare_small(least, across=True), "x long, y long")
-    if left is not None:
-        members = labelled(left.select("node", "rep"))
-        counted = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-        most = stored(
-            counted.groupBy("node")
-            .agg(F.max(F.struct("n", "label"))["label"].alias("_most"), F.count(F.lit(1)).alias("k"))
-            .filter("k > 1"),
-            "near-most",
-        )
-        open_nodes = members.join(most, "node").join(sketches, "rep")
-        # Every pair across components has a member outside the node's largest component.
-        few = open_nodes.filter("label != _most").select(
-            "node",
-            F.col("rep").alias("_rep"),
-            F.col("label").alias("_label"),
-            F.col("sketch").alias("_few"),
-        )
-        found = found.unionAll(
-            open_nodes.join(few, "node")
-            .filter((F.col("label") != F.col("_label")) & (_alike("sketch", "_few") >= least))
-            .select(F.least("rep", "_rep").alias("x"), F.greatest("rep", "_rep").alias("y"))
-        )
-    return found.distinct()

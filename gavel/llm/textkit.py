@@ -116,7 +116,7 @@ def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(found.counts) - found.counts
     combined = np.zeros(len(found.hashes), np.uint64)
     n = len(combined)
-    for i in range(width):  # out of place at the ends of texts, which are left out below
+    for i in range(min(width, n)):  # out of place at the ends of texts, which are left out below
         combined[: n - i] = combined[: n - i] * np.uint64(0x9FB21C651E98DF25) + found.hashes[i:]
     combined = mix(combined)
     counts = np.where(
