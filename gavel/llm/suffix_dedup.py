@@ -10,8 +10,8 @@ sort locally by multikey quicksort, and equal neighbours are repeats of the earl
    sorted by token and then by a hash of all their bytes: equal runs repeat the earliest one window
    by window. A run whose token nobody else has repeats nothing. What is left are runs that share
    a token but not all bytes, at the borders of passages.
-2. *Suffixes.* For those, every window's suffix is cut out of the text and sorted by its actual
-   bytes, eight at a time.
+2. *Suffixes.* For those, the suffix of every window is sorted by its leading eight bytes, and
+   where they are equal by a 64-bit fingerprint of the other bytes of the window.
 
 A token that is so frequent that it was sampled as a splitter more than once is dealt over the
 buckets between; comparing across their boundaries is left to the second sort for the runs of such a
@@ -27,6 +27,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,10 +41,10 @@ TOKEN = 32
 SAMPLED = 16
 #: Runs or suffixes that a task holds before it sends them on.
 HELD_RUNS = 1_500_000
-HELD_SUFFIXES = 200_000
+HELD_SUFFIXES = 1_000_000
 #: Runs or suffixes that a bucket should get.
 BUCKET_RUNS = 1_000_000
-BUCKET_SUFFIXES = 400_000
+BUCKET_SUFFIXES = 1_000_000
 
 _KEY = "id long, no_id boolean, tie long"
 _SPANS = f"{_KEY}, kind int, bucket int, blob binary"
@@ -328,13 +329,22 @@ def _earliest(
     return order[inner][new]
 
 
+def _others(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return batch.filter(pc.not_equal(batch.column("kind"), CONTENT))
+
+
+def _contents(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.filter(pc.equal(batch.column("kind"), CONTENT)).column("blob").to_pylist()
+
+
 def _run_bucket(splitters: np.ndarray):
     """All rows of a bucket to repeated runs and to runs that are open, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, docs, n = [], [], 0
         for batch in batches:
-            for blob in batch.column("blob").to_pylist():
+            yield _others(batch)
+            for blob in _contents(batch):
                 steps, hashes, span, ref, start, ids, no_id, tie = _unpacked(
                     blob,
                     np.uint64,
@@ -378,22 +388,15 @@ def _run_bucket(splitters: np.ndarray):
 # --- second sort: suffixes of the open windows ---
 
 
-def _suffix_tokens(suffixes: np.ndarray) -> list[np.ndarray]:
-    """Rows of bytes to columns of eight bytes each, as numbers in byte order."""
-    n, width = suffixes.shape
-    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = suffixes
-    words = padded.view(">u8").astype(np.uint64)
-    return [np.ascontiguousarray(words[:, i]) for i in range(words.shape[1])]
-
-
-def _folded(tokens: list[np.ndarray]) -> np.ndarray:
-    """A number that equal suffixes share, to spread a frequent leading token."""
-    value = np.zeros(len(tokens[0]), np.uint64)
-    for t in tokens:
-        value = (value ^ t) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-    return value
+def _again(
+    order: np.ndarray, group: np.ndarray, rank: np.ndarray, doc: np.ndarray, start: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(the earliest row of each group, whether a row comes after that of its group)."""
+    kept = _earliest(order, group, rank[doc], start)
+    leader = kept[group]
+    again = np.zeros(len(doc), bool)
+    again[order] = (rank[doc[order]] != rank[doc[leader]]) | (start[order] != start[leader])
+    return kept, again
 
 
 def _suffix_sender(width: int, splitters: np.ndarray):
@@ -406,19 +409,11 @@ def _suffix_sender(width: int, splitters: np.ndarray):
 
         def send() -> Iterator[pa.RecordBatch]:
             every = Docs(*(np.array(c) for c in zip(*keys)))
-            rank = every.rank()
-            doc, start, suffixes = (np.concatenate(c) for c in zip(*held))
-            tokens = _suffix_tokens(suffixes)
-            order, group = multikey_order(tokens)
-            kept = _earliest(order, group, rank[doc], start)
-            again = np.zeros(len(doc), bool)
-            leader = kept[group]
-            again[order] = (rank[doc[order]] != rank[doc[leader]]) | (
-                start[order] != start[leader]
-            )
+            doc, start, leading, rest = (np.concatenate(c) for c in zip(*held))
+            order, group = multikey_order([leading, rest])
+            kept, again = _again(order, group, every.rank(), doc, start)
             yield from _span_rows(every, doc[again], start[again], start[again], REPEATED)
-            first = tokens[0] >> np.uint64(1)
-            to = _bucket(first[kept], _folded([t[kept] for t in tokens]), splitters)
+            to = _bucket(leading[kept], rest[kept], splitters)
             by = np.argsort(to, kind="stable")
             kept, to = kept[by], to[by]
             cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
@@ -428,9 +423,10 @@ def _suffix_sender(width: int, splitters: np.ndarray):
                 rows = kept[i:j]
                 used, ref = np.unique(doc[rows], return_inverse=True)
                 blob = _packed(
-                    suffixes[rows],
+                    np.diff(leading[rows], prepend=np.uint64(0)),
+                    rest[rows],
                     ref.astype(np.uint32),
-                    start[rows],
+                    start[rows].astype(np.uint32),
                     every.id[used],
                     every.no_id[used],
                     every.tie[used],
@@ -441,16 +437,20 @@ def _suffix_sender(width: int, splitters: np.ndarray):
             columns = (batch.column(c) for c in ("id", "no_id", "tie", "text", "blobs"))
             for id_, no_id, tie, text, blobs in zip(*columns):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                windows = np.lib.stride_tricks.sliding_window_view(data, width)
                 spans = [np.frombuffer(b, np.int64).reshape(2, -1) for b in blobs.as_py()]
-                starts, ends = np.concatenate(spans, axis=1)
-                own = len(keys)
-                keys.append((id_.as_py(), no_id.as_py(), tie.as_py()))
-                for i, j in zip(starts.tolist(), ends.tolist()):
-                    held.append(
-                        (np.full(j - i + 1, own), np.arange(i, j + 1), windows[i : j + 1].copy())
+                first, last = np.concatenate(spans, axis=1)
+                sizes = last - first + 1
+                at = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+                held.append(
+                    (
+                        np.full(len(at), len(keys)),
+                        at,
+                        _leading(data, at),
+                        Rolling(data).hashes(at + 8, at + width),
                     )
-                    count += j - i + 1
+                )
+                keys.append((id_.as_py(), no_id.as_py(), tie.as_py()))
+                count += len(at)
                 if count >= HELD_SUFFIXES:
                     yield from send()
                     keys, held, count = [], [], 0
@@ -460,29 +460,25 @@ def _suffix_sender(width: int, splitters: np.ndarray):
     return run
 
 
-def _suffix_bucket(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, docs, n = [], [], 0
-        for batch in batches:
-            for blob in batch.column("blob").to_pylist():
-                raw, ref, start, ids, no_id, tie = _unpacked(
-                    blob, np.uint8, np.uint32, np.int64, np.int64, np.bool_, np.int64
-                )
-                parts.append((raw.reshape(-1, width), ref.astype(np.int64) + n, start))
-                docs.append(Docs(ids, no_id, tie))
-                n += len(ids)
-        if not parts:
-            return
-        every = _joined(docs)
-        rank = every.rank()
-        suffixes, doc, start = (np.concatenate(c) for c in zip(*parts))
-        order, group = multikey_order(_suffix_tokens(suffixes))
-        leader = _earliest(order, group, rank[doc], start)[group]
-        again = np.zeros(len(doc), bool)
-        again[order] = (rank[doc[order]] != rank[doc[leader]]) | (start[order] != start[leader])
-        yield from _span_rows(every, doc[again], start[again], start[again], REPEATED)
-
-    return run
+def _suffix_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts, docs, n = [], [], 0
+    kinds = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.bool_, np.int64)
+    for batch in batches:
+        yield _others(batch)
+        for blob in _contents(batch):
+            steps, rest, ref, start, *key = _unpacked(blob, *kinds)
+            parts.append(
+                (np.cumsum(steps), rest, ref.astype(np.int64) + n, start.astype(np.int64))
+            )
+            docs.append(Docs(*key))
+            n += len(key[0])
+    if not parts:
+        return
+    every = _joined(docs)
+    leading, rest, doc, start = (np.concatenate(c) for c in zip(*parts))
+    order, group = multikey_order([leading, rest])
+    _, again = _again(order, group, every.rank(), doc, start)
+    yield from _span_rows(every, doc[again], start[again], start[again], REPEATED)
 
 
 # --- the operator ---
@@ -543,11 +539,11 @@ def _splitters(sample: DataFrame, kind: int, buckets: int) -> np.ndarray:
 
 
 def _in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
-    return (
-        rows.filter(F.col("kind") == CONTENT)
-        .select("bucket", "blob")
-        .repartitionById(buckets, F.col("bucket"))
+    """Contents in their buckets; other rows, which only pass through, anywhere."""
+    to = F.when(F.col("kind") == CONTENT, F.col("bucket")).otherwise(
+        F.pmod("tie", F.lit(buckets)).cast("int")
     )
+    return rows.repartitionById(buckets, to)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> DataFrame:
@@ -581,7 +577,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> D
     buckets = 1 + n_sampled * SAMPLED // BUCKET_RUNS
     splitters = _splitters(sample, 0, buckets)
     buckets = len(splitters) + 1
-    sent = stored(keyed.mapInArrow(_run_sender(width, token, splitters), _SPANS), "suffix-runs")
+    sent = keyed.mapInArrow(_run_sender(width, token, splitters), _SPANS)
     sorted_runs = stored(
         _in_buckets(sent, buckets).mapInArrow(_run_bucket(splitters), _SPANS), "suffix-sorted"
     )
@@ -597,20 +593,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> D
     sizes = F.aggregate("blobs", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b))
     n_open = (opened.agg(F.sum(sizes)).first()[0] or 0) * width // 48
     splitters = _splitters(sample, 1, 1 + n_open // BUCKET_SUFFIXES)
-    compared = stored(
+    # Both joins below deal out the same texts in the same way, so Spark shuffles them once.
+    compared = (
         keyed.join(opened.hint("shuffle_hash"), names)
         .select(*names, "text", "blobs")
-        .mapInArrow(_suffix_sender(width, splitters), _SPANS),
-        "suffix-windows",
+        .mapInArrow(_suffix_sender(width, splitters), _SPANS)
     )
-    last = _in_buckets(compared, len(splitters) + 1).mapInArrow(_suffix_bucket(width), _SPANS)
-
-    repeated = sent.filter(is_repeat)
-    for part in (sorted_runs, compared):
-        repeated = repeated.unionAll(part.filter(is_repeat))
+    last = _in_buckets(compared, len(splitters) + 1).mapInArrow(_suffix_bucket, _SPANS)
     repeated = (
-        repeated.unionAll(last)
-        .select(*names, "blob")
+        sorted_runs.filter(is_repeat)
+        .unionAll(last)
         .groupBy(*names)
         .agg(F.collect_list("blob").alias("blobs"))
     )
