@@ -158,16 +158,26 @@ def _of_texts(texts: list[str]) -> Paragraphs:
 
 
 def variants(seed: int, count: int = VARIANTS) -> tuple[list[str], list[int]]:
-    """Notices with words left out, replaced or added around them, and their classes."""
+    """Notices with words left out, replaced or added around them, and their classes.
+
+    Words that only one family's notices have always stay: they are what names it.
+    """
     random = np.random.default_rng(seed)
     texts, classes = [], []
+    used = {f: {w for t in TEMPLATES[f] for w in t.split()} for f in FAMILIES}
     for number, family in enumerate(FAMILIES, 1):
+        own = used[family].difference(*(used[f] for f in FAMILIES if f != family))
         for template in TEMPLATES[family]:
             for i in range(count):
                 kept = template.split()
                 if i % 4:
-                    kept = [w for w in kept if random.random() > 0.08] or kept
-                    kept = [_FILLER[random.integers(len(_FILLER))] if random.random() < 0.05 else w for w in kept]
+                    kept = [w for w in kept if w in own or random.random() > 0.08]
+                    kept = [
+                        _FILLER[random.integers(len(_FILLER))]
+                        if w not in own and random.random() < 0.05
+                        else w
+                        for w in kept
+                    ]
                 if i % 3 == 0:
                     before = random.choice(_FILLER, random.integers(0, 8)).tolist()
                     kept = before + kept + random.choice(_FILLER, random.integers(0, 8)).tolist()

@@ -375,6 +375,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 data += piece + b"\r\n\r\n"
                 while True:
                     if head is None:
+                        # Line ends between records; a file's last ones may be given twice.
+                        while data[:2] == b"\r\n":
+                            del data[:2]
                         end = data.find(b"\r\n\r\n")
                         if end < 0:
                             break
