@@ -1,8 +1,8 @@
 """Chat formatting with linked tool calls, in DataFrame functions only.
 
 Calls and results of a conversation are hash-joined by identifier. A call may refer to the result of
-another by ``{"$ref": "<call id>"}`` in its arguments; levels are found by rounds, each of which
-resolves the calls whose references are all resolved, and put calls after what they need.
+another by ``{"$ref": "<call id>"}`` in its arguments. Where such references point ahead, levels are
+found by rounds, each of which takes the calls whose needs are met; calls come after what they need.
 Arguments are held against the schema of their tool, and everything is serialised as canonical JSON:
 keys in order, no spaces. Conversations are never gathered, so one may be a third of all rows.
 """
@@ -60,49 +60,67 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(conv, id, level, at) of the calls whose references resolve.
+    """(conv, id, level, at, missing) of the calls that can be put in order.
 
     ``at`` is the turn at which a call can be made: its own, or that of the last result it needs.
+    ``missing``: a reference is to nothing. Where all of a conversation's references are to results
+    of earlier turns, which is what dialogues have, turns are the order. Only the others take
+    rounds, as many as their longest chain; a call in or behind a circle never comes up.
     """
-    needs = stored(
-        calls.select(
-            "conv",
-            "id",
-            F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(_REFERENCE), 1))).alias(
-                "need"
-            ),
-        ),
+    needs = calls.select(
+        "conv",
+        "id",
+        "turn",
+        F.explode(
+            F.array_distinct(F.regexp_extract_all("arguments", F.lit(_REFERENCE), F.lit(1)))
+        ).alias("need"),
+    )
+    made = calls.select("conv", F.col("id").alias("need"), F.col("turn").alias("made"))
+    returned = results.select("conv", F.col("id").alias("need"), F.col("turn").alias("returned"))
+    edges = stored(
+        needs.join(made, ["conv", "need"], "left").join(returned, ["conv", "need"], "left"),
         "chat-needs",
     )
-    counted = needs.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("needs"))
-    waiting = stored(calls.select("conv", "id", "turn").join(counted, ["conv", "id"], "left"), "chat-calls")
-    returned = results.select("conv", "id", F.col("turn").alias("returned"))
+    missing = edges.filter("made IS NULL").select("conv", "id", F.lit(True).alias("missing"))
+    found = edges.filter("made IS NOT NULL")
+    ahead = F.greatest("made", F.coalesce("returned", "made")) >= F.col("turn")
+    open_convs = stored(found.filter(ahead).select("conv").distinct(), "chat-open")
+
+    own = calls.select("conv", "id", "turn")
+    at_once = [F.lit(0).alias("level"), F.col("turn").alias("at")]
+    done = own.join(open_convs, "conv", "left_anti").select("conv", "id", *at_once)
+    if not open_convs.isEmpty():
+        hard = own.join(open_convs, "conv", "left_semi")
+        done = done.unionAll(_rounds(hard, found.join(open_convs, "conv", "left_semi")))
+    return done.join(missing.distinct(), ["conv", "id"], "left").withColumn(
+        "missing", F.coalesce("missing", F.lit(False))
+    )
+
+
+def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels and turns of calls, round by round: those whose needs all have theirs come next."""
+    counted = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("needs"))
+    waiting = stored(calls.join(counted, ["conv", "id"], "left"), "chat-waiting")
     done = stored(
-        waiting.filter("needs is null").select("conv", "id", F.lit(0).alias("level"), F.col("turn").alias("at")),
+        waiting.filter("needs IS NULL").select(
+            "conv", "id", F.lit(0).alias("level"), F.col("turn").alias("at")
+        ),
         "chat-level",
     )
-    fresh = done
     while True:
-        there = stored(
-            done.join(returned, ["conv", "id"], "left").select(
-                "conv",
-                F.col("id").alias("need"),
-                "level",
-                F.greatest("at", F.coalesce("returned", "at")).alias("at"),
-            ),
-            "chat-there",
-        )
+        there = done.select("conv", F.col("id").alias("need"), "level", "at")
+        ready = F.greatest("at", F.coalesce("returned", "at"))
         met = (
-            needs.join(there, ["conv", "need"])
+            edges.join(there, ["conv", "need"])
             .groupBy("conv", "id")
             .agg(
                 F.count(F.lit(1)).alias("met"),
                 (F.max("level") + 1).alias("level"),
-                F.max("at").alias("_at"),
+                F.max(ready).alias("_at"),
             )
         )
         fresh = stored(
-            waiting.filter("needs is not null")
+            waiting.filter("needs IS NOT NULL")
             .join(met, ["conv", "id"])
             .filter("met = needs")
             .select("conv", "id", "level", F.greatest("turn", "_at").alias("at"))
@@ -127,7 +145,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     and call_id (of tool results). Events are messages, the calls in them, and results. ``position``
     numbers the events of a conversation so that calls follow the results they need. Status of a
     message is null, of a call *linked*, *unanswered*, *invalid* (see errors), *unresolved* (a
-    reference to nothing or in a circle), or *duplicate* (of an id used before); of a result
+    reference to nothing, or in or behind a circle), or *duplicate* (of an id used before); of a result
     *linked*, *duplicate* or *orphan*.
 
     Defined cases: null conversations are one conversation; null turns come last; null texts are
@@ -195,7 +213,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     call_status = (
         F.when(F.col("id").isNotNull() & ~F.coalesce(own, F.lit(False)), "duplicate")
         .when(F.size("errors") > 0, "invalid")
-        .when(F.col("id").isNotNull() & F.col("level").isNull(), "unresolved")
+        .when(F.col("id").isNotNull() & (F.col("level").isNull() | F.col("missing")), "unresolved")
         .when(F.col("_result").isNull(), "unanswered")
         .otherwise("linked")
     )
