@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from gavel.operators import contest, packed
 
@@ -20,7 +20,12 @@ def curate_submissions(submissions: DataFrame) -> DataFrame:
 def load_contest(
     records: DataFrame, problems: DataFrame | None = None, cases: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Upsert records into the contest catalogue and return its two tables."""
+    """Upsert records into the contest catalogue: its two tables, and ``collisions``.
+
+    An id stands for its problem in both tables, so two problems with one id would replace each
+    other's cases. ``collisions`` lists such ids, of old and new problems together; write the
+    tables only if it is empty.
+    """
     spark = records.sparkSession
     incoming = contest.contest_problems(records)
     if problems is None:
@@ -32,7 +37,12 @@ def load_contest(
         cases = spark.createDataFrame(
             [], "problem_id bigint, case_offset int, input string, output string"
         )
+    keys = incoming.select(*contest.PROBLEM_KEY).withColumn(
+        "id", contest.problem_id(*map(F.col, contest.PROBLEM_KEY))
+    )
+    both = keys.unionByName(problems.select(*contest.PROBLEM_KEY, "id"))
     return {
+        "collisions": contest.key_collisions(both),
         "contest_problems": contest.upsert_problems(problems, incoming),
         "contest_cases": contest.replace_cases(cases, records),
     }

@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OUTPUT = "id string, request_us bigint, response_us bigint, response_seq bigint, outcome string"
 # In place of NULL, which would turn the column, and every large seq in it, into floats.
 NO_DEADLINE = -(2**63)
+#: How long a request without a deadline waits.
+MAX_WAIT_SECONDS = 90 * 86_400.0
 COLUMNS = ["id", "request_us", "response_us", "response_seq", "outcome"]
 STATE = "request_us bigint, deadline_us bigint, held_us bigint, held_seq bigint"
 
@@ -88,18 +90,27 @@ class _Slot:
 
 
 def match_stream(
-    requests: DataFrame, responses: DataFrame, ttl_seconds: float = TTL_SECONDS, delay: str = "1 minute"
+    requests: DataFrame,
+    responses: DataFrame,
+    ttl_seconds: float = TTL_SECONDS,
+    delay: str = "1 minute",
+    max_wait_seconds: float = MAX_WAIT_SECONDS,
 ) -> DataFrame:
     """Outcomes of a request stream (``id, request_ts, deadline_ts?``) and a response stream
     (``id, response_ts, seq``), in append mode.
 
     A request ends as ``waiting``, ``arrived`` or, past its deadline, ``unanswered``; a response
     nobody took as ``overwritten`` or ``expired``. Rows of one trigger are put in event-time
-    order, so replayed files give what the batch operator gives. State is one slot per open id;
+    order, so replayed files give what the batch operator gives. A request without a deadline is
+    given up after ``max_wait_seconds``, so no state is kept for ever. Rows more than ``delay`` behind
+    the newest are dropped by the watermark; choose it by how late rows can be. State is one slot per open id;
     what a task holds of a hot id is bounded by the rows admitted per trigger.
     """
     ttl_us = int(ttl_seconds * 1_000_000)
-    deadline = F.col("deadline_ts") if "deadline_ts" in requests.columns else F.lit(None).cast("timestamp")
+    latest = F.col("request_ts") + F.make_dt_interval(secs=F.lit(max_wait_seconds))
+    deadline = (
+        F.coalesce("deadline_ts", latest) if "deadline_ts" in requests.columns else latest
+    )
     # A response at the very moment of a request counts as waiting, so it sorts first.
     events = requests.select(
         "id", F.col("request_ts").alias("ts"), F.lit(1).alias("is_request"),
