@@ -1,7 +1,7 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its distinct word shingles. Its sketch holds the minwise token of
-``SKETCH`` hash functions. Several independent trees are grown over the distinct sets. A node
+``SKETCH`` hash functions: 16 bits of it, and all 64 of those that the roots of the trees use. Several independent trees are grown over the distinct sets. A node
 chooses hash functions by its own path, 1.25 of them on average (one over the similarity asked
 for), and its documents go down one branch per chosen function, named by their minwise token. Two
 sets meet in a branch with the probability of their similarity, sets with nothing in common hardly
@@ -64,7 +64,12 @@ def _sets(table: pa.Table, width: int) -> Iterator[tuple[slice, list[np.ndarray]
         at = until
 
 
-_SIGNED = "row_id long, doc_id long, tie long, n_shingles long, set_a long, set_b long, sketch array<smallint>"
+_SIGNED = "row_id long, doc_id long, tie long, n_shingles long, set_a long, set_b long, roots array<bigint>, sketch array<smallint>"
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
 
 
 def _signer(width: int):
@@ -72,25 +77,28 @@ def _signer(width: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in regrouped(batches, "text", 4 << 20):
-            sizes, first, second, sketches = [], [], [], []
+            sizes, first, second, roots, sketches = [], [], [], [], []
             for _, sets in _sets(table, width):
                 lengths = np.array([len(s) for s in sets])
                 full = np.flatnonzero(lengths)
                 sketch = np.zeros((len(sets), SKETCH), np.int16)
+                root = np.zeros((len(sets), ROOTS), np.int64)
                 sums = np.zeros((2, len(sets)), np.uint64)
                 if len(full):
                     every = np.concatenate([sets[i] for i in full])
                     begin = (np.cumsum(lengths[full]) - lengths[full]).astype(np.int64)
                     for i in range(SKETCH):
                         least = np.minimum.reduceat((every ^ salts[i]) * (salts[i] | 1), begin)
+                        if i < ROOTS:
+                            root[full, i] = least.view(np.int64)
                         sketch[full, i] = (least >> np.uint64(48)).astype(np.uint16).view(np.int16)
                     for i in range(2):
                         sums[i, full] = np.add.reduceat(mix(every + salts[i]), begin)
                 sizes.append(lengths)
                 first.append(sums[0].view(np.int64))
                 second.append(sums[1].view(np.int64))
+                roots.append(root)
                 sketches.append(sketch)
-            flat = np.concatenate(sketches).reshape(-1)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(
@@ -100,10 +108,8 @@ def _signer(width: int):
                     pa.array(np.concatenate(sizes), pa.int64()),
                     pa.array(np.concatenate(first)),
                     pa.array(np.concatenate(second)),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(0, len(flat) + 1, SKETCH, dtype=np.int32)),
-                        pa.array(flat),
-                    ),
+                    _lists(np.concatenate(roots)),
+                    _lists(np.concatenate(sketches)),
                 ],
                 names=[f.split()[0] for f in _SIGNED.split(", ")],
             )
@@ -206,8 +212,8 @@ def _alike(a: str, b: str) -> Column:
 
 def _roots(sketches: DataFrame) -> DataFrame:
     """(node, rep, n) of the root branches of all trees that hold two sets or more."""
-    branches = F.array(*[F.xxhash64(F.lit(r), F.get("sketch", F.lit(r))) for r in range(ROOTS)])
-    return _shared(sketches.select(F.explode(branches).alias("node"), "rep"))
+    branches = sketches.select("rep", F.posexplode("roots").alias("tree", "token"))
+    return _shared(branches.select(F.xxhash64("tree", "token").alias("node"), "rep"))
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -385,13 +391,13 @@ def near_dedup(
     sketches = stored(
         classes.select("rep").join(
             signed.select(
-                F.col("row_id").alias("rep"), F.col("n_shingles").alias("size"), "sketch"
+                F.col("row_id").alias("rep"), F.col("n_shingles").alias("size"), "roots", "sketch"
             ),
             "rep",
         ),
         "near-sketches",
     )
-    branches = _roots(sketches)
+    branches, sketches = _roots(sketches), sketches.drop("roots")
     first_pairs = _first_pairs(branches, sketches, least, similarity)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("_id"), tie.alias("_tie"), F.col("text").cast("binary")
