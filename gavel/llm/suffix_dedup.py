@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gavel.llm.common import regrouped, stored
+from gavel.llm.common import regrouped, shuffle_tasks, stored
 from gavel.llm.textkit import CHUNK_BYTES, Rolling, binary_parts
 
 WIDTH = 100
@@ -158,20 +158,56 @@ def _bucket(first: np.ndarray, spread: np.ndarray, splitters: np.ndarray) -> np.
     return low + (spread % (high - low + 1).astype(np.uint64)).astype(np.int64)
 
 
-def _span_rows(docs: Docs, doc: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int):
-    """One row for each document: its runs of windows (first, last)."""
+def _span_rows(
+    docs: Docs, doc: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int, groups: int
+):
+    """Runs of windows (first, last), one row for each group of documents."""
     if not len(doc):
         return
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
-    keys, blobs = [], []
+    to = docs.tie[doc] % groups
+    order = np.argsort(to, kind="stable")
+    doc, start, end, to = doc[order], start[order], end[order], to[order]
+    cuts = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
     for i, j in zip(cuts, cuts[1:]):
-        keys.append(docs.key(int(doc[i])))
-        blobs.append(np.stack([start[i:j], end[i:j]]).astype(np.int64).tobytes())
-    for at in range(0, len(keys), 2000):
-        part = keys[at : at + 2000]
-        yield _rows(part, [kind] * len(part), [0] * len(part), blobs[at : at + 2000])
+        used, ref = np.unique(doc[i:j], return_inverse=True)
+        blob = _packed(
+            ref.astype(np.uint32),
+            start[i:j].astype(np.int64),
+            (end - start)[i:j].astype(np.uint32),
+            docs.id[used],
+            docs.no_id[used],
+            docs.tie[used],
+        )
+        yield _rows([(0, False, 0)], [kind], [int(to[i])], [blob])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a group of documents to one row per document and kind: its runs."""
+    parts: dict[int, list] = {}
+    docs: dict[int, list[Docs]] = {}
+    kinds = (np.uint32, np.int64, np.uint32, np.int64, np.bool_, np.int64)
+    for batch in batches:
+        for kind, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "blob"))):
+            ref, start, span, *key = _unpacked(blob, *kinds)
+            own = docs.setdefault(kind, [])
+            before = sum(len(d.id) for d in own[-1:]) + (parts[kind][-1][3] if own else 0)
+            own.append(Docs(*key))
+            parts.setdefault(kind, []).append((ref.astype(np.int64) + before, start, span, before))
+    for kind, found in parts.items():
+        every = _joined(docs[kind])
+        rank = every.rank()
+        _, one = np.unique(rank, return_index=True)
+        doc, start, span = (np.concatenate([p[k] for p in found]) for k in range(3))
+        doc = rank[doc]
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], (start + span)[order]
+        cuts = [0, *(np.flatnonzero(np.diff(doc)) + 1).tolist(), len(doc)]
+        bounds = list(zip(cuts, cuts[1:]))
+        for at in range(0, len(bounds), 2000):
+            part = bounds[at : at + 2000]
+            keys = [every.key(int(one[doc[i]])) for i, _ in part]
+            blobs = [np.stack([start[i:j], end[i:j]]).tobytes() for i, j in part]
+            yield _rows(keys, [kind] * len(part), [0] * len(part), blobs)
 
 
 # --- first sort: runs of windows with one token ---
@@ -256,7 +292,7 @@ def _leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return token >> np.uint64(1)
 
 
-def _run_sender(width: int, token: int, splitters: np.ndarray):
+def _run_sender(width: int, token: int, splitters: np.ndarray, groups: int):
     """Texts to repeated runs within the task, and to one row of runs for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +315,7 @@ def _run_sender(width: int, token: int, splitters: np.ndarray):
             earliest = _earliest(order, group, rank[doc], start)
             again = np.ones(len(doc), bool)
             again[earliest] = False
-            yield from _span_rows(every, doc[again], start[again], end[again], REPEATED)
+            yield from _span_rows(every, doc[again], start[again], end[again], REPEATED, groups)
             kept = earliest  # in token order
             to = _bucket(tokens[kept], hashes[kept], splitters)
             by = np.argsort(to, kind="stable")
@@ -337,7 +373,7 @@ def _contents(batch: pa.RecordBatch) -> list[bytes]:
     return batch.filter(pc.equal(batch.column("kind"), CONTENT)).column("blob").to_pylist()
 
 
-def _run_bucket(splitters: np.ndarray):
+def _run_bucket(splitters: np.ndarray, groups: int):
     """All rows of a bucket to repeated runs and to runs that are open, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +406,7 @@ def _run_bucket(splitters: np.ndarray):
         again = np.zeros(len(doc), bool)
         leader = earliest[group]  # of the sorted rows
         again[order] = (rank[doc[order]] != rank[doc[leader]]) | (start[order] != start[leader])
-        yield from _span_rows(every, doc[again], start[again], end[again], REPEATED)
+        yield from _span_rows(every, doc[again], start[again], end[again], REPEATED, groups)
         # Runs with the token of others but other bytes, or with a token that others may hold.
         mine = tokens[earliest]
         shared = np.zeros(len(mine), bool)
@@ -380,7 +416,7 @@ def _run_bucket(splitters: np.ndarray):
         if len(splitters):
             shared |= splitters[np.minimum(at, len(splitters) - 1)] == mine
         rest = earliest[shared]
-        yield from _span_rows(every, doc[rest], start[rest], end[rest], OPEN)
+        yield from _span_rows(every, doc[rest], start[rest], end[rest], OPEN, groups)
 
     return run
 
@@ -399,7 +435,7 @@ def _again(
     return kept, again
 
 
-def _suffix_sender(width: int, splitters: np.ndarray):
+def _suffix_sender(width: int, splitters: np.ndarray, groups: int):
     """(key, text, open windows) to repeats within the task and to rows for the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,7 +448,7 @@ def _suffix_sender(width: int, splitters: np.ndarray):
             doc, start, leading, rest = (np.concatenate(c) for c in zip(*held))
             order, group = multikey_order([leading, rest])
             kept, again = _again(order, group, every.rank(), doc, start)
-            yield from _span_rows(every, doc[again], start[again], start[again], REPEATED)
+            yield from _span_rows(every, doc[again], start[again], start[again], REPEATED, groups)
             to = _bucket(leading[kept], rest[kept], splitters)
             by = np.argsort(to, kind="stable")
             kept, to = kept[by], to[by]
@@ -460,25 +496,28 @@ def _suffix_sender(width: int, splitters: np.ndarray):
     return run
 
 
-def _suffix_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts, docs, n = [], [], 0
-    kinds = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.bool_, np.int64)
-    for batch in batches:
-        yield _others(batch)
-        for blob in _contents(batch):
-            steps, rest, ref, start, *key = _unpacked(blob, *kinds)
-            parts.append(
-                (np.cumsum(steps), rest, ref.astype(np.int64) + n, start.astype(np.int64))
-            )
-            docs.append(Docs(*key))
-            n += len(key[0])
-    if not parts:
-        return
-    every = _joined(docs)
-    leading, rest, doc, start = (np.concatenate(c) for c in zip(*parts))
-    order, group = multikey_order([leading, rest])
-    _, again = _again(order, group, every.rank(), doc, start)
-    yield from _span_rows(every, doc[again], start[again], start[again], REPEATED)
+def _suffix_bucket(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, docs, n = [], [], 0
+        kinds = (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.bool_, np.int64)
+        for batch in batches:
+            yield _others(batch)
+            for blob in _contents(batch):
+                steps, rest, ref, start, *key = _unpacked(blob, *kinds)
+                parts.append(
+                    (np.cumsum(steps), rest, ref.astype(np.int64) + n, start.astype(np.int64))
+                )
+                docs.append(Docs(*key))
+                n += len(key[0])
+        if not parts:
+            return
+        every = _joined(docs)
+        leading, rest, doc, start = (np.concatenate(c) for c in zip(*parts))
+        order, group = multikey_order([leading, rest])
+        _, again = _again(order, group, every.rank(), doc, start)
+        yield from _span_rows(every, doc[again], start[again], start[again], REPEATED, groups)
+
+    return run
 
 
 # --- the operator ---
@@ -541,11 +580,16 @@ def _splitters(sample: DataFrame, kind: int, buckets: int) -> np.ndarray:
 def _in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
     """Contents in their buckets; other rows, which only pass through, anywhere."""
     to = F.when(F.col("kind") == CONTENT, F.col("bucket")).otherwise(
-        F.pmod("tie", F.lit(buckets)).cast("int")
+        F.pmod("bucket", F.lit(buckets))
     )
     return rows.repartitionById(buckets, to)
 
 
+def _by_document(rows: DataFrame, groups: int) -> DataFrame:
+    """Runs of windows, gathered from all buckets: one row per document and kind."""
+    return rows.repartitionById(groups, F.col("bucket")).mapInArrow(_merge, _SPANS)
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, starts, ends, kept (bytes).
 
@@ -577,18 +621,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> D
     buckets = 1 + n_sampled * SAMPLED // BUCKET_RUNS
     splitters = _splitters(sample, 0, buckets)
     buckets = len(splitters) + 1
-    sent = keyed.mapInArrow(_run_sender(width, token, splitters), _SPANS)
-    sorted_runs = stored(
-        _in_buckets(sent, buckets).mapInArrow(_run_bucket(splitters), _SPANS), "suffix-sorted"
-    )
+    groups = shuffle_tasks(docs.sparkSession)
+    sent = keyed.mapInArrow(_run_sender(width, token, splitters, groups), _SPANS)
+    sorted_runs = _in_buckets(sent, buckets).mapInArrow(_run_bucket(splitters, groups), _SPANS)
+    found = stored(_by_document(sorted_runs, groups), "suffix-sorted")
 
     is_repeat = F.col("kind") == REPEATED
-    opened = stored(
-        sorted_runs.filter(F.col("kind") == OPEN)
-        .groupBy(*names)
-        .agg(F.collect_list("blob").alias("blobs")),
-        "suffix-open",
-    )
+    opened = found.filter(F.col("kind") == OPEN).select(*names, F.array("blob").alias("blobs"))
     # A run has about a third of its width in windows, and a blob 16 bytes for a run.
     sizes = F.aggregate("blobs", F.lit(0).cast("long"), lambda n, b: n + F.octet_length(b))
     n_open = (opened.agg(F.sum(sizes)).first()[0] or 0) * width // 48
@@ -597,12 +636,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> D
     compared = (
         keyed.join(opened.hint("shuffle_hash"), names)
         .select(*names, "text", "blobs")
-        .mapInArrow(_suffix_sender(width, splitters), _SPANS)
+        .mapInArrow(_suffix_sender(width, splitters, groups), _SPANS)
     )
-    last = _in_buckets(compared, len(splitters) + 1).mapInArrow(_suffix_bucket, _SPANS)
+    last = _in_buckets(compared, len(splitters) + 1).mapInArrow(_suffix_bucket(groups), _SPANS)
     repeated = (
-        sorted_runs.filter(is_repeat)
-        .unionAll(last)
+        found.filter(is_repeat)
+        .unionAll(_by_document(last, groups))
         .groupBy(*names)
         .agg(F.collect_list("blob").alias("blobs"))
     )
