@@ -416,7 +416,7 @@ def near_dedup(
             return there
         same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))
         more = stored(
-            texts.join(wanted.hint("shuffle_hash"), same)
+            texts.join(wanted, same)  # Spark sends few wanted keys to the texts, not the texts to them
             .select("rep", "text")
             .mapInArrow(_full_sets(width), "rep long, full binary"),
             "near-sets",
