@@ -195,7 +195,11 @@ def rate_quality(
     rated = _base(_prepared(kept)).withColumn(
         "score", F.when(n_grams > 0, both / n_grams).otherwise(F.lit(0.0))
     )
-    rated = rated.select(*[f"`{c}`" for c in kept.columns], *_RATINGS[:6])
+    # A filter on ratings would be pushed below and take a copy of all they are made of along; it
+    # isn't pushed below a generator (outer, as an inner one gets a filter of its own).
+    made = F.explode_outer(F.array(F.struct(*_RATINGS[:6]))).alias("_made")
+    rated = rated.select(*[f"`{c}`" for c in kept.columns], made)
+    rated = rated.select(*[f"`{c}`" for c in kept.columns], "_made.*")
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words")
     )
