@@ -10,8 +10,8 @@ sort locally by multikey quicksort, and equal neighbours are repeats of the earl
    sorted by token and then by a hash of all their bytes: equal runs repeat the earliest one window
    by window. A run whose token nobody else has repeats nothing. What is left are runs that share
    a token but not all bytes, at the borders of passages.
-2. *Suffixes.* For those, the suffix of every window is sorted by its leading eight bytes, and
-   where they are equal by a 64-bit fingerprint of the other bytes of the window.
+2. *Suffixes.* For those, the suffix of every window is sorted by its leading eight bytes less
+   their last bit, and where they are equal by a 64-bit fingerprint of the whole window.
 
 A token that is so frequent that it was sampled as a splitter more than once is dealt over the
 buckets between; comparing across their boundaries is left to the second sort for the runs of such a
@@ -482,7 +482,8 @@ def _suffix_sender(width: int, splitters: np.ndarray, groups: int):
                         np.full(len(at), len(keys)),
                         at,
                         _leading(data, at),
-                        Rolling(data).hashes(at + 8, at + width),
+                        # The halved leading bytes only range; equality is of the whole window.
+                        Rolling(data).hashes(at, at + width),
                     )
                 )
                 keys.append((id_.as_py(), no_id.as_py(), tie.as_py()))
