@@ -144,18 +144,20 @@ def tool_dialogues(conversations: DataFrame) -> DataFrame:
     """Conversations in which every assistant turn made a tool call, whose result is its text.
 
     Calls refer to the assistant turn two turns earlier; some have faulty arguments, no result, or
-    two, by the number of words.
+    two, by the number of words. In some conversations the first call refers ahead to the second,
+    and in some those two refer to each other.
     """
     words = n_words(F.col("text"))
     call_id = F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    before = F.concat_ws(
-        "-", F.lit("c"), F.col("conv_id").cast("string"), (F.col("turn") - 2).cast("string")
-    )
+    turn, way = F.col("turn"), F.coalesce(F.pmod(F.col("conv_id"), F.lit(10)), F.lit(0))
+    ahead = (turn == 1) & way.isin(3, 7)
+    other = F.when(ahead, turn + 2).when((turn > 2) & ~((turn == 3) & (way == 3)), turn - 2)
+    needed = F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), other.cast("string"))
     arguments = F.to_json(
         F.struct(
             F.col("text").alias("query"),
             F.when(words % 13 == 0, words.cast("string")).alias("limit"),
-            F.when(F.col("turn") > 2, F.struct(before.alias("$ref"))).alias("after"),
+            F.when(other.isNotNull(), F.struct(needed.alias("$ref"))).alias("after"),
         )
     )
     named = F.struct(

@@ -1,8 +1,8 @@
 """Chat formatting with linked tool calls, in DataFrame functions only.
 
 Calls and results of a conversation are hash-joined by identifier. A call may refer to the result of
-another by ``{"$ref": "<call id>"}`` in its arguments. Where such references point ahead, levels are
-found by rounds, each of which takes the calls whose needs are met; calls come after what they need.
+another by ``{"$ref": "<call id>"}`` in its arguments, back or ahead. Levels of chains are found by
+pointer doubling, and where chains meet by rounds over the meeting points; calls come after what they need.
 Arguments are held against the schema of their tool, and everything is serialised as canonical JSON:
 keys in order, no spaces. Conversations are never gathered, so one may be a third of all rows.
 """
@@ -10,6 +10,7 @@ keys in order, no spaces. Conversations are never gathered, so one may be a thir
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -60,76 +61,158 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
 
 
 def _levels(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """(conv, id, level, at, missing) of the calls that can be put in order.
+    """(conv, id, level, at) of the calls that can be put in order.
 
-    ``at`` is the turn at which a call can be made: its own, or that of the last result it needs.
-    ``missing``: a reference is to nothing. Where all of a conversation's references are to results
-    of earlier turns, which is what dialogues have, turns are the order. Only the others take
-    rounds, as many as their longest chain; a call in or behind a circle never comes up.
+    ``level`` is the length of the longest chain of calls that a call needs. ``at`` is the turn at
+    which it can be made: its own, or that of the last result it needs. Calls with a reference to
+    nothing, calls in a circle, and all calls behind those have neither.
+
+    Chains of calls with one need each are followed to their ends by pointer doubling, so they take
+    rounds by the logarithm of their length. Calls with several needs are then put in order
+    among themselves, by rounds, as many as their longest chain.
     """
-    needs = calls.select(
-        "conv",
-        "id",
-        "turn",
-        F.explode(
-            F.array_distinct(F.regexp_extract_all("arguments", F.lit(_REFERENCE), F.lit(1)))
-        ).alias("need"),
-    )
-    made = calls.select("conv", F.col("id").alias("need"), F.col("turn").alias("made"))
+    found_needs = F.array_distinct(F.regexp_extract_all("arguments", F.lit(_REFERENCE), F.lit(1)))
+    needs = calls.select("conv", "id", "turn", F.explode(found_needs).alias("need"))
+    made = calls.select("conv", F.col("id").alias("need"), F.lit(True).alias("made"))
     returned = results.select("conv", F.col("id").alias("need"), F.col("turn").alias("returned"))
     edges = stored(
-        needs.join(made, ["conv", "need"], "left").join(returned, ["conv", "need"], "left"),
+        needs.join(made, ["conv", "need"], "left")
+        .join(returned, ["conv", "need"], "left")
+        .withColumn("most", F.greatest("turn", "returned")),
         "chat-needs",
     )
-    missing = edges.filter("made IS NULL").select("conv", "id", F.lit(True).alias("missing"))
-    found = edges.filter("made IS NOT NULL")
-    ahead = F.greatest("made", F.coalesce("returned", "made")) >= F.col("turn")
-    open_convs = stored(found.filter(ahead).select("conv").distinct(), "chat-open")
+    counted = edges.groupBy("conv", "id").agg(
+        F.count(F.lit(1)).alias("needs"),
+        F.count("made").alias("met"),
+        F.first("need").alias("to"),
+        F.first("most").alias("most"),
+    )
+    placed = stored(calls.select("conv", "id", "turn").join(counted, ["conv", "id"], "left"), "chat-placed")
+    free = placed.filter("needs IS NULL").select(
+        "conv", "id", F.lit(0).alias("level"), F.col("turn").alias("at")
+    )
+    chains, circles = _chains(placed.filter("needs = 1 AND met = 1").select("conv", "id", "to", "most"))
+    several = placed.filter("needs > 1 AND needs = met").select("conv", "id")
+    ends = free
+    if not several.isEmpty():
+        ends = free.unionAll(
+            _rounds(edges.join(several, ["conv", "id"], "left_semi"), chains, circles, free)
+        )
+    there = ends.select("conv", F.col("id").alias("to"), F.col("level").alias("_level"), "at")
+    return ends.unionAll(
+        chains.join(there, ["conv", "to"]).select(
+            "conv",
+            "id",
+            (F.col("_level") + F.col("far")).cast("int").alias("level"),
+            F.greatest("at", "most").alias("at"),
+        )
+    )
+
 
-    own = calls.select("conv", "id", "turn")
-    at_once = [F.lit(0).alias("level"), F.col("turn").alias("at")]
-    done = own.join(open_convs, "conv", "left_anti").select("conv", "id", *at_once)
-    if not open_convs.isEmpty():
-        hard = own.join(open_convs, "conv", "left_semi")
-        done = done.unionAll(_rounds(hard, found.join(open_convs, "conv", "left_semi")))
-    return done.join(missing.distinct(), ["conv", "id"], "left").withColumn(
-        "missing", F.coalesce("missing", F.lit(False))
+def _chains(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ended, endless): calls with one need with the end of their chain, and those without an end.
+
+    ``to`` is the first call of the chain that has no need, several, or one to nothing; ``far`` counts
+    the steps up to it, and ``most`` is the last turn on the way. A round doubles the steps. Depths
+    have no gaps, so a round in which no chain ends leaves circles only.
+    """
+    own = single.select("conv", F.col("id").alias("to"), F.lit(True).alias("_on"))
+    columns = ["conv", "id", "to", "far", "most", "ended"]
+    state = stored(
+        single.join(own, ["conv", "to"], "left")
+        .withColumn("far", F.lit(1).cast("long"))
+        .withColumn("ended", F.col("_on").isNull())
+        .select(columns),
+        "chat-chains",
     )
+    ended, open_ = state.filter("ended"), state.filter("NOT ended")
+    while not open_.isEmpty():
+        ahead = ended.unionAll(open_).select(
+            "conv",
+            F.col("id").alias("to"),
+            F.col("to").alias("_to"),
+            F.col("far").alias("_far"),
+            F.col("most").alias("_most"),
+            F.col("ended").alias("_ended"),
+        )
+        state = stored(
+            open_.join(ahead, ["conv", "to"]).select(
+                "conv",
+                "id",
+                F.col("_to").alias("to"),
+                (F.col("far") + F.col("_far")).alias("far"),
+                F.greatest("most", "_most").alias("most"),
+                F.col("_ended").alias("ended"),
+            ),
+            "chat-chains",
+        )
+        fresh, open_ = state.filter("ended"), state.filter("NOT ended")
+        if fresh.isEmpty():
+            break
+        ended = ended.unionAll(fresh)
+    return ended, open_
 
 
-def _rounds(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """Levels and turns of calls, round by round: those whose needs all have theirs come next."""
-    counted = edges.groupBy("conv", "id").agg(F.count(F.lit(1)).alias("needs"))
-    waiting = stored(calls.join(counted, ["conv", "id"], "left"), "chat-waiting")
-    done = stored(
-        waiting.filter("needs IS NULL").select(
-            "conv", "id", F.lit(0).alias("level"), F.col("turn").alias("at")
-        ),
-        "chat-level",
+def _rounds(edges: DataFrame, chains: DataFrame, circles: DataFrame, free: DataFrame) -> DataFrame:
+    """Levels and turns of calls with several needs: those whose needs all have theirs come next."""
+    passed = (
+        chains.select("conv", F.col("id").alias("need"), "to", "far", F.col("most").alias("_most"))
+        .unionAll(
+            circles.select(
+                "conv",
+                F.col("id").alias("need"),
+                F.lit(None).cast("string").alias("to"),
+                F.lit(0).cast("long").alias("far"),
+                F.lit(None).cast("long").alias("_most"),
+            )
+        )
+        .withColumn("_passed", F.lit(True))
     )
+    reached = edges.join(passed, ["conv", "need"], "left").select(
+        "conv",
+        "id",
+        F.when(F.col("_passed"), F.col("to")).otherwise(F.col("need")).alias("to"),
+        (F.coalesce("far", F.lit(0)) + 1).alias("far"),
+        F.greatest("most", "_most").alias("most"),
+    )
+    known = free.select("conv", F.col("id").alias("to"), "level", "at")
+    waiting = stored(reached.join(known, ["conv", "to"], "left"), "chat-waiting")
+    done: list[DataFrame] = []
     while True:
-        there = done.select("conv", F.col("id").alias("need"), "level", "at")
-        ready = F.greatest("at", F.coalesce("returned", "at"))
-        met = (
-            edges.join(there, ["conv", "need"])
-            .groupBy("conv", "id")
+        fresh = stored(
+            waiting.groupBy("conv", "id")
             .agg(
-                F.count(F.lit(1)).alias("met"),
-                (F.max("level") + 1).alias("level"),
-                F.max(ready).alias("_at"),
+                F.count(F.lit(1)).alias("needs"),
+                F.count("level").alias("met"),
+                F.max(F.col("level") + F.col("far")).cast("int").alias("level"),
+                F.max(F.greatest("at", "most")).alias("at"),
             )
-        )
-        fresh = stored(
-            waiting.filter("needs IS NOT NULL")
-            .join(met, ["conv", "id"])
             .filter("met = needs")
-            .select("conv", "id", "level", F.greatest("turn", "_at").alias("at"))
-            .join(done.select("conv", "id"), ["conv", "id"], "left_anti"),
+            .select("conv", "id", "level", "at"),
             "chat-level",
         )
+        done.append(fresh)
+        if len(done) == 16:  # bounds the plan
+            done = [stored(reduce(DataFrame.unionAll, done), "chat-levels")]
         if fresh.isEmpty():
-            return done
-        done = done.unionAll(fresh)
+            return reduce(DataFrame.unionAll, done)
+        came = fresh.select(
+            "conv", F.col("id").alias("to"), F.col("level").alias("_level"), F.col("at").alias("_at")
+        )
+        waiting = stored(
+            waiting.join(fresh.select("conv", "id"), ["conv", "id"], "left_anti")
+            .join(came, ["conv", "to"], "left")
+            .select(
+                "conv",
+                "id",
+                "to",
+                "far",
+                "most",
+                F.coalesce("level", "_level").alias("level"),
+                F.coalesce("at", "_at").alias("at"),
+            ),
+            "chat-waiting",
+        )
 
 
 def _json(**fields: Column) -> Column:
@@ -145,8 +228,9 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     and call_id (of tool results). Events are messages, the calls in them, and results. ``position``
     numbers the events of a conversation so that calls follow the results they need. Status of a
     message is null, of a call *linked*, *unanswered*, *invalid* (see errors), *unresolved* (a
-    reference to nothing, or in or behind a circle), or *duplicate* (of an id used before); of a result
-    *linked*, *duplicate* or *orphan*.
+    reference to nothing, in a circle, or behind such a call), or *duplicate* (of an id used before); of
+    a result *linked*, *duplicate* or *orphan*. ``level`` of a call is the length of the longest chain of
+    calls that it needs, 0 where it is unresolved.
 
     Defined cases: null conversations are one conversation; null turns come last; null texts are
     empty; calls without an id are duplicates of nothing and unanswered, results without one are
@@ -213,7 +297,7 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     call_status = (
         F.when(F.col("id").isNotNull() & ~F.coalesce(own, F.lit(False)), "duplicate")
         .when(F.size("errors") > 0, "invalid")
-        .when(F.col("id").isNotNull() & (F.col("level").isNull() | F.col("missing")), "unresolved")
+        .when(F.col("id").isNotNull() & F.col("level").isNull(), "unresolved")
         .when(F.col("_result").isNull(), "unanswered")
         .otherwise("linked")
     )
