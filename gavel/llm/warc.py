@@ -106,6 +106,18 @@ class ArcReader:
             yield ArcRecord(url, tail[0], tail[1], tail[2], status, block)
         del self._data[:at]
 
+    @property
+    def waiting(self) -> bool:
+        """Whether a record has begun whose end has not come."""
+        return bool(self._data)
+
+    def close(self) -> Iterator[ArcRecord]:
+        """At the end of the stream: a record that is cut short is given as an error."""
+        if self._data.strip(b"\r\n"):
+            line = bytes(self._data).partition(b"\n")[0].decode("utf-8", "replace")
+            yield ArcRecord("", "", "", "", None, b"", f"record cut short: {line[:200]}")
+        self._data.clear()
+
 
 def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
@@ -220,34 +232,49 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
                 for record in reader.feed(archive or b""):
                     rows.append(converted(record, seq))
                     seq += not record.url.startswith("filedesc://")
+                rows += [converted(record, seq) for record in reader.close()]
                 yield _batch(rows, _KINDS, _CONVERTED)
 
     return archives.mapInArrow(run, _CONVERTED)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """WARC records of ARC files; a gzip file is read as one stream, by one task."""
+    """WARC records of ARC files; a file is read as one stream, by one task.
+
+    Spark may read a plain file in several splits, so lines are brought together by file and
+    place first. A record is numbered by its header line. A line end that is missing
+    at the end of a file counts as there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict[str, tuple[ArcReader, list[int]]] = {}
+        reader, current, mark = ArcReader(), None, 0
         for batch in batches:
             rows = []
             pieces = zip(*(batch.column(c).to_pylist() for c in ("file", "seq", "piece")))
             for file, seq, piece in pieces:
-                if file not in files:
-                    files = {file: (ArcReader(), [seq])}
-                reader, number = files[file]
+                if file != current:
+                    rows += [converted(record, mark) for record in reader.close()]
+                    reader, current = ArcReader(), file
+                if not reader.waiting:
+                    mark = seq
                 for record in reader.feed(piece + b"\n"):
-                    rows.append(converted(record, number[0]))
-                    number[0] += 1
+                    rows.append(converted(record, mark))
+                    mark = seq  # a header that ends in this line
             yield _batch(rows, _KINDS, _CONVERTED)
+        yield _batch([converted(record, mark) for record in reader.close()], _KINDS, _CONVERTED)
 
     lines = spark.read.option("lineSep", "\n").text(path)
-    return lines.select(
-        F.input_file_name().alias("file"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").cast("binary").alias("piece"),
-    ).mapInArrow(run, _CONVERTED)
+    return (
+        lines.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("seq"),
+            F.col("value").cast("binary").alias("piece"),
+        )
+        .repartition("file")
+        .sortWithinPartitions("file", "block", "seq")
+        .mapInArrow(run, _CONVERTED)
+    )
 
 
 def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:

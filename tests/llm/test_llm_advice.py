@@ -11,6 +11,7 @@ sys.path[:0] = [str(pathlib.Path(__file__).resolve().parent)]
 
 import brute  # noqa: E402
 
+from gavel.llm import warc  # noqa: E402
 from gavel.llm.suffix_dedup import remove_repeats  # noqa: E402
 from gavel.llm.tool_calls import link_tool_calls  # noqa: E402
 
@@ -113,3 +114,25 @@ def test_levels_of_all_calls(spark):
     assert max(v[0] for v in got[0].values()) == 69
     assert all(v[2] == "unresolved" for v in got[13].values() if v[2] not in (None, "linked"))
     assert any(v[2] == "unresolved" for v in got[13].values())
+
+
+def test_split_and_cut_arc_files(spark, tmp_path):
+    """Files of many splits give all records, and the record cut at a file's end is an error."""
+    blocks = [f"record {i}\n".encode() * (i % 400) for i in range(600)]
+    data = warc.arc_header(1, "t.arc") + b"\n"
+    for i, block in enumerate(blocks):
+        data += warc.arc_record(1, f"http://h/{i}", "1999", "text/plain", block)
+    (tmp_path / "a.arc").write_bytes(data)
+    (tmp_path / "b.arc").write_bytes(data[: -len(blocks[-1]) // 2])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        whole = warc.read_arc(spark, str(tmp_path / "a.arc")).collect()
+        both = warc.read_arc(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [bytes(r.block) for r in sorted(whole, key=lambda r: r.seq)[1:]] == blocks
+    assert not any(r.error for r in whole) and len({r.seq for r in both}) == len(both)
+    cut = [r.error for r in both if r.error]
+    assert len(cut) == 1 and cut[0].startswith("record cut short: http://h/599 ")
+    assert len(both) == 2 * len(whole)
