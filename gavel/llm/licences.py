@@ -1,12 +1,16 @@
 """Licence scan: a trained classifier of paragraphs, confirmed against templates.
 
-Every paragraph (line) of every document is scored by multinomial logistic regression over hashed
+Every line of every document is scored by multinomial logistic regression over hashed
 word 1- to 3-grams, with one class per licence family and one for all other text. The model is
 trained here: on variants of public licence notices, and on corpus paragraphs that share little with
 any of them. A temperature fitted on held-out variants calibrates the probabilities; a paragraph
 whose best family stays under ``MIN_PROBABILITY`` is unknown. What is left is confirmed by the share
 of the template's word pairs that the paragraph holds.
 
+Notices may be wrapped over lines, and a line may hold several. So all places that hold the share of a
+template's word pairs are scored as well, each by itself, over the joined lines between blank ones.
+A line that looks like a notice and has a word of licences but no confirmed family is listed as unknown.
+
 Training sees a bounded sample of paragraphs (``NEGATIVES``); scoring covers all.
 """
 
@@ -31,6 +35,8 @@ VARIANTS = 150
 MIN_PROBABILITY = 0.6
 #: Share of a template's word pairs that a paragraph must hold.
 MIN_SHARED = 0.5
+#: Words of a place that may hold a notice, as a multiple of the template's.
+SPREAD = 1.5
 
 # Short public notices by which works name their licence.
 TEMPLATES = {
@@ -76,6 +82,8 @@ TEMPLATES = {
     ),
 }
 FAMILIES = sorted(TEMPLATES)
+# Words by which a notice says that it is one, with or without punctuation behind.
+_TERMS = "license licence licensed licenced licenses licensing sublicense spdx-license-identifier copyright".split()
 #: Words put into variants in the place of others.
 _FILLER = "this the software work file code package module and its under with a of to text".split()
 
@@ -97,6 +105,7 @@ class Paragraphs:
     count: np.ndarray
     hashes: np.ndarray  # of all words
     number: np.ndarray  # within the text
+    block: np.ndarray | None = None  # lines without a blank one between have the same
 
 
 def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> Paragraphs:
@@ -112,7 +121,11 @@ def _paragraphs(data: np.ndarray, offsets: np.ndarray) -> Paragraphs:
     begins = np.ones(len(owner), bool)
     begins[1:] = owner[1:] != owner[:-1]
     number = np.arange(len(owner)) - np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(owner) else owner
-    return Paragraphs(owner, found.starts[first] - offsets[owner], first, count, found.hashes, number)
+    at = line[first]
+    apart = np.ones(len(owner), bool)
+    apart[1:] = begins[1:] | (at[1:] > at[:-1] + 1)
+    start = found.starts[first] - offsets[owner]
+    return Paragraphs(owner, start, first, count, found.hashes, number, np.cumsum(apart) - 1)
 
 
 def _grams(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, n: int):
@@ -207,6 +220,58 @@ def shared_with_template(pairs: np.ndarray, family: int, templates) -> float:
     )
 
 
+def _with_terms(lines: Paragraphs) -> np.ndarray:
+    """Whether a line has a word that tells of licences."""
+    terms = np.unique(_of_texts([" ".join(t + end for t in _TERMS for end in ("", *".,;:"))]).hashes)
+    owner = np.repeat(np.arange(len(lines.first)), lines.count)
+    return np.bincount(owner[np.isin(lines.hashes, terms)], minlength=len(lines.first)) > 0
+
+
+def _places(lines: Paragraphs, templates) -> list[tuple[int, int, int, float]]:
+    """(family, first word, words, share) of the places that hold enough of a template.
+
+    Places begin and end with a word pair of the template, or have as many words as it; they stay
+    within a block. Of places of one template that overlap, the one with the largest share is given.
+    """
+    if not len(lines.first):
+        return []
+    n = len(lines.hashes)
+    blocks = np.flatnonzero(np.diff(lines.block, prepend=-1))
+    first = lines.first[blocks]
+    ends = np.append(first[1:], n)
+    pairs, owner = _grams(lines.hashes, first, ends - first, 2)
+    words_at = np.arange(len(pairs)) + owner  # a block has one pair less than words
+    known = np.unique(np.concatenate([own for _, own in templates]))
+    slot = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+    hits = np.flatnonzero(known[slot] == pairs)
+    pairs, owner, words_at = pairs[hits], owner[hits], words_at[hits]
+    found = []
+    for family, own in templates:
+        mine = np.flatnonzero(np.isin(pairs, own))
+        need, size = int(np.ceil(MIN_SHARED * len(own))), len(own) + 1
+        if not len(own) or len(mine) < need:
+            continue
+        at, value, block = words_at[mine], pairs[mine], owner[mine]
+        until = np.searchsorted(at, at + int(np.ceil(SPREAD * size)) - 1)
+        until = np.minimum(until, np.searchsorted(block, block, "right"))
+        able = []
+        for i in np.flatnonzero(until - np.arange(len(at)) >= need).tolist():
+            share = len(np.unique(value[i : until[i]])) / len(own)
+            if share >= MIN_SHARED:
+                end = max(at[until[i] - 1] + 2, min(at[i] + size, ends[block[i]]))
+                able.append((-share, int(at[i]), int(end)))
+        # Places that overlap follow each other by their first words.
+        able.sort(key=lambda x: x[1])
+        best: list[tuple] = []
+        for place in able:
+            if best and place[1] < best[-1][2]:
+                best[-1] = min(best[-1], place)
+            else:
+                best.append(place)
+        found += [(family, begin, end - begin, -share) for share, begin, end in best]
+    return found
+
+
 def train(others: list[str], seed: int = 7, rounds: int = 120) -> Model:
     """Softmax regression with L2 by gradient steps with momentum; the temperature on held-out
     variants. ``others`` are corpus paragraphs; those that hold half a template are left out."""
@@ -256,13 +321,17 @@ def train(others: list[str], seed: int = 7, rounds: int = 120) -> Model:
 
 _FOUND = (
     "doc_id long, n_paragraphs long, "
-    "found array<struct<paragraph:long,start:long,family:string,probability:double,shared:double>>"
+    "found array<struct<paragraph:long,start:long,family:string,probability:double,shared:double>>, "
+    "unknown array<struct<paragraph:long,start:long,probability:double>>"
 )
 
 
 def scan_licences(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_paragraphs (lines with a word), and found: the licence
-    paragraphs with number, start (byte), family, probability and share of the template.
+    paragraphs with number, start (byte), family, probability and share of the template. A notice over
+    several lines is found at its first one, and a line may hold several families. ``unknown``: the
+    lines with a word of licences that are likely some notice, but of no family that could be
+    confirmed there.
 
     Defined cases: null and empty texts have no paragraphs; null ids and repeated rows are scanned
     like others; equal probabilities go to the first family by name; an empty table gives no rows;
@@ -294,31 +363,63 @@ def scan_licences(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 7) ->
                 lines = _paragraphs(part, offsets[at : until + 1] - offsets[at])
                 totals = np.bincount(lines.text, minlength=until - at)
                 found: list[list[dict]] = [[] for _ in range(until - at)]
+                unknown: list[list[dict]] = [[] for _ in range(until - at)]
                 buckets, owner = _features(lines.hashes, lines.first, lines.count)
                 z = _logits(model, buckets, owner, len(lines.first)) / model.temperature
                 p = _softmax(z) if len(z) else z
                 best = p[:, 1:].argmax(axis=1) + 1 if len(z) else np.zeros(0, int)
                 likely = np.flatnonzero(p[np.arange(len(best)), best] >= MIN_PROBABILITY)
+                confirmed: dict[tuple[int, int], tuple[float, float]] = {}
+                covered = np.zeros(len(lines.first), bool)
                 for i in likely.tolist():
                     own, _ = _grams(lines.hashes, lines.first[i : i + 1], lines.count[i : i + 1], 2)
                     share = shared_with_template(np.unique(own), int(best[i]), templates)
                     if share >= MIN_SHARED:
-                        found[lines.text[i]].append(
-                            {
-                                "paragraph": int(lines.number[i]),
-                                "start": int(lines.start[i]),
-                                "family": FAMILIES[best[i] - 1],
-                                "probability": round(float(p[i, best[i]]), 6),
-                                "shared": round(share, 6),
-                            }
-                        )
+                        confirmed[i, int(best[i])] = float(p[i, best[i]]), share
+                        covered[i] = True
+                whole = set(confirmed)
+                places = _places(lines, templates)
+                if places:
+                    family, begin, size, share = (np.array(c) for c in zip(*places))
+                    buckets, owner = _features(lines.hashes, begin, size)
+                    q = _softmax(_logits(model, buckets, owner, len(begin)) / model.temperature)
+                    q = q[np.arange(len(begin)), family]
+                    head = np.searchsorted(lines.first, begin, "right") - 1
+                    tail = np.searchsorted(lines.first, begin + size, "left")
+                    good = np.flatnonzero(q >= MIN_PROBABILITY)
+                    for k in good[np.argsort(-q[good], kind="stable")].tolist():
+                        kind = int(family[k])
+                        # The notice that a line was confirmed by is not found in it again.
+                        if not any((i, kind) in whole for i in range(head[k], tail[k])):
+                            confirmed.setdefault((int(head[k]), kind), (float(q[k]), float(share[k])))
+                        covered[head[k] : tail[k]] = True
+                for (i, kind), (chance, share) in sorted(confirmed.items()):
+                    found[lines.text[i]].append(
+                        {
+                            "paragraph": int(lines.number[i]),
+                            "start": int(lines.start[i]),
+                            "family": FAMILIES[kind - 1],
+                            "probability": round(chance, 6),
+                            "shared": round(share, 6),
+                        }
+                    )
+                some = 1 - p[:, 0] if len(z) else np.zeros(0)
+                for i in np.flatnonzero((some >= MIN_PROBABILITY) & _with_terms(lines) & ~covered).tolist():
+                    unknown[lines.text[i]].append(
+                        {
+                            "paragraph": int(lines.number[i]),
+                            "start": int(lines.start[i]),
+                            "probability": round(float(some[i]), 6),
+                        }
+                    )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[at:until], pa.int64()),
                         pa.array(totals.astype(np.int64)),
                         pa.array(found, _FOUND_TYPE),
+                        pa.array(unknown, _UNKNOWN_TYPE),
                     ],
-                    names=["doc_id", "n_paragraphs", "found"],
+                    names=["doc_id", "n_paragraphs", "found", "unknown"],
                 )
                 at = until
 
@@ -339,3 +440,7 @@ _FOUND_TYPE = pa.list_(
         ]
     )
 )
+
+_UNKNOWN_TYPE = pa.list_(
+    pa.struct([("paragraph", pa.int64()), ("start", pa.int64()), ("probability", pa.float64())])
+)

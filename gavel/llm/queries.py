@@ -224,4 +224,11 @@ def op9(spark, folder) -> DataFrame:
         F.size("found").cast("bigint").alias("n_licences"),
         F.array_join(listed, ",").alias("licences"),
         F.array_min(F.transform("found", lambda x: x["probability"])).alias("least_probability"),
+        F.array_join(
+            F.transform(
+                "unknown",
+                lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["start"].cast("string")),
+            ),
+            ",",
+        ).alias("unknown"),
     )

@@ -12,6 +12,7 @@ sys.path[:0] = [str(pathlib.Path(__file__).resolve().parent)]
 import brute  # noqa: E402
 
 from gavel.llm import warc  # noqa: E402
+from gavel.llm.licences import scan_licences  # noqa: E402
 from gavel.llm.suffix_dedup import remove_repeats  # noqa: E402
 from gavel.llm.tool_calls import link_tool_calls  # noqa: E402
 
@@ -136,3 +137,29 @@ def test_split_and_cut_arc_files(spark, tmp_path):
     cut = [r.error for r in both if r.error]
     assert len(cut) == 1 and cut[0].startswith("record cut short: http://h/599 ")
     assert len(both) == 2 * len(whole)
+
+
+WRAPPED = [
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+        'of this software and associated documentation files (the "Software"), to deal\n'
+        "in the Software without restriction, including without limitation the rights\n",
+        {(1, "mit")},
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify\n"
+        "it under the terms of the GNU General Public License as published by\n"
+        "the Free Software Foundation, either version 3 of the License, or\n",
+        {(1, "gpl")},
+    ),
+    ("Released under the MIT License. Licensed under the Apache License, Version 2.0.\n", {(1, "mit"), (1, "apache")}),
+    ("SPDX-License-Identifier: Zlib\n", set()),
+]
+
+
+def test_wrapped_and_dual_licences(spark):
+    rows = [(i, f"drobal\n\n{notice}\nsome lines\n") for i, (notice, _) in enumerate(WRAPPED)]
+    for row in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert {(x.paragraph, x.family) for x in row.found} == WRAPPED[row.doc_id][1], row
+        if row.doc_id == 3:
+            assert [x.paragraph for x in row.unknown] == [1]
