@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gavel.llm.common import n_words, table, tuned
 from gavel.llm.exact_dedup import exact_dedup
+from gavel.llm.hard_negatives import hard_negatives, usable_vectors
 from gavel.llm.licences import scan_licences
 from gavel.llm.mixing import mix, taken
 from gavel.llm.near_dedup import near_dedup
@@ -232,3 +233,35 @@ def op9(spark, folder) -> DataFrame:
             ",",
         ).alias("unknown"),
     )
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), pairs AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+               list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+    ), positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+           row_number() OVER (
+               PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank
+    FROM positives JOIN pairs USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+    """,
+)
+def op11(spark, folder) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    vectors = usable_vectors(table(spark, folder, "embeddings"), noisy)
+    return hard_negatives(vectors, vec_id % 100 == 0)
