@@ -9,6 +9,7 @@ from gavel.llm.common import n_words, table, tuned
 from gavel.llm.exact_dedup import exact_dedup
 from gavel.llm.hard_negatives import hard_negatives, usable_vectors
 from gavel.llm.licences import scan_licences
+from gavel.llm.merkle import COLUMNS, manifest
 from gavel.llm.mixing import mix, taken
 from gavel.llm.near_dedup import near_dedup
 from gavel.llm.packing import pack
@@ -265,3 +266,84 @@ def op11(spark, folder) -> DataFrame:
     noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
     vectors = usable_vectors(table(spark, folder, "embeddings"), noisy)
     return hard_negatives(vectors, vec_id % 100 == 0)
+
+
+def _sql_crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII text in DuckDB, bit by bit."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+    byte = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, _: {step})"
+    every = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(({text})[i])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {every}), lambda c, b: {byte}), 4294967295)"
+
+
+def _sql_tree(name: str, leaves: str, levels: int) -> str:
+    """Levels of trees over ``leaves`` (tree, idx, d); a level has left and right siblings, and
+    whether its trees go on growing."""
+    parts, below = [], leaves
+    for k in range(levels + 1):
+        parts.append(f"""
+    {name}{k} AS MATERIALIZED (
+        SELECT tree, idx, d, count(*) OVER (PARTITION BY tree) > 1 AS grows,
+               coalesce(string_agg(d, '') OVER (PARTITION BY tree, idx // 16 ORDER BY idx
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+               coalesce(string_agg(d, '') OVER (PARTITION BY tree, idx // 16 ORDER BY idx
+                   ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+        FROM {below}
+    )""")
+        below = f"""(
+            SELECT tree, idx // 16 AS idx, CASE WHEN any_value(grows)
+                   THEN sha256(string_agg(d, '' ORDER BY idx)) ELSE any_value(d) END AS d
+            FROM {name}{k} GROUP BY tree, idx // 16)"""
+    return ",".join(parts)
+
+
+def _sql_manifest(levels: int = 6, source_levels: int = 4) -> str:
+    def leaf(text: str) -> str:
+        values = [c if c != "text" else text for c in COLUMNS]
+        coded = [f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values]
+        return f"sha256({' || '.join(coded)})"
+
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [(f"n{k}", f"n{k}.idx = rank // {16 ** k} AND n{k}.tree = base.tree") for k in range(levels)]
+    steps += [(f"u{k}", f"u{k}.idx = place // {16 ** k}") for k in range(source_levels)]
+    joins = " ".join(f"JOIN {t} ON {on}" for t, on in steps)
+    proof = [f"CASE WHEN {t}.grows THEN {t}.l || {t}.r ELSE '' END" for t, _ in steps]
+    chain, now = [], "now"
+    for k, (t, _) in enumerate(steps):
+        chain.append(f"CASE WHEN {t}.grows THEN sha256({t}.l || {now} || {t}.r) ELSE {now} END AS f{k}")
+        now = f"f{k}"
+    return f"""
+    WITH base AS MATERIALIZED (
+        SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank
+        FROM (
+            SELECT doc_id, coalesce('+' || source, '') AS tree, {leaf("text")} AS leaf,
+                   CASE WHEN {_sql_crc32("doc_id::VARCHAR")} % 5 = 0
+                        THEN {leaf(lowered)} ELSE {leaf("text")} END AS now
+            FROM documents)
+    ), first AS (SELECT tree, rank AS idx, leaf AS d FROM base),
+    {_sql_tree("n", "first", levels)},
+    sources AS MATERIALIZED (
+        SELECT tree AS key, d, row_number() OVER (ORDER BY tree) - 1 AS place FROM n{levels}
+    ), subroots AS (SELECT 0 AS tree, place AS idx, d FROM sources),
+    {_sql_tree("u", "subroots", source_levels)}
+    SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+    FROM (
+        SELECT doc_id, leaf, sources.d AS subroot, (SELECT d FROM u{source_levels}) AS root,
+               sha256({" || ".join(proof)}) AS proof_sha256, {", ".join(chain)}, {now} AS folded_root
+        FROM base JOIN sources ON sources.key = base.tree {joins})
+    """
+
+
+@query("op12_merkle_manifest", _sql_manifest())
+def op12(spark, folder) -> DataFrame:
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = manifest(table(spark, folder, "documents"), touched)
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.col("proof").alias("proof_sha256"),
+        "folded_root",
+        "verified",
+    )
