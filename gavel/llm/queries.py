@@ -15,6 +15,7 @@ from gavel.llm.near_dedup import near_dedup
 from gavel.llm.packing import pack
 from gavel.llm.pii import find_personal_data, joined_spans
 from gavel.llm.quality import rate_quality, trusted_ids
+from gavel.llm.sharding import shard_documents
 from gavel.llm.suffix_dedup import remove_repeats
 from gavel.llm.tool_calls import link_tool_calls
 from gavel.llm.warc import archive_pages
@@ -347,3 +348,17 @@ def op12(spark, folder) -> DataFrame:
         "folded_root",
         "verified",
     )
+
+
+@query("op13_balanced_sharding")
+def op13(spark, folder) -> DataFrame:
+    placed = shard_documents(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
