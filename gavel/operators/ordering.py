@@ -140,3 +140,106 @@ def running_totals(
         for name in totals
     ]
     return joined.select(*df.columns, *results)
+
+
+def neighbours(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    before: Mapping[str, Column] | None = None,
+    after: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """The nearest value that is not null before and after every row, within its key.
+
+    ``before`` and ``after`` name values; the results take those names, and a row's own value
+    does not count. ``order_by`` is a total order. A key may fill many partitions: each
+    partition looks through its own rows, and what reaches over its borders is carried by a table
+    with at most two rows per partition, as only its first and its last key go on elsewhere.
+    """
+    keys = list(keys)
+    sides = {False: dict(before or {}), True: dict(after or {})}
+    valued = df.select(
+        "*", *[e.alias(f"_v_{name}") for side in sides.values() for name, e in side.items()]
+    )
+    placed = _placed(valued, [*keys, *order_by])
+
+    key = F.struct(*keys)
+    edges = placed.groupBy(_PART).agg(
+        F.min_by(key, _POS).alias("_first"), F.max_by(key, _POS).alias("_last")
+    )
+    at_edge = placed.join(F.broadcast(edges), _PART).filter(
+        key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_last"))
+    )
+
+    def nearest(name: str, backwards: bool) -> Column:
+        value = F.when(F.col(f"_v_{name}").isNotNull(), F.col(_POS))
+        pick = F.min_by if backwards else F.max_by
+        return pick(f"_v_{name}", value).alias(f"_c_{name}")
+
+    per_part = at_edge.groupBy(_PART, *keys).agg(
+        *[nearest(name, back) for back, side in sides.items() for name in side]
+    )
+    order = {
+        back: Window.partitionBy(*keys).orderBy(F.desc(_PART) if back else F.asc(_PART))
+        .rowsBetween(Window.unboundedPreceding, -1)
+        for back in sides
+    }
+    carry = per_part.select(
+        F.col(_PART).alias("_cp"),
+        *[F.col(k).alias(f"_ck_{k}") for k in keys],
+        *[
+            F.last(f"_c_{name}", ignorenulls=True).over(order[back]).alias(f"_c_{name}")
+            for back, side in sides.items()
+            for name in side
+        ],
+    )
+    frames = {
+        back: Window.partitionBy(_PART, *keys).orderBy(F.desc(_POS) if back else F.asc(_POS))
+        .rowsBetween(Window.unboundedPreceding, -1)
+        for back in sides
+    }
+    seen = placed.select(
+        "*",
+        *[
+            F.last(f"_v_{name}", ignorenulls=True).over(frames[back]).alias(f"_r_{name}")
+            for back, side in sides.items()
+            for name in side
+        ],
+    )
+    same = F.col(_PART) == F.col("_cp")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_ck_{k}"))
+    joined = seen.join(F.broadcast(carry), same, "left")
+    names = [name for side in sides.values() for name in side]
+    return joined.select(
+        *df.columns, *[F.coalesce(f"_r_{name}", f"_c_{name}").alias(name) for name in names]
+    )
+
+
+def followed(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """The nodes on the chains that begin at ``starts`` (node), one row each.
+
+    ``pointers`` is (node, next), at most one row per node; a node without one ends its chain, and no
+    chain may run in a circle. Pointers are doubled: after n rounds all nodes within 4 ** n steps
+    are found, so the rounds are the logarithm of the longest chain, whatever its length. Nodes
+    found and pointers are one narrow table, written once a round.
+    """
+    nowhere = F.lit(None).cast("bigint")
+    state = starts.select(F.col("node").cast("bigint"), nowhere.alias("next")).unionAll(
+        pointers.select(F.col("node").cast("bigint"), F.col("next").cast("bigint")).filter("next IS NOT NULL")
+    )
+    while True:
+        state = materialized(state)
+        found, jumps = state.filter("next IS NULL").select("node"), state.filter("next IS NOT NULL")
+        if jumps.isEmpty():
+            return found.distinct()
+        for _ in range(2):
+            ahead = found.join(jumps, "node").select(F.col("next").alias("node"))
+            found = found.unionAll(ahead)
+            jumps = _doubled(jumps)
+        state = found.distinct().withColumn("next", nowhere).unionAll(jumps)
+
+
+def _doubled(jumps: DataFrame) -> DataFrame:
+    further = jumps.select(F.col("node").alias("next"), F.col("next").alias("_end"))
+    return jumps.join(further, "next").select("node", F.col("_end").alias("next"))

@@ -2,152 +2,162 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
+import datetime
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gavel.operators.transport import TTL_SECONDS
+from gavel.operators.transport import TTL_SECONDS, depth_changes, settle_in_turn
+from gavel.session import materialized
 
-# Workers get this module's code with the task, so it need not be installed on them.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-OUTPUT = "id string, request_us bigint, response_us bigint, response_seq bigint, outcome string"
-# In place of NULL, which would turn the column, and every large seq in it, into floats.
-NO_DEADLINE = -(2**63)
+DELAY_SECONDS = 60.0
 #: How long a request without a deadline waits.
 MAX_WAIT_SECONDS = 90 * 86_400.0
-COLUMNS = ["id", "request_us", "response_us", "response_seq", "outcome"]
-STATE = "request_us bigint, deadline_us bigint, held_us bigint, held_seq bigint"
-
-WAITING, ARRIVED, UNANSWERED = "waiting", "arrived", "unanswered"
-OVERWRITTEN, EXPIRED = "overwritten", "expired"
-
-
-class _Slot:
-    """What is remembered of one id: a waiting request or a response nobody asked for yet."""
-
-    def __init__(self, key: str, ttl_us: int, saved: tuple | None):
-        self.key, self.ttl_us, self.out = key, ttl_us, []
-        self.request, self.deadline, self.held, self.held_seq = saved or (None,) * 4
-
-    def emit(self, request, response, seq, outcome):
-        self.out.append((self.key, request, response, seq, outcome))
-
-    def release_held(self, at: int):
-        """Let go of the held response because of something at time ``at``."""
-        fate = OVERWRITTEN if at <= self.held + self.ttl_us else EXPIRED
-        self.emit(None, self.held, self.held_seq, fate)
-        self.held = self.held_seq = None
-
-    def give_up(self):
-        self.emit(self.request, None, None, UNANSWERED)
-        self.request = self.deadline = None
-
-    def on_response(self, at: int, seq: int):
-        if self.request is not None and self.deadline is not None and at > self.deadline:
-            self.give_up()
-        if self.request is not None:
-            self.emit(self.request, at, seq, ARRIVED)
-            self.request = self.deadline = None
-            return
-        if self.held is not None:
-            self.release_held(at)
-        self.held, self.held_seq = at, seq
-
-    def on_request(self, at: int, deadline: int | None):
-        if self.held is not None and at <= self.held + self.ttl_us:
-            self.emit(at, self.held, self.held_seq, WAITING)
-            self.held = self.held_seq = None
-            return
-        if self.held is not None:
-            self.emit(None, self.held, self.held_seq, EXPIRED)
-            self.held = self.held_seq = None
-        self.request, self.deadline = at, deadline
-
-    def on_time(self, now: int):
-        if self.held is not None and now > self.held + self.ttl_us:
-            self.emit(None, self.held, self.held_seq, EXPIRED)
-            self.held = self.held_seq = None
-        if self.deadline is not None and now > self.deadline:
-            self.give_up()
-
-    def save(self, state: GroupState):
-        if self.request is None and self.held is None:
-            if state.exists:
-                state.remove()
-            return
-        state.update((self.request, self.deadline, self.held, self.held_seq))
-        times = [self.held + self.ttl_us] if self.held is not None else []
-        times += [self.deadline] if self.deadline is not None else []
-        if times:
-            # Timeouts are in milliseconds and must lie ahead of the watermark.
-            wake = min(times) // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-
-
-def match_stream(
-    requests: DataFrame,
-    responses: DataFrame,
-    ttl_seconds: float = TTL_SECONDS,
-    delay: str = "1 minute",
-    max_wait_seconds: float = MAX_WAIT_SECONDS,
+
+EVENTS = "id string, ts timestamp, is_request boolean, deadline_ts timestamp, queue string, number bigint"
+_STATE = EVENTS + ", settled boolean"
+_MARK = "watermark timestamp"
+
+
+def transport_events(
+    requests: DataFrame, responses: DataFrame, max_wait_seconds: float = MAX_WAIT_SECONDS
 ) -> DataFrame:
-    """Outcomes of a request stream (``id, request_ts, deadline_ts?``) and a response stream
-    (``id, response_ts, seq``), in append mode.
-
-    A request ends as ``waiting``, ``arrived`` or, past its deadline, ``unanswered``; a response
-    nobody took as ``overwritten`` or ``expired``. Rows of one trigger are put in event-time
-    order, so replayed files give what the batch operator gives. A request without a deadline is
-    given up after ``max_wait_seconds``, so no state is kept for ever. Rows more than ``delay`` behind
-    the newest are dropped by the watermark; choose it by how late rows can be. State is one slot per open id;
-    what a task holds of a hot id is bounded by the rows admitted per trigger.
-    """
-    ttl_us = int(ttl_seconds * 1_000_000)
+    """One stream (or table) of requests (``id, request_ts, deadline_ts?, queue?``) and responses
+    (``id, response_ts, seq``). A request without a deadline is given up after ``max_wait_seconds``,
+    so that nothing is kept for ever."""
+    columns = requests.columns
     latest = F.col("request_ts") + F.make_dt_interval(secs=F.lit(max_wait_seconds))
-    deadline = (
-        F.coalesce("deadline_ts", latest) if "deadline_ts" in requests.columns else latest
-    )
-    # A response at the very moment of a request counts as waiting, so it sorts first.
-    events = requests.select(
-        "id", F.col("request_ts").alias("ts"), F.lit(1).alias("is_request"),
-        F.coalesce(F.unix_micros(deadline), F.lit(NO_DEADLINE)).alias("number"),
+    deadline = F.coalesce("deadline_ts", latest) if "deadline_ts" in columns else latest
+    queue = F.col("queue") if "queue" in columns else F.lit(None).cast("string")
+    return requests.select(
+        "id", F.col("request_ts").alias("ts"), F.lit(True).alias("is_request"),
+        deadline.alias("deadline_ts"), queue.alias("queue"), F.lit(None).cast("bigint").alias("number"),
     ).unionByName(
         responses.select(
-            "id", F.col("response_ts").alias("ts"), F.lit(0).alias("is_request"),
+            "id", F.col("response_ts").alias("ts"), F.lit(False).alias("is_request"),
+            F.lit(None).cast("timestamp").alias("deadline_ts"), F.lit(None).cast("string").alias("queue"),
             F.col("seq").cast("bigint").alias("number"),
         )
     )
-    timed = events.withColumn("us", F.unix_micros("ts")).withWatermark("ts", delay)
-
-    def step(
-        key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        slot = _Slot(key[0], ttl_us, tuple(state.get) if state.exists else None)
-        if state.hasTimedOut:
-            slot.on_time(state.getCurrentWatermarkMs() * 1000)
+
+
+def match_writer(
+    folder: str,
+    ttl_seconds: float = TTL_SECONDS,
+    delay_seconds: float = DELAY_SECONDS,
+    on_changes: Callable[[DataFrame, int], None] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for a stream of ``transport_events``.
+
+    Every trigger settles the events older than the watermark, which is ``delay_seconds`` behind
+    the newest event so far, by the batch operators. Their order is final, so the outcomes do not
+    depend on how events fall into triggers: together they are what one batch over all events that
+    were not late gives. Tables, one folder per batch number, overwritten on a retry:
+
+    * ``outcomes``: ``id, request_ts, response_ts, response_seq, outcome``. A request ends as
+      ``waiting``, ``arrived``, ``rejected`` (another one of its id waits) or, past its deadline,
+      ``unanswered``; a response nobody took as ``overwritten`` or ``expired``.
+    * ``late``: events older than the watermark of the trigger before, set apart ahead of everything,
+      and those without a time.
+    * ``state``: at most one open request or response per id, and the events that are too new.
+    * ``marks``: the watermark.
+
+    ``on_changes`` gets the changes of queue depth that the trigger settled, all of them later than those
+    of the triggers before: ``depth_writer`` can follow in the same query.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if number:
+            before = spark.read.schema(_STATE).parquet(f"{folder}/state/batch={number - 1}")
+            mark = spark.read.schema(_MARK).parquet(f"{folder}/marks/batch={number - 1}").first()[0]
         else:
-            rows = []
-            for batch in batches:
-                rows.extend(zip(batch["us"].tolist(), batch["is_request"].tolist(), batch["number"].tolist()))
-            for us, is_request, number in sorted(rows):
-                if is_request:
-                    slot.on_request(us, None if number == NO_DEADLINE else number)
-                else:
-                    slot.on_response(us, number)
-        slot.save(state)
-        if slot.out:
-            # As objects, so that whole numbers next to a None do not become floats.
-            yield pd.DataFrame(slot.out, columns=COLUMNS, dtype="object")
-
-    return timed.groupBy("id").applyInPandasWithState(
-        step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+            before, mark = spark.createDataFrame([], _STATE), None
 
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
-def first_response_stream(deliveries: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """One delivery per ``id``, where any copy of one trigger will do."""
-    return deliveries.withWatermark("response_ts", delay).dropDuplicatesWithinWatermark(["id"])
+        arrived = materialized(batch.select(*[f.split()[0] for f in EVENTS.split(", ")]))
+        newest = arrived.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            ahead = newest - datetime.timedelta(seconds=delay_seconds)
+            watermark = ahead if mark is None else max(mark, ahead)
+        else:
+            watermark = mark
+        is_late = F.col("ts").isNull()
+        if mark is not None:
+            is_late = is_late | (F.col("ts") < F.lit(mark))
+        put(arrived.filter(is_late), "late")
+        put(spark.createDataFrame([(watermark,)], _MARK), "marks")
+        known = materialized(
+            before.unionByName(arrived.filter(~is_late).withColumn("settled", F.lit(False))).withColumn(
+                "_number", F.monotonically_increasing_id()
+            )
+        )
+        final = F.lit(False) if watermark is None else F.coalesce(F.col("ts") < F.lit(watermark), F.lit(False))
+
+        ready = known.filter(final)
+        requests = ready.filter("is_request").select(
+            "id", F.col("ts").alias("request_ts"), "deadline_ts", "queue", "settled", "_number"
+        )
+        responses = ready.filter("NOT is_request").select(
+            "id", F.col("ts").alias("response_ts"), F.col("number").alias("seq")
+        )
+        settled, fates = settle_in_turn(requests, responses, ttl_seconds)
+        matched = materialized(requests.join(settled, "_number"))
+        fates = materialized(responses.join(fates, "seq"))
+        now = F.lit(watermark).cast("timestamp")
+        lifetime = F.make_dt_interval(secs=F.lit(ttl_seconds))
+        open_request = F.col("how").isNull() & (F.col("deadline_ts") >= now)
+        open_response = (F.col("fate") == "expired") & (F.col("response_ts") + lifetime >= now)
+        none = F.lit(None)
+        put(
+            matched.filter(~open_request)
+            .select("id", "request_ts", "response_ts", "response_seq", F.coalesce("how", F.lit("unanswered")).alias("outcome"))
+            .unionByName(
+                fates.filter(~open_response).select(
+                    "id", none.cast("timestamp").alias("request_ts"), "response_ts",
+                    F.col("seq").alias("response_seq"), F.col("fate").alias("outcome"),
+                )
+            ),
+            "outcomes",
+        )
+        columns = [f.split()[0] for f in _STATE.split(", ")]
+        carried = (
+            matched.filter(open_request)
+            .select(
+                "id", F.col("request_ts").alias("ts"), F.lit(True).alias("is_request"), "deadline_ts", "queue",
+                none.cast("bigint").alias("number"), F.lit(True).alias("settled"),
+            )
+            .unionByName(
+                fates.filter(open_response).select(
+                    "id", F.col("response_ts").alias("ts"), F.lit(False).alias("is_request"),
+                    none.cast("timestamp").alias("deadline_ts"), none.cast("string").alias("queue"),
+                    F.col("seq").alias("number"), F.lit(True).alias("settled"),
+                )
+            )
+        )
+        put(known.filter(~final).select(columns).unionByName(carried), "state")
+        if on_changes is not None:
+            on_changes(depth_changes(matched, ~F.col("settled")), number)
+
+    return write
+
+
+def first_response_stream(
+    deliveries: DataFrame, delay: str = "1 minute", within: str = "1 hour"
+) -> DataFrame:
+    """The first delivery of every ``id`` by (response_ts, seq), in append mode.
+
+    Copies of one id that follow each other by less than ``within`` are one session, and its least
+    delivery comes out once the watermark has passed the session's end; no copy is kept but the least. A
+    copy is only dropped as late when its session has ended. An id delivered again after a
+    longer pause is a new delivery. Choose ``within`` by how far apart copies of one job can be.
+    """
+    first = F.min(F.struct("response_ts", "seq"))
+    return (
+        deliveries.withWatermark("response_ts", delay)
+        .groupBy("id", F.session_window("response_ts", within).alias("session"))
+        .agg(first.alias("first"))
+        .select("id", F.col("first.seq").alias("seq"), F.col("first.response_ts").alias("response_ts"))
+    )

@@ -518,3 +518,92 @@ matched AS (
          CASE WHEN t.seq IS NULL THEN NULL WHEN t.waiting THEN 'waiting' ELSE 'arrived' END AS how
   FROM requests q LEFT JOIN taken t ON q.id = t.id)
 """
+
+
+# --- transport with repeated requests, and as a stream in parts ---
+
+DELAY_SECONDS = 24 * 3600
+MAX_WAIT_DAYS = 90
+
+
+def repeated_requests(t: Tables) -> DataFrame:
+    """Every view and signup: an id is asked for many times."""
+    return (
+        _keyed_events(t)
+        .filter("event_type IN ('view', 'signup')")
+        .select(
+            "event_id",
+            "id",
+            text("q", F.col("user_id") % 5).alias("queue"),
+            F.col("ts").alias("request_ts"),
+            F.when(F.col("user_id") % 2 == 0, F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("deadline_ts"),
+        )
+    )
+
+
+def event_parts(t: Tables) -> DataFrame:
+    """``event_id, part``: events in four parts by time, where a fifth of them comes up to a day too
+    late for its part, and some only come with the last one."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = t.events.agg(F.min(us), F.max(us)).first()
+    moved = us + (F.col("event_id") % 5) * F.lit(6 * 3600 * 1_000_000) - F.lit(low)
+    part = F.least(F.lit(3), F.floor(moved * 4 / F.lit(float(high - low + 1))))
+    return t.events.select("event_id", F.when(F.col("event_id") % 97 == 0, 3).otherwise(part).cast("int").alias("part"))
+
+
+def in_turn(live: bool) -> str:
+    """The store one event of every id at a time; with ``live`` only for events that are not late."""
+    until = f"request_ts + INTERVAL {MAX_WAIT_DAYS} DAY" if live else "TIMESTAMP 'infinity'"
+    late = f"""
+bounds AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events),
+parts AS (
+  SELECT e.*, CASE WHEN event_id % 97 = 0 THEN 3 ELSE least(3, floor(
+           CAST(epoch_us(ts) + (event_id % 5) * 21600000000 - low AS DOUBLE) * 4 / CAST(high - low + 1 AS DOUBLE))) END AS part
+  FROM events e, bounds),
+ends AS (
+  SELECT p.part, max(e.ts) - INTERVAL {DELAY_SECONDS} SECOND AS watermark
+  FROM (SELECT DISTINCT part FROM parts) p JOIN parts e ON e.part < p.part GROUP BY p.part),
+arrivals AS (SELECT p.*, coalesce(p.ts < ends.watermark, false) AS late FROM parts p LEFT JOIN ends ON p.part = ends.part),
+"""
+    return f"""
+{late if live else "arrivals AS (SELECT *, false AS late FROM events),"}
+keyed_events AS (
+  SELECT *, user_id || '-' || CAST(floor(k / 10) AS INTEGER) AS id
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM arrivals)),
+requests AS (
+  SELECT event_id, id, 'q' || (user_id % 5) AS queue, ts AS request_ts,
+         CASE WHEN user_id % 2 = 0 THEN ts + INTERVAL 10 DAY END AS deadline_ts
+  FROM keyed_events WHERE event_type IN ('view', 'signup') AND NOT late),
+responses AS (
+  SELECT id, ts AS response_ts, event_id AS seq
+  FROM keyed_events WHERE event_type IN ('click', 'purchase', 'error') AND NOT late),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, kind, number) AS k FROM (
+    SELECT id, response_ts AS ts, 0 AS kind, seq AS number, NULL::TIMESTAMP AS until FROM responses
+    UNION ALL SELECT id, request_ts, 1, event_id, coalesce(deadline_ts, {until}) FROM requests)),
+store AS (
+  SELECT DISTINCT id, 0::BIGINT AS k, NULL::BIGINT AS waiter, NULL::TIMESTAMP AS until, NULL::BIGINT AS held, NULL::TIMESTAMP AS held_ts,
+         NULL::BIGINT AS request, NULL::BIGINT AS response, NULL::VARCHAR AS how, NULL::BIGINT AS gone, NULL::VARCHAR AS fate FROM turns
+  UNION ALL
+  SELECT id, k,
+         CASE WHEN kind = 1 AND alive THEN waiter WHEN kind = 1 AND NOT fresh THEN number END,
+         CASE WHEN kind = 1 AND alive THEN until WHEN kind = 1 AND NOT fresh THEN new_until END,
+         CASE WHEN kind = 0 AND NOT alive THEN number END, CASE WHEN kind = 0 AND NOT alive THEN ts END,
+         CASE WHEN kind = 0 AND alive THEN waiter WHEN kind = 1 AND (alive OR fresh) THEN number END,
+         CASE WHEN kind = 0 AND alive THEN number WHEN kind = 1 AND fresh AND NOT alive THEN held END,
+         CASE WHEN kind = 0 AND alive THEN 'arrived' WHEN kind = 1 AND alive THEN 'rejected' WHEN kind = 1 AND fresh THEN 'waiting' END,
+         CASE WHEN NOT alive AND (kind = 0 OR NOT fresh) THEN held END,
+         CASE WHEN kind = 0 AND fresh THEN 'overwritten' ELSE 'expired' END
+  FROM (SELECT s.waiter, s.until, s.held, t.id, t.k, t.ts, t.kind, t.number, t.until AS new_until,
+               coalesce(t.ts <= s.until, false) AS alive,
+               coalesce(t.ts <= s.held_ts + INTERVAL {TTL_SECONDS} SECOND, false) AS fresh
+        FROM store s JOIN turns t ON t.id = s.id AND t.k = s.k + 1)),
+matched AS (
+  SELECT q.*, r.response_ts, s.response AS response_seq, s.how
+  FROM requests q LEFT JOIN (SELECT request, response, how FROM store WHERE request IS NOT NULL) s ON s.request = q.event_id
+  LEFT JOIN responses r ON r.seq = s.response),
+fates AS (
+  SELECT r.*, coalesce(s.fate, 'expired') AS fate
+  FROM responses r LEFT JOIN (SELECT gone, fate FROM store WHERE gone IS NOT NULL) s ON s.gone = r.seq
+  WHERE r.seq NOT IN (SELECT response_seq FROM matched WHERE response_seq IS NOT NULL))
+"""

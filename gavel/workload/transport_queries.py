@@ -9,7 +9,7 @@ from gavel.session import scratch_path
 from gavel.sources import jsonl
 from gavel.sources.jobs import read_jobs as parse_jobs
 from gavel.streaming.depth import depth_writer
-from gavel.streaming.matching import first_response_stream, match_stream
+from gavel.streaming.matching import first_response_stream, match_writer, transport_events
 from gavel.workload import inputs as i
 from gavel.workload.registry import query
 
@@ -328,8 +328,57 @@ def pending_jobs(t):
     )
 
 
+# --- matching where ids are asked for again ---
+
+@query("match_repeated_requests", f"""
+WITH RECURSIVE {i.in_turn(False)}
+SELECT event_id, id, epoch_us(response_ts) AS response_us, response_seq, how AS outcome FROM matched
+""")
+def match_repeated_requests(t):
+    matched = transport.match_responses(i.repeated_requests(t), _answers(t), i.TTL_SECONDS)
+    return matched.select(
+        "event_id", "id", F.unix_micros("response_ts").alias("response_us"), "response_seq", F.col("how").alias("outcome")
+    )
+
+
+@query("expired_repeated_responses", f"WITH RECURSIVE {i.in_turn(False)} SELECT seq, id, fate FROM fates")
+def expired_repeated_responses(t):
+    return transport.expired_responses(i.repeated_requests(t), _answers(t), i.TTL_SECONDS).select("seq", "id", "fate")
+
+
 # --- streams: the same tables, replayed ---
 
+def _answers(t) -> DataFrame:
+    return i.responses(t).select("id", "response_ts", "seq")
+
+
+def _live(t, depth: bool = False) -> str:
+    """Match the events as they come in four parts, some late; one far ahead in the last ends the wait.
+
+    Every part is a trigger of its own, as each run takes what is new and ends.
+    """
+    spark, source, folder = t.spark, scratch_path(t.spark, "live"), scratch_path(t.spark, "matched")
+    parts = i.event_parts(t)
+    asked = i.repeated_requests(t).join(parts, "event_id")
+    answered = _answers(t).join(parts.withColumnRenamed("event_id", "seq"), "seq")
+    events = lambda part: transport_events(
+        asked.filter(F.col("part") == part), answered.filter(F.col("part") == part), i.MAX_WAIT_DAYS * 86_400.0
+    )
+    last = t.events.select(
+        F.lit("end").alias("id"), (F.max(F.col("ts").cast("timestamp")) + F.expr("INTERVAL 200 DAYS")).alias("request_ts")
+    )
+    inputs = [events(part) for part in range(4)]
+    inputs[3] = inputs[3].unionByName(transport_events(last, _answers(t).limit(0)))
+    progress = scratch_path(spark, "matched-progress")
+    writer = match_writer(folder, i.TTL_SECONDS, i.DELAY_SECONDS, depth_writer(f"{folder}/depth") if depth else None)
+    for rows in inputs:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        run = stream.writeStream.foreachBatch(writer).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return folder
+
+
 def _replay(stream: DataFrame, label: str, **options) -> str:
     """Run a stream over all its input and return where it wrote."""
     spark = stream.sparkSession
@@ -350,59 +399,69 @@ def _stream_of(t, batch: DataFrame, label: str) -> DataFrame:
 
 
 @query("match_responses_stream", f"""
-WITH {i.TRANSPORT}
-SELECT id, epoch_us(request_ts) AS request_us, epoch_us(response_ts) AS response_us, response_seq, how AS outcome
-FROM matched WHERE how IS NOT NULL
+WITH RECURSIVE {i.in_turn(True)}
+SELECT id, epoch_us(request_ts) AS request_us, epoch_us(response_ts) AS response_us, response_seq, coalesce(how, 'unanswered') AS outcome
+FROM matched
 """)
 def match_responses_stream(t):
-    asked = _stream_of(t, i.requests(t), "requests")
-    answers = _stream_of(t, i.responses(t).select("id", "response_ts", "seq"), "responses")
-    path = _replay(match_stream(asked, answers, i.TTL_SECONDS), "matched")
-    return t.spark.read.parquet(path).filter("outcome IN ('waiting', 'arrived')")
-
-
-@query("expired_responses_stream", f"""
-WITH {FATES},
-ends AS (SELECT max(ts) - INTERVAL 1 MINUTE AS watermark FROM (
-  SELECT request_ts AS ts FROM requests UNION ALL SELECT response_ts FROM responses))
-SELECT seq, id, fate FROM fates, ends
-WHERE next_ts IS NOT NULL OR (NOT later AND request_ts IS NOT NULL)
-   OR response_ts + INTERVAL {i.TTL_SECONDS} SECOND < watermark
-""")
-def expired_responses_stream(t):
-    """What the stream has given up by the end of the replay; the newest are still held."""
-    asked = _stream_of(t, i.requests(t), "requests")
-    answers = _stream_of(t, i.responses(t).select("id", "response_ts", "seq"), "responses")
-    path = _replay(match_stream(asked, answers, i.TTL_SECONDS), "fates")
-    return t.spark.read.parquet(path).filter("outcome IN ('overwritten', 'expired')").select(
-        F.col("response_seq").alias("seq"), "id", F.col("outcome").alias("fate")
+    found = t.spark.read.parquet(f"{_live(t)}/outcomes").filter("request_ts IS NOT NULL")
+    return found.select(
+        "id", F.unix_micros("request_ts").alias("request_us"), F.unix_micros("response_ts").alias("response_us"),
+        "response_seq", "outcome",
     )
 
 
-@query("first_response_stream", f"WITH {i.TRANSPORT} SELECT DISTINCT id FROM responses")
-def first_response_stream_ids(t):
-    """Which copy survives is open, so only the ids are compared."""
-    answers = _stream_of(t, i.responses(t).select("id", "response_ts", "seq"), "deliveries")
-    path = _replay(first_response_stream(answers, "60 days"), "first")
-    return t.spark.read.parquet(path).select("id")
+@query("expired_responses_stream", f"WITH RECURSIVE {i.in_turn(True)} SELECT seq, id, fate FROM fates")
+def expired_responses_stream(t):
+    found = t.spark.read.parquet(f"{_live(t)}/outcomes").filter("request_ts IS NULL")
+    return found.select(F.col("response_seq").alias("seq"), "id", F.col("outcome").alias("fate"))
+
+
+@query("late_events_stream", f"""
+WITH RECURSIVE {i.in_turn(True)}
+SELECT id, epoch_us(ts) AS us, event_type IN ('view', 'signup') AS is_request FROM keyed_events WHERE late
+""")
+def late_events_stream(t):
+    late = t.spark.read.parquet(f"{_live(t)}/late")
+    return late.select("id", F.unix_micros("ts").alias("us"), "is_request")
+
+
+@query("first_response_stream", f"""
+WITH {i.TRANSPORT}
+SELECT id, seq, epoch_us(response_ts) AS response_us FROM responses
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY response_ts, seq) = 1
+""")
+def first_response_stream_rows(t):
+    """Deliveries in four triggers, each with events of all times; the last one ends the sessions."""
+    spark, source, out = t.spark, scratch_path(t.spark, "deliveries"), scratch_path(t.spark, "first")
+    answers = _answers(t)
+    ahead = F.max("response_ts") + F.expr("INTERVAL 200 DAYS")
+    last = answers.agg(F.lit("end").alias("id"), ahead.alias("response_ts"), F.lit(0).cast("bigint").alias("seq"))
+    inputs = [answers.filter(F.col("seq") % 4 == part) for part in range(4)] + [last]
+    progress = scratch_path(spark, "first-progress")
+    for rows in inputs:
+        rows.write.mode("append").parquet(source)
+        stream = first_response_stream(spark.readStream.schema(answers.schema).parquet(source), within="90 days")
+        run = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", progress).trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(out)
+    return found.select("id", "seq", F.unix_micros("response_ts").alias("response_us"))
 
 
-@query("pending_jobs_stream", _PENDING_SQL)
+@query("pending_jobs_stream", f"""
+WITH RECURSIVE {i.in_turn(True)},
+asked AS (SELECT * FROM matched WHERE how IS DISTINCT FROM 'rejected'),
+changes AS (SELECT queue, id, request_ts AS ts, 1 AS change FROM asked
+            UNION ALL SELECT queue, id, greatest(request_ts, response_ts), -1 FROM asked WHERE response_ts IS NOT NULL)
+SELECT queue, id, epoch_us(ts) AS us, change, CAST(sum(change) OVER (PARTITION BY queue ORDER BY ts, change DESC, id
+       ROWS UNBOUNDED PRECEDING) AS BIGINT) AS pending FROM changes
+""")
 def pending_jobs_stream(t):
-    matched = _matched(t)
-    asked = matched.select("queue", "id", F.col("request_ts").alias("ts"), F.lit(1).alias("change"))
-    done = matched.filter("response_ts IS NOT NULL").select(
-        "queue", "id", F.greatest("request_ts", "response_ts").alias("ts"), F.lit(-1).alias("change")
-    )
-    stream = _stream_of(t, asked.unionByName(done), "changes")
-    folder = scratch_path(t.spark, "depth")
-    run = (
-        stream.writeStream.foreachBatch(depth_writer(folder))
-        .option("checkpointLocation", scratch_path(t.spark, "depth-progress"))
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return t.spark.read.parquet(f"{folder}/events").select(
+    """Depth from the live match: both keep state, in one query."""
+    return t.spark.read.parquet(f"{_live(t, depth=True)}/depth/events").select(
         "queue", "id", F.unix_micros("ts").alias("us"), "change", "pending"
     )
 

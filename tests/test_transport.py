@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gavel.operators import transport
 from gavel.session import scratch_path
 from gavel.streaming.depth import depth_writer
-from gavel.streaming.matching import first_response_stream, match_stream
+from gavel.streaming.matching import first_response_stream, match_writer, transport_events
 
 START = datetime.datetime(2024, 1, 1)
 TTL = 300
@@ -22,8 +22,8 @@ def at(second):
 
 
 def simulate(requests, responses):
-    """The store, one event at a time: matches by id and fates by seq."""
-    events = [(t, 1, 0, i, deadline) for i, t, deadline in requests]
+    """The store, one event at a time: matches by place of the request, fates by seq."""
+    events = [(t, 1, n, i, deadline) for n, (i, t, deadline) in enumerate(requests)]
     events += [(t, 0, seq, i, None) for i, t, seq in responses]
     waiting, held, matches, fates = {}, {}, {}, {}
 
@@ -31,22 +31,28 @@ def simulate(requests, responses):
         t, seq = held.pop(i)
         fates[seq] = "overwritten" if now <= t + TTL else "expired"
 
-    for t, is_request, seq, i, deadline in sorted(events, key=lambda e: e[:3]):
+    for t, is_request, number, i, deadline in sorted(events, key=lambda e: e[:3]):
+        if i in waiting and waiting[i][1] is not None and t > waiting[i][1]:
+            del waiting[i]
         if is_request:
-            if i in held and t <= held[i][0] + TTL:
-                matches[i] = (held.pop(i)[1], "waiting")
+            if i in waiting:
+                matches[number] = (None, "rejected")
+            elif i in held and t <= held[i][0] + TTL:
+                matches[number] = (held.pop(i)[1], "waiting")
             else:
                 if i in held:
                     drop(i, float("inf"))
-                waiting[i] = deadline
-        elif i in waiting and (waiting[i] is None or t <= waiting[i]):
-            del waiting[i]
-            matches[i] = (seq, "arrived")
+                waiting[i] = (number, None if deadline is None else max(deadline, t))
+        elif i in waiting:
+            asked, end = waiting.pop(i)
+            if requests[asked][2] is None or t <= requests[asked][2]:
+                matches[asked] = (number, "arrived")
+            else:
+                held[i] = (t, number)
         else:
-            waiting.pop(i, None)
             if i in held:
                 drop(i, t)
-            held[i] = (t, seq)
+            held[i] = (t, number)
     for i in list(held):
         drop(i, float("inf"))
     return matches, fates
@@ -74,19 +80,38 @@ def random_case():
     return requests, responses
 
 
+def asked_again():
+    """Ids asked for many times, one of them by half of all requests, with and without deadlines."""
+    draw = random.Random(8)
+    requests = [(draw.choice(["r0", f"r{draw.randrange(40)}"]), draw.randrange(20_000), draw.choice([None, 50, 300, 1000])) for _ in range(300)]
+    requests = [(i, t, None if d is None else t + d) for i, t, d in requests]
+    requests += [("only", 5, 10), ("twice", 5, None), ("twice", 6, None), ("gone", 5, 9), ("gone", 9, 30), ("gone", 10, 30), ("past", 100, 50), ("past", 101, None)]
+    responses = [(draw.choice(["r0", f"r{draw.randrange(40)}"]), draw.randrange(20_000), seq) for seq in range(250)]
+    responses += [("gone", 20, 1001), ("past", 200, 1002), ("nobody", 7, 1003), ("nobody", 8, 1004)]
+    # One event at a moment, so that the order needs no rule for ties.
+    used, spaced = set(), []
+    for i, t, d in requests:
+        while (i, t) in used:
+            t += 1
+        used.add((i, t))
+        spaced.append((i, t, d))
+    return spaced, [(i, t, seq) for i, t, seq in responses if (i, t) not in used]
+
+
 def frames(rows, requests, responses):
-    asked = rows(REQUESTS, *[(i, at(t), at(d), f"q{n % 2}") for n, (i, t, d) in enumerate(requests)])
+    asked = rows(REQUESTS, *[(i, at(t), at(d), str(n)) for n, (i, t, d) in enumerate(requests)])
     answers = rows(RESPONSES, *[(i, at(t), seq) for i, t, seq in responses])
     return asked, answers
 
 
-@pytest.mark.parametrize("make", [hand_made, random_case])
+@pytest.mark.parametrize("make", [hand_made, random_case, asked_again])
 def test_batch_follows_the_store(rows, make):
     requests, responses = make()
     matches, fates = simulate(requests, responses)
     asked, answers = frames(rows, requests, responses)
-    got = {r.id: (r.response_seq, r.how) for r in transport.match_responses(asked, answers, TTL).collect()}
-    assert got == {i: matches.get(i, (None, None)) for i, _, _ in requests}
+    got = {int(r.queue): (r.response_seq, r.how) for r in transport.match_responses(asked, answers, TTL).collect()}
+    assert got == {n: matches.get(n, (None, None)) for n in range(len(requests))}
+    assert make is not asked_again or {how for _, how in got.values()} == {"waiting", "arrived", "rejected", None}
     found = {r.seq: r.fate for r in transport.expired_responses(asked, answers, TTL).collect()}
     assert found == fates
 
@@ -102,50 +127,109 @@ def replay(spark, df, column, label, batches):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drain(stream, name):
-    spark = stream.sparkSession
-    path = scratch_path(spark, name)
-    run = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", scratch_path(spark, name + "-progress")).trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return spark.read.parquet(path).collect()
+def triggers(spark, parts, start):
+    """Every part as a trigger of one stream, whose writer ``start`` sets up."""
+    source, progress = scratch_path(spark, "parts"), scratch_path(spark, "progress")
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        start(stream).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
-@pytest.mark.parametrize("make", [hand_made, random_case])
-def test_stream_in_one_trigger_follows_the_store(spark, rows, make):
+def live(spark, rows, parts, delay, on_changes=None):
+    """Outcomes of requests by queue, fates by seq and late events of parts (requests, responses)."""
+    folder = scratch_path(spark, "live")
+    parts[-1] = (parts[-1][0].unionByName(rows(REQUESTS, ("end", at(10**8), None, "-1"))), parts[-1][1])
+    writer = match_writer(folder, TTL, delay, on_changes(folder) if on_changes else None)
+    inputs = [transport_events(a, b, 10**7) for a, b in parts]
+    triggers(spark, inputs, lambda stream: stream.writeStream.foreachBatch(writer))
+    return [spark.read.parquet(f"{folder}/{name}").collect() for name in ("outcomes", "late")] + [folder]
+
+
+@pytest.mark.parametrize("make", [hand_made, asked_again])
+def test_stream_out_of_order_equals_batch(spark, rows, make):
+    """Four triggers with events of all times: none is late, and the outcomes are those of the store."""
     requests, responses = make()
     matches, fates = simulate(requests, responses)
     asked, answers = frames(rows, requests, responses)
-    # A last event far ahead moves the watermark past everything.
-    asked = asked.unionByName(rows(REQUESTS, ("end", at(10**6), None, "q0")))
-    out = drain(match_stream(replay(spark, asked, "request_ts", "asked", 1), replay(spark, answers, "response_ts", "answers", 1), TTL), "out")
-    assert {r.id: (r.response_seq, r.outcome) for r in out if r.outcome in ("waiting", "arrived")} == matches
-    assert {r.response_seq: r.outcome for r in out if r.outcome in ("overwritten", "expired")} == fates
-    unanswered = {i for i, _, deadline in requests if deadline is not None and i not in matches}
-    assert {r.id for r in out if r.outcome == "unanswered"} == unanswered
-
-
-def test_state_lives_across_triggers(spark, rows):
-    asked, answers = frames(rows, [("a", 100, None), ("b", 10, None)], [("a", 50, 1), ("a", 60, 2), ("a", 130, 3), ("b", 140, 4)])
-    # Files are taken one per trigger: responses of the first half come with the first request.
-    stream = match_stream(replay(spark, asked, "request_ts", "asked", 2), replay(spark, answers, "response_ts", "answers", 2), TTL)
-    out = drain(stream, "out")
-    assert {(r.id, r.response_seq) for r in out if r.outcome in ("waiting", "arrived")} == {("a", 2), ("b", 4)}
-    assert {(r.response_seq, r.outcome) for r in out if r.outcome == "overwritten"} == {(1, "overwritten")}
+    quarter = F.pmod(F.xxhash64("id", F.col(answers.columns[1])), F.lit(4))
+    parts = [
+        (asked.filter(F.pmod(F.xxhash64("id", "request_ts"), F.lit(4)) == k), answers.filter(quarter == k)) for k in range(4)
+    ]
+    outcomes, late, _ = live(spark, rows, parts, 10**6)
+    assert not late
+    got = sorted((r.id, r.request_ts, r.response_seq, r.outcome) for r in outcomes if r.request_ts is not None)
+    want = [(i, at(t), *matches.get(n, (None, "unanswered"))) for n, (i, t, _) in enumerate(requests)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {r.response_seq: r.outcome for r in outcomes if r.request_ts is None} == fates
+
+
+def test_late_events_come_out_and_the_rest_equals_batch(spark, rows):
+    requests, responses = asked_again()
+    events = sorted([(t, 1, n) for n, (_, t, _) in enumerate(requests)] + [(t, 0, n) for n, (_, t, _) in enumerate(responses)])
+    size, delay = -(-len(events) // 4), 500
+    chunks = [events[k : k + size] for k in range(0, len(events), size)]
+    chunks[2] += chunks[0][5:12]  # far too late
+    chunks[0] = chunks[0][:5] + chunks[0][12:]
+    swapped = chunks[1].pop(), chunks[2].pop(0)  # a little out of order, which is allowed
+    chunks[1].append(swapped[1])
+    chunks[2].append(swapped[0])
+    dropped = set(map(tuple, events[5:12]))
+    parts = []
+    for chunk in chunks:
+        asked = [requests[n] for _, kind, n in chunk if kind]
+        parts.append(frames(rows, asked, [responses[n] for _, kind, n in chunk if not kind]))
+    outcomes, late, _ = live(spark, rows, parts, delay)
+    assert sorted((r.ts, r.is_request) for r in late) == sorted((at(t), kind == 1) for t, kind, _ in dropped)
+    kept = [requests[n] for n in range(len(requests)) if (requests[n][1], 1, n) not in dropped]
+    others = [responses[n] for n in range(len(responses)) if (responses[n][1], 0, n) not in dropped]
+    matches, fates = simulate(kept, others)
+    got = [(r.id, r.request_ts, r.response_seq, r.outcome) for r in outcomes if r.request_ts is not None]
+    want = [(i, at(t), *matches.get(n, (None, "unanswered"))) for n, (i, t, _) in enumerate(kept)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {r.response_seq: r.outcome for r in outcomes if r.request_ts is None} == fates
+
+
+def test_a_replayed_trigger_counts_once(spark, rows):
+    folder = scratch_path(spark, "again")
+    write = match_writer(folder, TTL, 10)
+    first = transport_events(*frames(rows, [("a", 100, None), ("b", 10, None)], [("a", 50, 1)]))
+    second = transport_events(*frames(rows, [("c", 5000, None), (None, 5000, None)], [("b", 140, 4), ("b", 150, 5)]))
+    lost = transport_events(*frames(rows, [("d", None, None)], []))
+    for number, batch in [(0, first), (0, first), (1, second.unionByName(lost)), (1, second.unionByName(lost)), (2, first.limit(0))]:
+        write(batch, number)
+    got = {(r.id, r.response_seq, r.outcome) for r in spark.read.parquet(f"{folder}/outcomes").collect()}
+    assert got == {("a", 1, "waiting"), ("b", 4, "arrived"), ("b", 5, "expired")}
+    assert [r.id for r in spark.read.parquet(f"{folder}/late").collect()] == ["d"]
 
 
 def test_first_response(spark, rows):
-    _, answers = frames(rows, [], [("a", 5, 1), ("a", 3, 2), ("a", 3, 3), ("b", 9, 4)])
+    _, answers = frames(rows, [], [("a", 5, 1), ("a", 3, 2), ("a", 3, 3), ("b", 9, 4), ("a", 400, 7)])
     assert {r.id: r.seq for r in transport.first_response(answers).collect()} == {"a": 2, "b": 4}
-    out = drain(first_response_stream(replay(spark, answers, "response_ts", "copies", 1), "1 hour"), "first")
-    assert sorted(r.id for r in out) == ["a", "b"]
+    # The first copy comes in the second trigger.
+    parts = [answers.filter("seq IN (1, 3, 7)"), answers.filter("seq IN (2, 4)"), rows(RESPONSES, ("end", at(10**6), 0))]
+    out = scratch_path(spark, "first")
+    triggers(
+        spark, parts,
+        lambda s: first_response_stream(s).writeStream.format("parquet").outputMode("append").option("path", out),
+    )
+    assert {(r.id, r.seq, r.response_ts) for r in spark.read.parquet(out).collect()} == {("a", 2, at(3)), ("b", 4, at(9))}
+
+
+def test_depth_follows_the_live_match(spark, rows):
+    requests, responses = asked_again()
+    asked, answers = (df.withColumn("queue", F.lit("q")) if "queue" in df.columns else df for df in frames(rows, requests, responses))
+    parts = [(asked.filter(F.pmod(F.xxhash64("id", "request_ts"), F.lit(2)) == k), answers.filter(F.col("seq") % 2 == k)) for k in range(2)]
+    _, _, folder = live(spark, rows, parts, 10**6, lambda folder: depth_writer(f"{folder}/depth"))
+    got = spark.read.parquet(f"{folder}/depth/events").filter("id <> 'end'").select("queue", "id", "ts", "change", "pending")
+    want = transport.pending_jobs(transport.match_responses(asked, answers, TTL)).select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
 
 
 def test_pending_jobs_batch_and_stream(spark, rows):
     requests, responses = random_case()
     asked, answers = frames(rows, requests, responses)
+    asked = asked.withColumn("queue", F.concat(F.lit("q"), F.col("queue").cast("int") % 2))
     matched = transport.match_responses(asked, answers, TTL)
     batch = {(r.queue, r.id, r.change): r.pending for r in transport.pending_jobs(matched).collect()}
 
