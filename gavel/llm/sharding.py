@@ -29,6 +29,8 @@ SHARDS = 16
 ROUNDS = 12
 #: Documents over 1 / LARGE of an even shard are placed one by one: at most SHARDS * LARGE of them.
 LARGE = 1000
+#: A shard this full takes no more in a round.
+NEARLY = 0.98
 #: Linked documents alone may fill a shard to so many times their own even share.
 SLACK = 1.05
 
@@ -120,9 +122,10 @@ def _propagate(
     state: DataFrame, keys: Sequence[str], shards: int, capacity: float, rounds: int
 ) -> DataFrame:
     """Rows of ``state`` (_ROW, shard, keys) on the shards where their neighbours are."""
+    used_up: set[int] = set()
     for turn in range(rounds):
         loads = _loads(state, shards)
-        full = [s for s in range(shards) if loads[s] >= 0.999 * capacity]
+        full = [s for s in range(shards) if loads[s] >= NEARLY * capacity or s in used_up]
         wishes = _wishes(state, keys, shards, full)
         if len(keys) > 1:  # with several keys two rows could chase each other
             wishes = wishes.filter(F.pmod(F.xxhash64("row_id", F.lit(turn)), F.lit(2)) == 0)
@@ -132,6 +135,8 @@ def _propagate(
             break
         wanted = {(i, j): n for i, j, n in asked}
         quotas = _quotas(wanted, [capacity - n for n in loads])
+        # Where more wanted to go than had room, the next round looks for other shards.
+        used_up, before = {j for (i, j), n in quotas.items() if n < wanted[i, j]}, used_up
         whole = [i * shards + j for (i, j), n in quotas.items() if n >= wanted[i, j]]
         part = {i * shards + j: n for (i, j), n in quotas.items() if 0 < n < wanted[i, j]}
         way = F.col("shard") * shards + F.col("wish")
@@ -152,7 +157,9 @@ def _propagate(
             moves = moves.unionAll(served.filter("sent <= quota").select("row_id", "wish"))
         moves = stored(moves, "shard-moves")
         if moves.isEmpty():
-            break
+            if used_up <= before:
+                break
+            continue
         state = stored(
             state.join(moves, "row_id", "left")
             .withColumn("shard", F.coalesce("wish", "shard"))
@@ -210,7 +217,7 @@ def shard_documents(
     )
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     even = total / shards
-    marked = rows.join(_linked(rows, keys), "row_id", "left") if keys else rows.withColumn("_linked", F.lit(None))
+    marked = rows.join(_linked(rows, keys), "row_id", "left") if keys else rows.withColumn("_linked", F.lit(None).cast("boolean"))
     marked = stored(marked, "shard-marked")
     linked = marked.filter("_linked").drop("_linked")
     start = F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("int")
