@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.functions import verdicts as v
 from gavel.functions.text import python_float, strip
+from gavel.operators.outputs import broken_record, judge_records
 from gavel.operators.planning import TASK_KEY
 
 PREVIEW_BYTES = 64
@@ -66,17 +67,22 @@ def case_error(runs: DataFrame) -> DataFrame:
     return runs.withColumn("error", error)
 
 
-def case_verdict(results: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(results with verdict, rejects)`` from ``error`` and ``details.status``."""
-    status = F.coalesce("details.status", F.lit("Fatal Error"))
-    verdict = (
-        F.when(F.col("error").isNull(), v.ACCEPTED)
+def verdict_of(error: Column, details_status: Column) -> Column:
+    """The verdict of one result; null where its status is unknown."""
+    status = F.coalesce(details_status, F.lit("Fatal Error"))
+    return (
+        F.when(error.isNull(), v.ACCEPTED)
         .when(status.isin(v.SYSTEM_FAULTS), v.SYSTEM_ERROR)
         .when(status == v.TIME_LIMIT, v.TIME_LIMIT)
         .when(status == v.MEMORY_LIMIT, v.MEMORY_LIMIT)
         .when(status == v.RUNTIME_ERROR, v.RUNTIME_ERROR)
         .when(status.isin(v.WRONG_OUTPUT), v.WRONG_ANSWER)
     )
+
+
+def case_verdict(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(results with verdict, rejects)`` from ``error`` and ``details.status``."""
+    verdict = verdict_of(F.col("error"), F.col("details.status"))
     judged = results.withColumn("verdict", verdict)
     return judged.filter("verdict IS NOT NULL"), judged.filter("verdict IS NULL").drop(
         "verdict"
@@ -164,6 +170,40 @@ def submission_verdicts(
     return submission_verdict(kept, judged, compile_errors), refused
 
 
+def judged_jobs(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``submission_verdicts`` of whole jobs straight from their rows: ``(verdicts, rejects)``.
+
+    A job's results are lines of one value, so its verdict needs no other row: every line is parsed
+    once, where the job is read, and nothing is shuffled.
+    """
+    failed = F.when(F.col("exit_code") != 0, "execution failed").when(
+        F.col("compile_errors").isNull() & F.col("judge_result").isNull(), "judge result file not found"
+    )
+
+    def judged(r: Column) -> Column:
+        verdict = verdict_of(r["error"], r["details"]["status"])
+        unknown = F.when(verdict.isNull(), F.concat(F.lit("unknown status: "), r["details"]["status"]))
+        return F.struct(verdict.alias("verdict"), F.coalesce(broken_record(r), unknown).alias("reason"))
+
+    lines = F.when(failed.isNull() & F.col("compile_errors").isNull(), F.transform(judge_records(), judged))
+    # In an explode, so that a filter on the outcome does not parse the lines again.
+    made = jobs.select(
+        "job", F.col("compile_errors").isNotNull().alias("_compile"), failed.alias("_failed"),
+        F.explode_outer(F.array(lines)).alias("_lines"),
+    )
+    bad = F.get(F.filter("_lines", lambda x: x["reason"].isNotNull()), F.lit(0))["reason"]
+    first = F.get(F.filter("_lines", lambda x: x["verdict"] != v.ACCEPTED), F.lit(0))["verdict"]
+    settled = made.select(
+        "job",
+        F.coalesce("_failed", bad).alias("reason"),
+        F.when(F.col("_compile"), v.COMPILE_ERROR).otherwise(F.coalesce(first, F.lit(v.ACCEPTED))).alias("verdict"),
+    )
+    return (
+        settled.filter("reason IS NULL").select("job", "verdict"),
+        settled.filter("reason IS NOT NULL").select("job", "reason"),
+    )
+
+
 def sub_task_scores(
     cases: DataFrame, scores: DataFrame, order_by: str | None = None
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gavel.operators.joins import salted_join
+from gavel.session import materialized
 
 # Declared keys of the catalogue tables.
 UNIQUE_KEYS = {
@@ -31,13 +31,17 @@ FOREIGN_KEYS = {
 def unique_violations(
     df: DataFrame, keys: Sequence[str], existing: DataFrame | None = None
 ) -> DataFrame:
-    """Rows of ``df`` whose key occurs more than once in ``df`` and ``existing`` together."""
+    """Rows of ``df`` whose key occurs more than once in ``df`` and ``existing`` together.
+
+    The repeated keys are written first. There are few as a rule; Spark then knows it and sends them
+    to the rows, and if there are many, it shuffles both sides and can split a hot key.
+    """
     keys = list(keys)
     seen = df.select(*keys)
     if existing is not None:
         seen = seen.unionByName(existing.select(*keys))
-    repeated = seen.groupBy(*keys).count().filter("count > 1").select(*keys)
-    return salted_join(df, repeated, keys, "left_semi")
+    repeated = materialized(seen.groupBy(*keys).count().filter("count > 1").select(*keys))
+    return df.join(repeated, keys, "left_semi")
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:

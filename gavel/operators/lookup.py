@@ -100,10 +100,19 @@ def fetch_cases(resolved: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _join_where(requests: DataFrame, able: Column, known: DataFrame, on: list[str]) -> DataFrame:
-    """Left join of the requests that can have an answer; the others never meet on a NULL key."""
+    """Left join of the requests that can have an answer; the others are dealt out by a hash of
+    their own, which meets nothing, so neither do they pile up nor are the requests read twice."""
     able = F.coalesce(able, F.lit(False))
-    joined = requests.filter(able).join(known, on, "left")
-    return joined.unionByName(requests.filter(~able), allowMissingColumns=True)
+    spread = F.xxhash64(*requests.columns)
+    sided = requests.withColumn("_able", able).withColumn(
+        "_key", F.when(F.col("_able"), F.xxhash64(*on)).otherwise(spread)
+    )
+    right = known.withColumn("_on_key", F.xxhash64(*on)).withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = F.col("_able") & (F.col("_key") == F.col("_on_key"))
+    for c in on:
+        same = same & (F.col(c) == F.col(f"_on_{c}"))
+    joined = sided.join(right, same, "left")
+    return joined.drop("_able", "_key", "_on_key", *[f"_on_{c}" for c in on])
 
 
 def adapt_file_columns(files: DataFrame | None) -> DataFrame:

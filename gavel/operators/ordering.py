@@ -37,12 +37,13 @@ def keep_first(
 def keep_last_wide(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
     """One row per key, the last by ``order_by`` (a total order), for rows with texts.
 
-    The last place of each key is an aggregate over narrow columns; the rows themselves only
-    take part in a semi-join by key and place, which no hot key fills.
+    The last place of each key is an aggregate over narrow columns, written first. The rows themselves
+    only take part in a semi-join by key and place, which no hot key fills; where few keys
+    are chosen Spark knows it from the written table and moves no row at all.
     """
     place = F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
     chosen = df.groupBy(*keys).agg(F.max(place).alias("_place"))
-    chosen = chosen.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    chosen = materialized(chosen.withColumnsRenamed({k: f"_key_{k}" for k in keys}))
     same = place == F.col("_place")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_key_{key}"))

@@ -155,6 +155,20 @@ def compile_outcome(jobs: DataFrame, olympiad: bool = False) -> DataFrame:
     return jobs.withColumn("outcome", outcome).withColumn("message", message)
 
 
+def judge_records() -> Column:
+    """The parsed non-blank lines of ``judge_result``, an array."""
+    lines = F.filter(
+        F.split(F.col("judge_result").cast("string"), "\n"), lambda line: ~is_blank(line)
+    )
+    return F.transform(lines, lambda line: F.from_json(line, JUDGE_RESULT, JSON_LIMITS))
+
+
+def broken_record(record: Column) -> Column:
+    """Why a parsed line is no result, or null."""
+    broken = record["_corrupt_record"].isNotNull() | record["name"].isNull()
+    return F.when(broken, "invalid result line")
+
+
 def explode_judge_results(jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(results, compile_errors, rejects)`` of online-judge jobs.
 
@@ -167,19 +181,14 @@ def explode_judge_results(jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     errors = good.filter("compile_errors IS NOT NULL").select(
         "job", F.col("compile_errors").cast("string").alias("compile_error")
     )
-    lines = F.filter(
-        F.split(F.col("judge_result").cast("string"), "\n"), lambda line: ~is_blank(line)
-    )
     # Parsed inside the explode, so that the filters below do not parse each line again; outer,
     # as an inner one gets a filter of its own.
-    records = F.transform(lines, lambda line: F.from_json(line, JUDGE_RESULT, JSON_LIMITS))
     parsed = (
         good.filter("compile_errors IS NULL")
-        .select("job", F.posexplode_outer(records).alias("position", "r"))
+        .select("job", F.posexplode_outer(judge_records()).alias("position", "r"))
         .filter("position IS NOT NULL")
     )
-    broken = F.when(F.col("r._corrupt_record").isNotNull() | F.col("r.name").isNull(), "invalid result line")
-    results, bad_lines = split_rejects(parsed, broken)
+    results, bad_lines = split_rejects(parsed, broken_record(F.col("r")))
     return (
         results.select(
             "job", "position", F.col("r.name").alias("case_name"),

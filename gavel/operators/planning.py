@@ -7,8 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.functions.text import strip
-from gavel.operators.ordering import row_numbers
+from gavel.operators.ordering import followed, row_numbers, running_totals
 from gavel.operators.rejects import split_rejects
+from gavel.session import materialized
 
 # Default limits.
 DEFAULT_SECONDS = 1.0
@@ -206,19 +207,65 @@ def route_jobs(
     return split_rejects(jobs.withColumn("queue", queue), reason, on_error)
 
 
-def batch_requests(requests: DataFrame, order_by: list[str], size: int = BATCH_SIZE) -> DataFrame:
+def batch_requests(
+    requests: DataFrame,
+    order_by: list[str],
+    size: int = BATCH_SIZE,
+    max_delay_seconds: float | None = None,
+) -> DataFrame:
     """Cut requests, in the total order ``order_by``, into batches numbered from 0.
 
-    Adds ``batch`` and ``batch_pos``. The delay part of batching is a stream's trigger interval.
+    Adds ``batch`` and ``batch_pos``. A batch closes with ``size`` requests; given
+    ``max_delay_seconds``, also with the last request less than that after its first one, and
+    ``order_by`` then begins with the time (a request without a time is a batch of its own).
     Only the keys are ranged and numbered; the requests, binaries included, join in by them.
     """
-    numbered = row_numbers(requests.select(*order_by), order_by, "_number", start=0)
+    keys = requests.select(*order_by)
+    if max_delay_seconds is None:
+        numbered = row_numbers(keys, order_by, "_number", start=0).select(
+            *order_by,
+            F.floor(F.col("_number") / size).alias("batch"),
+            (F.col("_number") % size).alias("batch_pos"),
+        )
+    else:
+        numbered = _delayed_batches(keys, order_by, size, max_delay_seconds)
     numbered = numbered.withColumnsRenamed({c: f"_key_{c}" for c in order_by})
     same = F.lit(True)
     for c in order_by:
         same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
-    return requests.join(numbered, same).select(
-        *requests.columns,
-        F.floor(F.col("_number") / size).alias("batch"),
-        (F.col("_number") % size).alias("batch_pos"),
+    return requests.join(numbered, same).select(*requests.columns, "batch", "batch_pos")
+
+
+def _delayed_batches(keys: DataFrame, order_by: list[str], size: int, seconds: float) -> DataFrame:
+    """``keys`` with ``batch`` and ``batch_pos``.
+
+    Every request points at the one that would follow a batch beginning with it: the first that
+    is not in time, or the next one after ``size``. One sorted table of requests and deadlines gives
+    all pointers, as the n-th deadline is that of the n-th request. The batches that there are begin on
+    the chain from the first request, which is followed by doubling.
+    """
+    moment = F.col(order_by[0])
+    late = moment + F.make_dt_interval(secs=F.lit(seconds))
+    # A deadline comes before the requests of its moment.
+    events = keys.withColumn("_row", F.lit(1)).unionAll(
+        keys.withColumn(order_by[0], late).withColumn("_row", F.lit(0))
+    )
+    counted = materialized(
+        running_totals(
+            events, [order_by[0], "_row", *order_by[1:]], {"_rows": F.col("_row"), "_ends": 1 - F.col("_row")}
+        )
+    )
+    steps = counted.filter("_row = 0").select(
+        F.col("_ends").alias("node"),
+        F.greatest(
+            F.col("_ends") + 1, F.least(F.col("_ends") + size, F.when(moment.isNotNull(), F.col("_rows")).otherwise(0))
+        ).alias("next"),
+    )
+    begun = followed(steps, steps.filter("node = 0").select("node"))
+    batches = row_numbers(begun.join(steps, "node"), ["node"], "batch", 0)
+    places = batches.select(
+        "batch", F.col("node").alias("_first"), F.explode(F.sequence("node", F.col("next") - 1)).alias("_rows")
+    )
+    return counted.filter("_row = 1").join(places, "_rows").select(
+        *order_by, "batch", (F.col("_rows") - F.col("_first")).alias("batch_pos")
     )

@@ -368,44 +368,39 @@ def demux_results(requests: DataFrame, results: DataFrame) -> DataFrame:
     Requests: ``batch``, ``id`` (integer). Results: ``batch``, ``id`` (text), ``error``,
     ``result``, ``seq``. Further copies of an answered id are reported, not used.
     """
-    # Everything is decided on (batch, id, seq); the payloads join in once, by their unique seq.
+    # Decided on (batch, id, seq) alone: one aggregate over both sides says for every id whether it was
+    # asked for and which result is its first. The payloads meet that by their unique seq.
     raw = empty_if_null(F.col("id"))
-    read = results.select("batch", python_int(F.col("id")).alias("id"), "seq", raw.alias("raw"))
-    usable = read.filter("id IS NOT NULL")
-    first = usable.groupBy("batch", "id").agg(F.min("seq").alias("seq"))
-    copies = usable.join(first.select("seq"), "seq", "left_anti").select(
-        "batch", "id", "seq", F.lit("duplicate result").alias("status")
+    number = python_int(F.col("id"))
+    asked = requests.select(
+        "batch", F.col("id").cast("bigint").alias("id"), F.lit(None).cast(results.schema["seq"].dataType).alias("seq"),
+        F.lit(True).alias("asked"),
     )
-    bad = read.filter("id IS NULL").select(
-        "batch",
-        "id",
-        "seq",
-        F.when(F.col("raw") == "", "missing id").otherwise("invalid request id").alias("status"),
+    sides = results.select("batch", number.alias("id"), "seq", F.lit(False).alias("asked")).unionByName(asked)
+    ids = sides.filter("id IS NOT NULL").groupBy("batch", "id").agg(
+        F.bool_or("asked").alias("asked"), F.min("seq").alias("first")
     )
-    asked = requests.select("batch", F.col("id").cast("bigint").alias("id"), F.lit(True).alias("asked"))
-    met = asked.join(first, ["batch", "id"], "full_outer").select(
-        "batch", "id", "seq", F.when(F.col("asked").isNull(), "unknown request id").alias("status")
-    )
-    # Requests without a result have no payload to look for, and never meet on its NULL.
-    returned = met.filter("seq IS NOT NULL").unionByName(copies).unionByName(bad)
+    firsts = ids.filter("first IS NOT NULL").select(F.col("first").alias("seq"), "asked")
     status = (
-        F.when(F.col("status").isNotNull(), F.col("status"))
+        F.when(number.isNull(), F.when(raw == "", "missing id").otherwise("invalid request id"))
+        .when(F.col("asked").isNull(), "duplicate result")
+        .when(~F.col("asked"), "unknown request id")
         .when(F.col("error").isNotNull(), "error")
         .when(F.col("result").isNull(), "empty response")
         .otherwise("ok")
     )
-    paid = returned.join(results.select("seq", "error", "result"), "seq").select(
+    paid = results.join(firsts, "seq", "left").select(
         "batch",
-        "id",
+        number.alias("id"),
         "seq",
         status.alias("status"),
         "error",
-        F.when(F.col("id").isNotNull(), F.col("result")).alias("result"),
+        F.when(number.isNotNull(), F.col("result")).alias("result"),
     )
-    silent = met.filter("seq IS NULL").select(
+    silent = ids.filter("asked AND first IS NULL").select(
         "batch",
         "id",
-        "seq",
+        F.col("first").alias("seq"),
         F.lit("no result").alias("status"),
         *[F.lit(None).cast(results.schema[c].dataType).alias(c) for c in ("error", "result")],
     )

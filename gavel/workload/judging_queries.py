@@ -198,6 +198,23 @@ def batch_requests(t):
     return planning.batch_requests(rows, ["ts", "event_id"]).drop("ts")
 
 
+@query("batch_requests_by_delay", """
+WITH RECURSIVE numbered AS (
+  SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS rn, count(*) OVER () AS n,
+         count(*) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 57599999999 MICROSECOND FOLLOWING) AS in_time
+  FROM events),
+starts AS (
+  SELECT 0::BIGINT AS rn, 0::BIGINT AS batch
+  UNION ALL SELECT least(s.rn + 200, a.in_time), s.batch + 1 FROM starts s JOIN numbered a ON a.rn = s.rn
+  WHERE least(s.rn + 200, a.in_time) < a.n)
+SELECT event_id, batch, numbered.rn - starts.rn AS batch_pos FROM numbered ASOF JOIN starts ON numbered.rn >= starts.rn
+""")
+def batch_requests_by_delay(t):
+    """Batches of 200 requests or of sixteen hours, so that either limit is met."""
+    rows = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    return planning.batch_requests(rows, ["ts", "event_id"], 200, 16 * 3600).drop("ts")
+
+
 # --- outputs ---
 
 PAGE_PATTERN = r"(en|fr)/[0-9]+5\.?"
@@ -378,8 +395,7 @@ def submission_verdict(t):
 
 
 def _judged(t):
-    jobs = i.judge_jobs(t)
-    return grading.submission_verdicts(jobs, *outputs.explode_judge_results(jobs))
+    return grading.judged_jobs(i.judge_jobs(t))
 
 
 @query("submission_verdict_rejects", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from gavel.operators import ordering, planning, transport
-from gavel.session import scratch_path
+from gavel.session import materialized, scratch_path
 from gavel.sources import jsonl
 from gavel.sources.jobs import read_jobs as parse_jobs
 from gavel.streaming.depth import depth_writer
@@ -212,7 +212,7 @@ def response_outcome(t):
 
 def _batched(t):
     rows = t.events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return planning.batch_requests(rows, ["event_id"])
+    return materialized(planning.batch_requests(rows, ["event_id"]))
 
 
 def _results(batched):
