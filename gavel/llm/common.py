@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -59,3 +59,28 @@ def regrouped(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Ite
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or one made from it, that no column of ``df`` has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without_dropped(
+    docs: DataFrame, decide: Callable[[DataFrame, str], DataFrame], label: str
+) -> DataFrame:
+    """The rows of ``docs`` that ``decide`` keeps, unchanged.
+
+    ``decide`` gets the rows with a number of their own and its column's name, and returns row_id and kept
+    for each. The numbers of dropped rows are written, so that Spark knows how many there are and
+    sends few of them to the rows instead of shuffling all texts.
+    """
+    row = unused(docs, "_row")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), f"{label}-rows")
+    dropped = decide(numbered, row).filter("NOT kept").select(F.col("row_id").alias(row))
+    return numbered.join(stored(dropped, f"{label}-dropped"), row, "left_anti").select(
+        *[f"`{c}`" for c in docs.columns]
+    )

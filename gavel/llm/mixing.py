@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gavel.llm.common import WORD, n_words, stored
+from gavel.llm.common import WORD, n_words, stored, unused
 from gavel.operators.ordering import row_numbers, running_totals
 
 #: Weights in the order of the sources, repeating.
@@ -143,13 +143,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     The document that is being sent when the budget ends, one for each source at most, becomes its
     taken words, joined by single spaces; ``n_chars``, where there is one, is then its new length.
     """
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
-    queue, served = mix(numbered, row="_row", **options)
-    sizes = queue.select(F.col("row_id").alias("_row"), "size")
-    turns = served.select(F.col("row_id").alias("_row"), "tokens").join(sizes, "_row")
-    joined = numbered.join(turns.select("_row", "tokens", F.col("size").alias("_size")), "_row")
-    cut = F.col("tokens") < F.col("_size")
-    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("tokens").cast("int"))
+    row, tokens, size = (unused(docs, name) for name in ("_row", "_tokens", "_size"))
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    queue, served = mix(numbered, row=row, **options)
+    turns = served.select("row_id", F.col("tokens").alias(tokens)).join(
+        queue.select("row_id", F.col("size").alias(size)), "row_id"
+    )
+    joined = numbered.join(turns.withColumnRenamed("row_id", row), row)
+    cut = F.col(tokens) < F.col(size)
+    words = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col(tokens).cast("int"))
     text = F.when(cut, F.array_join(words, " ")).otherwise(F.col("text"))
     columns = []
     for name, kind in docs.dtypes:

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from array import array
@@ -44,10 +45,23 @@ _PIECES = (
 # --- tokens ---
 
 
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(text, id) of the added tokens in a tokenizer's JSON file; they are found in texts as they are."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    odd = [t["content"] for t in listed if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if odd:
+        raise ValueError(f"added tokens that take more than their own text: {odd}")
+    return tuple((t["content"], t["id"]) for t in listed)
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+def _encoder(
+    path: str, pattern: str, added: tuple[tuple[str, int], ...]
+) -> Callable[[str], bytes]:
     """Text to its ids as little-endian unsigned 32-bit numbers.
 
+    Texts are first cut at the added tokens, which have ids of their own.
     A byte-level tokenizer encodes every pre-token by itself, and its pattern always cuts before a
     space that is followed by something else than white space. So the text is cut at spaces, and
     only words not seen before are encoded. Texts with other spaces are encoded whole.
@@ -59,7 +73,7 @@ def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding(
-        "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
+        "packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added)
     )
     known: dict[str, bytes] = {}  # a word to the ids of a space and the word
 
@@ -67,6 +81,8 @@ def _encoder(path: str, pattern: str) -> Callable[[str], bytes]:
         return array("I", encoding.encode_ordinary(text)).tobytes()
 
     def encode(text: str) -> bytes:
+        if any(token in text for token, _ in added):
+            return array("I", encoding.encode(text, allowed_special="all")).tobytes()
         words = text.split(" ")
         first = words[0]
         del words[0]
@@ -94,17 +110,19 @@ def pieces(
     capacity: int = CAPACITY,
     end_id: int = 0,
     with_ids: bool = False,
+    added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids, task, nth.
 
     ``tokenizer`` is a file of a byte-level BPE's ranks, as tiktoken reads it, and ``pattern`` its
-    splitting pattern. The ids are those of the same vocabulary in any other library. ``nth`` numbers the pieces of a length
+    splitting pattern; ``added`` are the added tokens of the same tokenizer (:func:`added_tokens`). The ids
+    are those of the same vocabulary in any other library. ``nth`` numbers the pieces of a length
     within a task. ``ids`` is null unless asked for.
     """
     ending = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, pattern)
+        encode = _encoder(tokenizer, pattern, added)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -349,6 +367,7 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = 0,
     with_ids: bool = False,
+    added: tuple[tuple[str, int], ...] = (),
 ) -> DataFrame:
     """One row per piece of (doc_id, text): doc_id, piece, start, length, ids_crc32, ids,
     sequence_id, offset.
@@ -358,7 +377,7 @@ def pack(
     empty table gives no rows; texts of any length are cut as described; other columns are not read.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, pattern, capacity, end_id, with_ids), "pack-pieces")
+    cut = stored(pieces(docs, tokenizer, pattern, capacity, end_id, with_ids, added), "pack-pieces")
     per_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     carried = stored(

@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gavel.llm.common import WORD
+from gavel.llm.common import WORD, unused
 
 BUCKETS = 1 << 13
 #: The trusted multinomial is fitted on at most so many labelled documents (by hash of the id).
@@ -181,7 +181,11 @@ def rate_quality(
     empty table, or no trusted document, gives scores of 0, which pass.
     """
     table = F.lit(log_ratios(docs, trusted, buckets, trusted_rows))
-    kept = docs.drop(*_RATINGS)
+    # Columns that begin as the working columns below do are out of the way meanwhile.
+    docs = docs.drop(*_RATINGS)
+    aside = {c: f"in{n}" for n, c in enumerate(docs.columns) if c.startswith("_")}
+    aside = {c: unused(docs, name) for c, name in aside.items()}
+    kept = docs.withColumnsRenamed(aside)
     n_grams = F.size("_words") + F.greatest(F.size("_shapes") - 1, F.lit(0))
     single = F.aggregate(
         "_words", F.lit(0.0), lambda total, w: total + F.get(table, _bucket(buckets, w))
@@ -203,11 +207,21 @@ def rate_quality(
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeated_percent * F.col("n_words")
     )
-    return rated.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") >= threshold)
+    return (
+        rated.withColumn("base_failed", failed)
+        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        .withColumnsRenamed({name: c for c, name in aside.items()})
     )
 
 
+def good_documents(docs: DataFrame, trusted: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that :func:`rate_quality` keeps, unchanged, whatever their columns are called."""
+    names = {c.lower() for c in _RATINGS}
+    aside = {c: unused(docs, f"own_{c}") for c in docs.columns if c.lower() in names}
+    rated = rate_quality(docs.withColumnsRenamed(aside), trusted, **options)
+    return rated.filter("kept").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 _RATINGS = (
     "n_words word_chars n_symbols n_dup_lines n_repeat_words score base_failed kept".split()
 )

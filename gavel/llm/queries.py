@@ -12,7 +12,7 @@ from gavel.llm.licences import scan_licences
 from gavel.llm.merkle import COLUMNS, manifest
 from gavel.llm.mixing import mix, taken
 from gavel.llm.near_dedup import near_dedup
-from gavel.llm.packing import pack
+from gavel.llm.packing import added_tokens, pack
 from gavel.llm.pii import find_personal_data, joined_spans
 from gavel.llm.quality import rate_quality, trusted_ids
 from gavel.llm.sharding import shard_documents
@@ -62,6 +62,7 @@ def op4(spark, folder) -> DataFrame:
         table(spark, folder, "documents"),
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
+        added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
     )
     return packed.drop("ids")
 

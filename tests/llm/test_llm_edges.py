@@ -20,7 +20,7 @@ from gavel.llm.exact_dedup import directory, exact_dedup, owners  # noqa: E402
 from gavel.llm.licences import FAMILIES, scan_licences, train, variants  # noqa: E402
 from gavel.llm.mixing import mix, mixed_documents, taken  # noqa: E402
 from gavel.llm.near_dedup import near_dedup  # noqa: E402
-from gavel.llm.packing import pack, places, plan  # noqa: E402
+from gavel.llm.packing import added_tokens, pack, places, plan  # noqa: E402
 from gavel.llm.pii import find_personal_data, joined_spans  # noqa: E402
 from gavel.llm.quality import rate_quality  # noqa: E402
 from gavel.llm.suffix_dedup import remove_repeats  # noqa: E402
@@ -473,3 +473,46 @@ def test_stages(spark, docs, nothing, tmp_path):
             out.write.parquet(path)
             given = spark.read.parquet(path)
     assert given.count() == 0
+
+
+CLASHING = "tokens _size _made _words _text _shapes _bits _places _lines _sorted _row _rows _tokens score kept n_words row_id KEEP_ID".split()
+
+
+def test_stages_leave_columns_of_any_name_as_they_are(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = []
+    for i in range(40):
+        text = " ".join(f"word{(i * 31 + k * k) % 997}" for k in range(80))
+        rows.append((i, text if i % 10 else rows[i - 1][1] if i else text, "en", f"s{i % 3}", len(text)))
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    given = plain.select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in CLASHING])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, str(tmp_path))
+        assert out.columns == given.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        given = spark.read.parquet(f"{tmp_path}/{name}")
+        found = given.collect()
+        assert found
+        for r in found:
+            assert [r[c] for c in CLASHING] == [f"{c} {r.doc_id}" for c in CLASHING], name
+    assert len({r.doc_id for r in found}) < 40
+
+
+def test_added_tokens_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [
+        "a <|endoftext|> b", "<|endoftext|>", "  <|endoftext|>\n\n<|endoftext|>x <|endoftext|", "plain words", "<|ENDOFTEXT|>",
+        "many " * 3000 + "<|endoftext|>" + " more" * 100,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = pack(
+        frame, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True,
+        added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
+    )
+    got = {}
+    for r in sorted(packed.collect(), key=lambda r: (r.doc_id, r.piece)):
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in got[0]

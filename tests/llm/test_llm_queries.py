@@ -58,7 +58,6 @@ def test_op4(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = QUERIES["op4_best_fit_packing"](spark, FOLDER).collect()
     pieces, total = {}, 0
     for r in rows:
