@@ -3,37 +3,32 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from gavel.llm.common import stored, table, tuned
+from gavel.llm.common import stored, table, tuned, without_dropped
 from gavel.llm.exact_dedup import exact_dedup
 from gavel.llm.mixing import mixed_documents
 from gavel.llm.near_dedup import near_dedup
-from gavel.llm.packing import pack
-from gavel.llm.quality import rate_quality, trusted_ids
+from gavel.llm.packing import added_tokens, pack
+from gavel.llm.quality import good_documents, trusted_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules; the labelled good ones are the trusted target."""
     tuned(spark)
-    rated = rate_quality(docs, trusted_ids(table(spark, sf_dir, "labels")))
-    return rated.filter("kept").select(docs.columns)
+    return good_documents(docs, trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts: the one with the smallest id."""
     tuned(spark)
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "exact-rows")
-    kept = exact_dedup(numbered, row_col="_row").filter("kept").select(F.col("row_id").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+    return without_dropped(docs, lambda rows, row: exact_dedup(rows, row_col=row), "exact")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
     tuned(spark)
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "near-rows")
-    kept = near_dedup(numbered, row_col="_row").filter("kept").select(F.col("row_id").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(docs.columns)
+    return without_dropped(docs, lambda rows, row: near_dedup(rows, row_col=row), "near")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +38,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows of the mix and their places in sequences of 2048 tokens."""
+    """The pieces of all rows of the mix, their ids and their places in sequences of 2048 tokens."""
     tuned(spark)
-    packed = pack(
-        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return pack(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        with_ids=True,
+        added=added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
     )
-    return packed.drop("ids")
 
 
 STAGES = [
