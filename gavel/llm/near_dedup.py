@@ -12,7 +12,9 @@ ever, so nodes shrink to groups of alike documents.
    one of them. These are confirmed on the full sets, and the confirmed links form components.
 2. *Branches.* From then on only nodes that span several components matter, and only pairs across
    them. A large one branches again; a small one is compared exhaustively, and so is what is left
-   large at the last depth, in pairs of blocks. These pairs are confirmed too.
+   large at the last depth, in pairs of blocks. A node hands on its members that have a likely
+   partner in another component; their full sets come to the node, where links are confirmed and
+   components joined as they are found, so a node emits fewer links than it has members.
 
 No group is ever expanded into all of its pairs: those within a component are settled by step 1.
 
@@ -36,7 +38,10 @@ from gavel.llm.textkit import CHUNK_BYTES, binary_parts, mix, shingles, words
 SKETCH = 128
 #: Branches at the roots of all trees together: ten trees with 1.25 chosen functions each.
 ROOTS = 13
+#: Members that a node may have to give all its likely pairs at the roots.
 NODE_LIMIT = 64
+#: Members of a node that is compared exhaustively across components instead of branching.
+ACROSS_LIMIT = 2048
 MAX_DEPTH = 6
 #: Members of a block, where a node is still large at the last depth.
 BLOCK = 1024
@@ -117,90 +122,150 @@ def _signer(width: int):
     return sign
 
 
+_PAIR, _FLAGGED = "x long, y long", "node long, rep long, label long, side int"
+
+
 def _likely(similarity: int) -> float:
     """Share of equal minwise tokens under which a pair is not worth confirming."""
     s = similarity / 100
     return s - 4 * (s * (1 - s) / SKETCH) ** 0.5
 
 
-def _compare(least: float, similarity: int, across: bool):
-    """Rows (node, rep, size, sketch[, label, side]) in node order to likely pairs (x, y).
+def _likely_partners(
+    sketch: np.ndarray, size: np.ndarray, least: float, similarity: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, later members that may be similar to it, share of equal tokens)."""
+    for i in range(len(size) - 1):
+        small = np.minimum(size[i + 1 :], size[i]) * 100
+        near = np.flatnonzero(small >= np.maximum(size[i + 1 :], size[i]) * similarity)
+        near += i + 1
+        alike = (sketch[near] == sketch[i]).mean(axis=1)
+        good = alike >= least
+        yield i, near[good], alike[good]
+
+
+class _Union:
+    """Which labels have been joined."""
+
+    def __init__(self):
+        self._root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self._root
+        while x in root:
+            parent = root[x]
+            if parent in root:
+                root[x] = root[parent]
+            x = parent
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self._root[x] = y
+        return x != y
+
+
+def _members(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    flat = table.column("sketch").combine_chunks().flatten()
+    sketch = flat.to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
+    return [sketch, *(table.column(c).to_numpy() for c in ("rep", "size", *columns))]
 
-    Without ``across``, a spanning forest of the likely pairs of each node, the likeliest first;
-    with it, all likely pairs of members with different labels; in a pair of blocks (side 0 and 1),
-    those between the blocks.
-    """
 
-    def likely(sketch: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(i, later members that may be similar to it, share of equal tokens)."""
-        for i in range(len(size) - 1):
-            small = np.minimum(size[i + 1 :], size[i]) * 100
-            near = np.flatnonzero(small >= np.maximum(size[i + 1 :], size[i]) * similarity)
-            near += i + 1
-            alike = (sketch[near] == sketch[i]).mean(axis=1)
-            good = alike >= least
-            yield i, near[good], alike[good]
-
-    def forest(reps: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> list[tuple]:
+def _forest(least: float, similarity: int):
+    """A spanning forest of the likely pairs of a node, the likeliest first."""
+
+    def run(node: pa.Table) -> list[tuple]:
+        sketch, reps, size = _members(node)
         found = [
-            (-share, min(reps[i], reps[j]), max(reps[i], reps[j]), i, j)
-            for i, js, shares in likely(sketch, size)
+            (-share, int(min(reps[i], reps[j])), int(max(reps[i], reps[j])))
+            for i, js, shares in _likely_partners(sketch, size, least, similarity)
             for j, share in zip(js.tolist(), shares.tolist())
         ]
-        root = list(range(len(reps)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
-        chosen = []
-        for _, x, y, i, j in sorted(found):
-            u, v = find(i), find(j)
-            if u != v:
-                root[u] = v
-                chosen.append((int(x), int(y)))
-        return chosen
-
-    def between(reps, sketch, size, labels, sides) -> list[tuple]:
-        if (labels == labels[0]).all():
-            return []
-        pairs = []
-        for i, js, _ in likely(sketch, size):
-            js = js[(labels[js] != labels[i]) & ((sides[js] != sides[i]) | (sides[i] < 0))]
-            pairs += [(int(min(reps[i], y)), int(max(reps[i], y))) for y in reps[js]]
-        return pairs
+        union = _Union()
+        return [(x, y) for _, x, y in sorted(found) if union.join(x, y)]
+
+    return run
+
+
+def _across(labels: np.ndarray, sides: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """Partners with another label and, in a pair of blocks, in the other block."""
+    return js[(labels[js] != labels[i]) & ((sides[js] != sides[i]) | (sides[i] < 0))]
+
+
+def _with_partner(least: float, similarity: int):
+    """Members of a node with a likely partner in another component: (node, rep, label, side)."""
+
+    def run(node: pa.Table) -> list[tuple]:
+        sketch, reps, size, labels, sides, nodes = _members(node, "label", "side", "node")
+        open_ = np.zeros(len(reps), bool)
+        for i, js, _ in _likely_partners(sketch, size, least, similarity):
+            js = _across(labels, sides, i, js)
+            if len(js):
+                open_[i] = open_[js] = True
+        return [tuple(x[k].item() for x in (nodes, reps, labels, sides)) for k in np.flatnonzero(open_)]
+
+    return run
+
+
+def _confirmed_across(least: float, similarity: int):
+    """Links (x, y) of a node that join components, confirmed on the full sets."""
+
+    def run(node: pa.Table) -> list[tuple]:
+        sketch, reps, size, labels, sides = _members(node, "label", "side")
+        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in node.column("full").combine_chunks()]
+        union, links = _Union(), []
+        for i, js, _ in _likely_partners(sketch, size, least, similarity):
+            for j in _across(labels, sides, i, js).tolist():
+                if union.find(labels[i].item()) == union.find(labels[j].item()):
+                    continue
+                if _linked(full[i], full[j], similarity):
+                    union.join(labels[i].item(), labels[j].item())
+                    links.append((int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))))
+        return links
+
+    return run
+
+
+def _linked(left: np.ndarray, right: np.ndarray, similarity: int) -> bool:
+    """Whether two sets, sorted and distinct, are as similar as asked for."""
+    if not len(left):
+        return False
+    at = np.searchsorted(left, right)
+    at[at == len(left)] = 0
+    common = int((left[at] == right).sum())
+    return 100 * common >= similarity * (len(left) + len(right) - common)
+
+
+def _by_node(work, schema: str, heavy: str = "sketch"):
+    """Applies ``work`` to every node of rows in node order; nodes of one member are passed over."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def pairs(table: pa.Table) -> pa.RecordBatch:
+        def rows(table: pa.Table) -> pa.RecordBatch:
             nodes = table.column("node").to_numpy()
-            reps = table.column("rep").to_numpy()
-            size = table.column("size").to_numpy()
-            flat = table.column("sketch").combine_chunks()
-            sketch = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, SKETCH)
-            more = [table.column(c).to_numpy() for c in ("label", "side")] if across else []
             cuts = [0, *(np.flatnonzero(np.diff(nodes)) + 1).tolist(), len(nodes)]
             out: dict[tuple, None] = {}
             for i, j in zip(cuts, cuts[1:]):
                 if j - i > 1:
-                    own = (x[i:j] for x in (reps, sketch, size, *more))
-                    out.update(dict.fromkeys(between(*own) if across else forest(*own)))
-            x, y = zip(*out) if out else ((), ())
+                    out.update(dict.fromkeys(work(table.slice(i, j - i))))
+            columns = list(zip(*out)) if out else [()] * len(names)
+            kinds = [pa.int32() if f.endswith(" int") else pa.int64() for f in schema.split(", ")]
             return pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
             )
 
-        for table in regrouped(batches, "sketch", 1 << 20):
+        for table in regrouped(batches, heavy, 1 << 20):
             table = table if held is None else pa.concat_tables([held, table])
             nodes = table.column("node").to_numpy()
             last = int(np.flatnonzero(nodes == nodes[-1])[0]) if len(nodes) else 0
             held = table.slice(last)
             if last:
-                yield pairs(table.slice(0, last))
+                yield rows(table.slice(0, last))
         if held is not None and held.num_rows:
-            yield pairs(held)
+            yield rows(held)
 
     return run
 
@@ -227,7 +292,9 @@ def _shared(members: DataFrame) -> DataFrame:
 def _first_pairs(roots: DataFrame, sketches: DataFrame, least: float, similarity: int) -> DataFrame:
     """Likely pairs that connect the alike members of every root branch."""
     small = roots.filter(F.col("n") <= NODE_LIMIT).select("node", "rep").join(sketches, "rep")
-    found = _in_node_order(small).mapInArrow(_compare(least, similarity, False), "x long, y long")
+    found = _in_node_order(small).mapInArrow(
+        _by_node(_forest(least, similarity), _PAIR), _PAIR
+    )
     # One member for all; a hash of the set itself, so that the trees agree on it where they can.
     large = roots.filter(F.col("n") > NODE_LIMIT).select("node", "rep")
     drawn = F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("rep")))
@@ -246,10 +313,10 @@ def _first_pairs(roots: DataFrame, sketches: DataFrame, least: float, similarity
     return stored(found.unionAll(stars).distinct(), "near-pairs")
 
 
-def _pairs_across(
+def _open_members(
     roots: DataFrame, sketches: DataFrame, labels: DataFrame, least: float, similarity: int
 ) -> DataFrame:
-    """Likely pairs between the components that meet in any branch of any tree."""
+    """(node, rep, label, side) of the members with a likely partner in another component."""
     labels = labels.withColumnsRenamed({"node": "rep", "root": "_root"})
     known = stored(
         sketches.join(labels, "rep", "left")
@@ -265,9 +332,9 @@ def _pairs_across(
         several = stored(several.filter("a < b").select("node"), "tree-several")
         open_nodes = members.join(several, "node", "left_semi").join(known, "rep")
         compared.append(
-            stored(open_nodes.filter(F.col("n") <= NODE_LIMIT).drop("n").withColumn("side", no_side), "tree-small")
+            stored(open_nodes.filter(F.col("n") <= ACROSS_LIMIT).drop("n").withColumn("side", no_side), "tree-small")
         )
-        large = stored(open_nodes.filter(F.col("n") > NODE_LIMIT), "tree-large")
+        large = stored(open_nodes.filter(F.col("n") > ACROSS_LIMIT), "tree-large")
         if large.isEmpty():
             break
         if depth == MAX_DEPTH:
@@ -282,10 +349,11 @@ def _pairs_across(
     together = compared[0].select(columns)
     for part in compared[1:]:
         together = together.unionAll(part.select(columns))
-    return (
-        _in_node_order(together)
-        .mapInArrow(_compare(least, similarity, True), "x long, y long")
-        .distinct()
+    return stored(
+        _in_node_order(together).mapInArrow(
+            _by_node(_with_partner(least, similarity), _FLAGGED), _FLAGGED
+        ),
+        "tree-open",
     )
 
 
@@ -317,21 +385,11 @@ def _in_node_order(df: DataFrame) -> DataFrame:
 def _confirmer(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            xs, ys = [], []
-            key, left = None, None
-            for x, y, a, b in zip(*(batch.column(c) for c in ("x", "y", "set_x", "set_y"))):
-                if y.as_py() != key:
-                    key, left = y.as_py(), np.frombuffer(b.as_buffer(), np.uint64)
-                other = np.frombuffer(a.as_buffer(), np.uint64)
-                at = np.searchsorted(left, other)
-                at[at == len(left)] = 0
-                common = int((left[at] == other).sum()) if len(left) else 0
-                union = len(left) + len(other) - common
-                if 100 * common >= similarity * union:
-                    xs.append(x.as_py())
-                    ys.append(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"]
+            full = [
+                [np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("set_x", "set_y")
+            ]
+            yield batch.select(["x", "y"]).filter(
+                pa.array([_linked(a, b, similarity) for a, b in zip(*full)], pa.bool_())
             )
 
     return run
@@ -403,9 +461,8 @@ def near_dedup(
         F.col("doc_id").cast("long").alias("_id"), tie.alias("_tie"), F.col("text").cast("binary")
     )
 
-    def full_sets(pairs: DataFrame, there: DataFrame | None) -> DataFrame:
-        """The full sets of all ends of ``pairs``, added to those that are there."""
-        ends = pairs.select(F.col("x").alias("rep")).unionAll(pairs.select(F.col("y").alias("rep")))
+    def full_sets(ends: DataFrame, there: DataFrame | None) -> DataFrame:
+        """The full sets of ``ends`` (rep), added to those that are there."""
         ends = ends.distinct()
         if there is not None:
             ends = ends.join(there.select("rep"), "rep", "left_anti")
@@ -423,27 +480,21 @@ def near_dedup(
         )
         return more if there is None else there.unionAll(more)
 
-    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        return stored(
-            pairs.join(sets.withColumnsRenamed({"rep": "x", "full": "set_x"}), "x")
-            .join(sets.withColumnsRenamed({"rep": "y", "full": "set_y"}), "y")
-            .mapInArrow(_confirmer(similarity), "x long, y long")
-            .distinct(),
-            "near-links",
-        )
-
-    sets = full_sets(first_pairs, None)
-    links = confirmed(first_pairs, sets)
-    roots = stored(components(links), "near-roots")
-    more_pairs = stored(
-        _pairs_across(branches, sketches, roots, least, similarity).join(
-            first_pairs, ["x", "y"], "left_anti"
-        ),
-        "near-pairs",
+    ends = first_pairs.select(F.col("x").alias("rep")).unionAll(first_pairs.select("y"))
+    sets = full_sets(ends, None)
+    links = stored(
+        first_pairs.join(sets.withColumnsRenamed({"rep": "x", "full": "set_x"}), "x")
+        .join(sets.withColumnsRenamed({"rep": "y", "full": "set_y"}), "y")
+        .mapInArrow(_confirmer(similarity), _PAIR),
+        "near-links",
     )
-    if not more_pairs.isEmpty():
-        sets = full_sets(more_pairs, sets)
-        more_links = confirmed(more_pairs, sets)
+    roots = stored(components(links), "near-roots")
+    open_ = _open_members(branches, sketches, roots, least, similarity)
+    if not open_.isEmpty():
+        sets = full_sets(open_.select("rep"), sets)
+        met = open_.join(sketches, "rep").join(sets, "rep")
+        across = _by_node(_confirmed_across(least, similarity), _PAIR, "full")
+        more_links = stored(_in_node_order(met).mapInArrow(across, _PAIR).distinct(), "near-links")
         if not more_links.isEmpty():
             roots = stored(components(links.unionAll(more_links)), "near-roots")
 

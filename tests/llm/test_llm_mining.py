@@ -14,8 +14,9 @@ sys.path[:0] = [str(pathlib.Path(__file__).resolve().parent)]
 
 from pyspark.sql import functions as F  # noqa: E402
 
+import brute  # noqa: E402
 from compare import compare, connect  # noqa: E402
-from gavel.llm import hard_negatives as mining, sharding  # noqa: E402
+from gavel.llm import hard_negatives as mining, near_dedup  # noqa: E402
 from gavel.llm.hard_negatives import hard_negatives, usable_vectors  # noqa: E402
 from gavel.llm.merkle import manifest  # noqa: E402
 from gavel.llm.queries import ORACLES, QUERIES  # noqa: E402
@@ -248,3 +249,27 @@ def test_op13_query(spark):
     rows, loads = shards_of(QUERIES["op13_balanced_sharding"](spark, "/root/testdata/sf0.01"), 16)
     assert {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
     assert max(loads) - min(loads) <= 0.01 * sum(loads) / 16
+
+
+# --- near duplicates: recall in a large family ---
+
+
+@pytest.mark.parametrize("limit", [2048, 100])
+def test_recall_in_a_family_of_different_texts(spark, monkeypatch, limit):
+    """Texts around the similarity asked for, more of them than a node takes: links are not lost."""
+    monkeypatch.setattr(near_dedup, "ACROSS_LIMIT", limit)
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for n in range(400):
+        words = list(base)
+        for at in draw.sample(range(120), draw.choice([2, 3, 3, 4, 5])):
+            words[at] = f"x{draw.randrange(10**6)}"
+        texts.append((n, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(texts, "doc_id long, text string"), width=4).collect()}
+    want = {d: c for d, (_, c, _) in brute.near(texts).items()}
+    ours, theirs = Counter(got.values()), Counter(want.values())
+    assert all(want[d] == want[c] for d, c in got.items())  # no link that is none
+    pairs = lambda sizes: sum(n * (n - 1) // 2 for n in sizes.values())
+    assert pairs(theirs) > 300 and len(theirs) > 40
+    assert pairs(ours) >= 0.98 * pairs(theirs)
