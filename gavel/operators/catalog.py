@@ -135,6 +135,28 @@ def case_references(sub_tasks: DataFrame) -> DataFrame:
     )
 
 
+def record_links() -> Column:
+    """All case references of a record's ``sub_tasks``, in order: an array of ``sub_task``,
+    ``case_position``, ``case_name`` and ``place``, from 1 among the record's case names, 0 where it has
+    no such case. A record holds both sides, so nothing is joined."""
+    names = F.array_sort(F.map_keys("test_cases"))
+
+    def of_task(task: Column, k: Column) -> Column:
+        given = F.coalesce(task["test_case_names"], F.array().cast("array<string>"))
+        return F.transform(
+            given,
+            lambda name, j: F.struct(
+                k.alias("sub_task"),
+                j.alias("case_position"),
+                name.alias("case_name"),
+                F.coalesce(F.array_position(names, name), F.lit(0)).alias("place"),
+            ),
+        )
+
+    none = F.array().cast("array<struct<sub_task:int,case_position:int,case_name:string,place:bigint>>")
+    return F.coalesce(F.flatten(F.transform("sub_tasks", of_task)), none)
+
+
 def link_sub_tasks(sub_tasks: DataFrame, cases: DataFrame) -> DataFrame:
     """``sub_task_id, case_position, test_case_id`` for every name found in the same problem."""
     known = cases.select(

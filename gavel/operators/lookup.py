@@ -100,19 +100,21 @@ def fetch_cases(resolved: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def _join_where(requests: DataFrame, able: Column, known: DataFrame, on: list[str]) -> DataFrame:
-    """Left join of the requests that can have an answer; the others are dealt out by a hash of
-    their own, which meets nothing, so neither do they pile up nor are the requests read twice."""
-    able = F.coalesce(able, F.lit(False))
-    spread = F.xxhash64(*requests.columns)
-    sided = requests.withColumn("_able", able).withColumn(
-        "_key", F.when(F.col("_able"), F.xxhash64(*on)).otherwise(spread)
+    """Left join of the requests that can have an answer by ``on``, an id first.
+
+    The others are dealt out by a hash in place of the id, and meet nothing: neither do they pile up
+    nor are the requests read twice. The keys of the join are those of ``on``, so a table bucketed by
+    them stays where it is.
+    """
+    sided = requests.withColumn("_able", F.coalesce(able, F.lit(False))).withColumn(
+        "_id", F.when(F.col("_able"), F.col(on[0])).otherwise(F.xxhash64(*requests.columns))
     )
-    right = known.withColumn("_on_key", F.xxhash64(*on)).withColumnsRenamed({c: f"_on_{c}" for c in on})
-    same = F.col("_able") & (F.col("_key") == F.col("_on_key"))
-    for c in on:
+    right = known.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = F.col("_able") & (F.col("_id") == F.col(f"_on_{on[0]}"))
+    for c in on[1:]:
         same = same & (F.col(c) == F.col(f"_on_{c}"))
     joined = sided.join(right, same, "left")
-    return joined.drop("_able", "_key", "_on_key", *[f"_on_{c}" for c in on])
+    return joined.drop("_able", "_id", *[f"_on_{c}" for c in on])
 
 
 def adapt_file_columns(files: DataFrame | None) -> DataFrame:

@@ -14,6 +14,7 @@ from gavel.session import materialized
 
 # Collections of a record that become tables of the same name.
 COUNTED = ["test_cases", "grader_files", "sub_tasks"]
+LINKS = "sub_task_test_cases"
 TABLES = ["problems", "test_cases", "sub_tasks", "sub_task_test_cases", "grader_files"]
 
 
@@ -39,20 +40,22 @@ def load_catalog(
     existing = existing or {}
     keyed, unkeyed = c.reject_unkeyed(c.unify_layout(records))
     keyed, bad_sub_tasks = c.reject_sub_tasks(keyed)
-    # Every table below reads other columns of the records: parse them once, into columns.
-    keyed = materialized(keyed)
+    # Every table below reads other columns of the records: parse them once, into columns. The links
+    # of a record's sub-tasks to its cases are found inside the record.
+    keyed = materialized(keyed.withColumn("links", c.record_links()))
 
     names = keyed.select("seq", "year", "name")
     repeated = unique_violations(names, ["year", "name"], existing.get("problems"))
     # A record holds all its cases, files and sub-tasks, so an id is the problem's first one plus
     # the place in the record: only counts per problem are ordered, never a text.
+    n_links = F.size(F.filter("links", lambda link: link["place"] > 0))
     counts = keyed.select(
-        "seq", "year", "name", *[_count(column).alias(column) for column in COUNTED]
+        "seq", "year", "name", *[_count(column).alias(column) for column in COUNTED], n_links.alias(LINKS)
     ).join(repeated.select("seq"), "seq", "left_anti")
     firsts = running_totals(
         counts,
         ["seq"],
-        {"before": F.lit(1), **{f"{column}_before": F.col(column) for column in COUNTED}},
+        {"before": F.lit(1), **{f"{column}_before": F.col(column) for column in [*COUNTED, LINKS]}},
     ).select(
         "seq",
         "year",
@@ -60,7 +63,7 @@ def load_catalog(
         (F.col("before") + c.next_id(existing.get("problems"))).alias("problem_id"),
         *[
             (F.col(f"{column}_before") + c.next_id(existing.get(column))).alias(f"first_{column}")
-            for column in COUNTED
+            for column in [*COUNTED, LINKS]
         ],
     )
     firsts = materialized(firsts)
@@ -72,23 +75,35 @@ def load_catalog(
     cases = numbered(c.named_cases(nested), "test_cases")
     files = numbered(c.grader_files(nested), "grader_files")
     tasks = numbered(c.sub_tasks(nested), "sub_tasks")
-    case_keys = numbered(c.case_names(nested), "test_cases").select("id", "problem_id", "name")
-    links = c.assign_ids(
-        c.link_sub_tasks(tasks, case_keys),
-        ["sub_task_id", "case_position"],
-        existing.get("sub_task_test_cases"),
+    links = nested.select(
+        "problem_id", "first_test_cases", "first_sub_tasks", f"first_{LINKS}",
+        F.posexplode(F.filter("links", lambda link: link["place"] > 0)).alias("position", "link"),
+    )
+    missing = nested.select(
+        "problem_id", "first_sub_tasks",
+        F.explode(F.filter("links", lambda link: link["place"] == 0)).alias("link"),
     )
     tables = {
         "problems": firsts.select(F.col("problem_id").alias("id"), "year", "name"),
         "test_cases": cases.select("id", "problem_id", "name", "input", "output"),
         "sub_tasks": tasks.select("id", "problem_id", "name", "score", "time_limit", "memory_limit"),
-        "sub_task_test_cases": links.select("id", "sub_task_id", "test_case_id"),
+        LINKS: links.select(
+            (F.col(f"first_{LINKS}") + F.col("position")).alias("id"),
+            (F.col("first_sub_tasks") + F.col("link.sub_task")).alias("sub_task_id"),
+            (F.col("first_test_cases") + F.col("link.place") - 1).alias("test_case_id"),
+        ),
         "grader_files": files.select("id", "problem_id", "name", "content"),
     }
     rejects = {
         "unkeyed": unkeyed,
         "sub_tasks": bad_sub_tasks,
         "repeated": repeated,
-        "missing_case_refs": c.missing_case_refs(tasks, case_keys),
+        "missing_case_refs": missing.select(
+            "problem_id",
+            F.col("link.case_name").alias("case_name"),
+            F.col("link.sub_task").alias("position"),
+            (F.col("first_sub_tasks") + F.col("link.sub_task")).alias("id"),
+            F.col("link.case_position").alias("case_position"),
+        ),
     }
     return LoadedCatalog(tables, rejects)

@@ -293,6 +293,24 @@ def fetch_cases(t):
     )
 
 
+@query("fetch_stored_cases", f"""
+WITH {i.OLYMPIAD}, {RESOLVED}
+SELECT r.request_id, r.resolved_id, r.test_case, c.input, c.output,
+       CASE WHEN r.status <> 'ok' THEN r.status WHEN c.name IS NULL THEN 'test case not found' ELSE 'ok' END AS status
+FROM resolved r LEFT JOIN record_cases c ON c.seq = r.resolved_id AND c.name = r.test_case
+""")
+def fetch_stored_cases(t):
+    """The same from a stored catalogue whose cases are bucketed: their texts are not shuffled."""
+    path = scratch_path(t.spark, "bucketed")
+    cases = c.named_cases(_by_seq(t).drop("name"))
+    write_tables({"problems": _catalog_problems(t), "test_cases": cases}, path, buckets=16)
+    stored = read_catalog(t.spark, path, ["problems", "test_cases"])
+    resolved = lookup.resolve_problems(_requests(t), stored["problems"])
+    return lookup.fetch_cases(resolved, stored["test_cases"]).select(
+        "request_id", "resolved_id", "test_case", "input", "output", "status"
+    )
+
+
 @query("fetch_files", f"""
 WITH {i.OLYMPIAD}, {RESOLVED}
 SELECT r.request_id, r.resolved_id, f.name AS file_name,
