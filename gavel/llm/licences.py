@@ -30,6 +30,8 @@ from gavel.llm.textkit import CHUNK_BYTES, binary_parts, mix, words
 FEATURES = 1 << 14
 #: Corpus paragraphs that the class of other text is trained on, by hash of their text.
 NEGATIVES = 4000
+#: Longer lines, in characters, are scanned but not trained on.
+MAX_LINE = 2000
 #: Variants of each template used for training, and as many for calibration.
 VARIANTS = 150
 MIN_PROBABILITY = 0.6
@@ -326,6 +328,28 @@ _FOUND = (
 )
 
 
+def _sampled_lines(docs: DataFrame, n: int) -> list[str]:
+    """The ``n`` distinct lines of a sixteenth of the documents that come first by hash.
+
+    A first pass estimates how many there are and so the hash under which about twice as many as asked for
+    lie; only those are sent to the driver, whatever the input is. Lines over ``MAX_LINE`` characters
+    are no training data.
+    """
+    lines = (
+        docs.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
+        .select(F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n")).alias("line"))
+        .filter(F.length("line") <= MAX_LINE)
+        .filter(r"line rlike '[^\x20\x09-\x0D]'")
+        .select(F.xxhash64("line").alias("h"), "line")
+    )
+    there = lines.agg(F.approx_count_distinct("h")).first()[0]
+    share = 2 * n / max(there, 1)
+    if share < 1:
+        lines = lines.filter(F.col("h") < int(share * 2**64) - 2**63)
+    chosen = lines.distinct().limit(4 * n).collect()
+    return [row.line for row in sorted(chosen, key=lambda row: (row.h, row.line))[:n]]
+
+
 def scan_licences(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_paragraphs (lines with a word), and found: the licence
     paragraphs with number, start (byte), family, probability and share of the template. A notice over
@@ -337,17 +361,7 @@ def scan_licences(docs: DataFrame, negatives: int = NEGATIVES, seed: int = 7) ->
     like others; equal probabilities go to the first family by name; an empty table gives no rows;
     columns other than doc_id and text are not read.
     """
-    line = F.explode(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    sampled = (
-        docs.filter(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
-        .select(line.alias("line"))
-        .filter(r"line rlike '[^\\x20\\x09-\\x0D]'")
-        .select(F.xxhash64("line").alias("h"), "line")
-        .orderBy("h", "line")
-        .limit(negatives)
-    )
-    # At most ``negatives`` lines, as training data only.
-    model = train([row.line for row in sampled.collect()], seed)
+    model = train(_sampled_lines(docs, negatives), seed)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

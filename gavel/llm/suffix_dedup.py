@@ -35,6 +35,8 @@ from gavel.llm.common import regrouped, shuffle_tasks, stored
 from gavel.llm.textkit import CHUNK_BYTES, Rolling, binary_parts
 
 WIDTH = 100
+#: Run lengths are kept in 16 bits.
+MAX_WIDTH = 65_535
 #: Bytes of a token.
 TOKEN = 32
 #: Texts sampled for splitters: one of so many, by hash.
@@ -329,7 +331,7 @@ def _run_sender(width: int, token: int, splitters: np.ndarray, groups: int):
                 blob = _packed(
                     np.diff(tokens[rows], prepend=np.uint64(0)),
                     hashes[rows],
-                    (end - start)[rows].astype(np.uint8),
+                    (end - start)[rows].astype(np.uint16),
                     ref.astype(np.uint32),
                     start[rows].astype(np.int64),
                     every.id[used],
@@ -385,7 +387,7 @@ def _run_bucket(splitters: np.ndarray, groups: int):
                     blob,
                     np.uint64,
                     np.uint64,
-                    np.uint8,
+                    np.uint16,
                     np.uint32,
                     np.int64,
                     np.int64,
@@ -601,8 +603,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, token: int = TOKEN) -> D
     Defined cases: a null text is empty; a null id comes after all ids; documents with the same id
     are ordered by a hash of the text, and if the text is the same too they are one document
     that was given twice, with the same result for each; texts under ``width`` bytes stay; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read. ``width`` may be up to ``MAX_WIDTH``.
     """
+    if not token <= width <= MAX_WIDTH:
+        raise ValueError(f"width must lie between {token} and {MAX_WIDTH}")
     text = F.coalesce(F.col("text"), F.lit(""))
     key: list[Column] = [
         F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),

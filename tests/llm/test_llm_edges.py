@@ -516,3 +516,14 @@ def test_added_tokens_in_texts(spark):
         got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
     assert 50256 in got[0]
+
+
+def test_remove_repeats_of_wide_strings(spark):
+    """Runs of more windows than a byte counts."""
+    passage = "".join(chr(97 + (i * i * 7 + i // 26) % 26) for i in range(1500))
+    rows = [(1, "start " + passage), (2, passage[100:] + " end"), (3, passage[:350])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=400).collect()}
+    want = {d: v[:2] for d, v in brute.repeats(rows, 400).items()}
+    assert got == want and want[2][1] == 1400 and want[3][1] == 0
+    with pytest.raises(ValueError):
+        remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=70_000)
