@@ -13,8 +13,9 @@ ever, so nodes shrink to groups of alike documents.
 2. *Branches.* From then on only nodes that span several components matter, and only pairs across
    them. A large one branches again; a small one is compared exhaustively, and so is what is left
    large at the last depth, in pairs of blocks. A node hands on its members that have a likely
-   partner in another component; their full sets come to the node, where links are confirmed and
-   components joined as they are found, so a node emits fewer links than it has members.
+   partner in another component; 16 bits of every hash of their sets come to the node, where
+   components are joined as pairs are found, so a node emits hardly more pairs than it has members.
+   These are confirmed on the full sets.
 
 No group is ever expanded into all of its pairs: those within a component are settled by step 1.
 
@@ -208,25 +209,56 @@ def _with_partner(least: float, similarity: int):
     return run
 
 
-def _confirmed_across(least: float, similarity: int):
-    """Links (x, y) of a node that join components, confirmed on the full sets."""
+def _joined_across(similarity: int):
+    """Pairs (x, y) of a node that join components, by the low 16 bits of their sets' hashes.
+
+    Equal hashes have equal bits, so no link is passed over. A pair that is similar by more than what bits
+    may agree by chance counts as joined, which ends the search between its components; pairs
+    closer to the border are handed on without that.
+    """
 
     def run(node: pa.Table) -> list[tuple]:
-        sketch, reps, size, labels, sides = _members(node, "label", "side")
-        full = [np.frombuffer(x.as_buffer(), np.uint64) for x in node.column("full").combine_chunks()]
-        union, links = _Union(), []
-        for i, js, _ in _likely_partners(sketch, size, least, similarity):
-            for j in _across(labels, sides, i, js).tolist():
-                if union.find(labels[i].item()) == union.find(labels[j].item()):
-                    continue
-                if _linked(full[i], full[j], similarity):
-                    union.join(labels[i].item(), labels[j].item())
+        reps, size, labels, sides = (node.column(c).to_numpy() for c in ("rep", "size", "label", "side"))
+        data, offsets = binary_parts(node.column("small"))
+        bits, ends = data.view(np.uint16), offsets // 2
+        label, links = labels.copy(), []
+        present = np.zeros(1 << 16, np.uint8)
+        for i in range(len(reps) - 1):
+            js = np.arange(i + 1, len(reps))
+            least, most = np.minimum(size[js], size[i]), np.maximum(size[js], size[i])
+            js = _across(label, sides, i, js[100 * least >= similarity * most])
+            if not len(js):
+                continue
+            own = bits[ends[i] : ends[i + 1]]
+            present[own] = 1
+            if 4 * len(js) > len(reps) - i:
+                seen = present[bits[ends[i + 1] :]]
+                common = np.add.reduceat(seen, ends[i + 1 : -1] - ends[i + 1], dtype=np.int64)[js - i - 1]
+            else:
+                common = np.array([int(present[bits[ends[j] : ends[j + 1]]].sum()) for j in js])
+            present[own] = 0
+            chance = size[js] * (len(own) / (1 << 16))
+            surely = common - (chance + 6 * np.sqrt(chance) + 3)
+            both = size[i] + size[js]
+            for j, sure in zip(*(x[100 * common >= similarity * (both - common)] for x in (js, 100 * surely >= similarity * (both - surely)))):
+                if label[i] != label[j]:
                     links.append((int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))))
+                    if sure:
+                        label[label == label[j]] = label[i]
         return links
 
     return run
 
 
+def _low_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, full) to (rep, small): the low 16 bits of every hash."""
+    for batch in batches:
+        small = [np.frombuffer(v.as_buffer(), np.uint64).astype(np.uint16).tobytes() for v in batch.column("full")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("rep"), pa.array(small, pa.binary())], names=["rep", "small"]
+        )
+
+
 def _linked(left: np.ndarray, right: np.ndarray, similarity: int) -> bool:
     """Whether two sets, sorted and distinct, are as similar as asked for."""
     if not len(left):
@@ -482,19 +514,25 @@ def near_dedup(
 
     ends = first_pairs.select(F.col("x").alias("rep")).unionAll(first_pairs.select("y"))
     sets = full_sets(ends, None)
-    links = stored(
-        first_pairs.join(sets.withColumnsRenamed({"rep": "x", "full": "set_x"}), "x")
-        .join(sets.withColumnsRenamed({"rep": "y", "full": "set_y"}), "y")
-        .mapInArrow(_confirmer(similarity), _PAIR),
-        "near-links",
-    )
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return stored(
+            pairs.join(sets.withColumnsRenamed({"rep": "x", "full": "set_x"}), "x")
+            .join(sets.withColumnsRenamed({"rep": "y", "full": "set_y"}), "y")
+            .mapInArrow(_confirmer(similarity), _PAIR),
+            "near-links",
+        )
+
+    links = confirmed(first_pairs)
     roots = stored(components(links), "near-roots")
     open_ = _open_members(branches, sketches, roots, least, similarity)
     if not open_.isEmpty():
         sets = full_sets(open_.select("rep"), sets)
-        met = open_.join(sketches, "rep").join(sets, "rep")
-        across = _by_node(_confirmed_across(least, similarity), _PAIR, "full")
-        more_links = stored(_in_node_order(met).mapInArrow(across, _PAIR).distinct(), "near-links")
+        small = stored(sets.mapInArrow(_low_bits, "rep long, small binary"), "near-small")
+        met = open_.join(sketches.select("rep", "size"), "rep").join(small, "rep")
+        across = _by_node(_joined_across(similarity), _PAIR, "small")
+        more_pairs = stored(_in_node_order(met).mapInArrow(across, _PAIR).distinct(), "near-pairs")
+        more_links = confirmed(more_pairs)
         if not more_links.isEmpty():
             roots = stored(components(links.unionAll(more_links)), "near-roots")
 
