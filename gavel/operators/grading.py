@@ -281,13 +281,17 @@ def problem_scores(
 
 
 def score_audit(scored: DataFrame) -> DataFrame:
-    """Lines that did not reach the full score or raised: ``line_no, error, line``."""
+    """Problems that did not reach the full score or raised, with ``error`` and what tells their place.
+
+    ``with_raw_lines`` of the scoring plan fetches the lines themselves.
+    """
     # NaN compares greater than every number in Spark, so it is reported as well.
     off = F.abs(F.col("score") - FULL_SCORE) > SCORE_TOLERANCE
     error = F.when(F.col("reason").isNotNull(), F.col("reason")).when(
         off, F.concat(F.lit("expected score 100, got "), F.round("score", 6).cast("string"))
     )
-    return scored.select("line_no", error.alias("error"), "line").filter("error IS NOT NULL")
+    place = [c for c in scored.columns if c not in ("score", "reason")]
+    return scored.select(*place, error.alias("error")).filter("error IS NOT NULL")
 
 
 def audit_passed(scored: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gavel.operators import grading, planning
 from gavel.operators.outputs import parse_run_results
+from gavel.session import materialized
 
 
 def score_problems(
@@ -53,3 +54,14 @@ def compile_failures(problems: DataFrame, outcomes: DataFrame) -> DataFrame:
         "problem_id", F.col("message").alias("detail")
     )
     return problems.join(failed, "problem_id").withColumn("score", F.lit(0.0))
+
+
+def with_raw_lines(audit: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows that have ``file`` and ``line_no`` with the ``line`` that stands there.
+
+    ``lines`` comes from ``with_line_numbers``. Raw lines are long and few are asked for, so they take no
+    part in the scoring: the wanted places are written first, and the file is read once more.
+    """
+    wanted = materialized(audit)
+    placed = lines.select(F.col("seq.file").alias("file"), "line_no", "line")
+    return placed.join(wanted, ["file", "line_no"]).select(*audit.columns, "line")

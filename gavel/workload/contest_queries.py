@@ -102,21 +102,17 @@ def problem_keys(t):
 
 @query("problem_key_collisions", f"""
 WITH {i.SUBMISSIONS}, {HASHED}
-SELECT id % 1000 AS id, min(problem_index || ':' || contest_id) AS first_key, max(problem_index || ':' || contest_id) AS last_key
-FROM hashed GROUP BY id % 1000 HAVING count(*) > 1
+SELECT id, least_key.c || ':' || least_key.i AS first_key, most_key.c || ':' || most_key.i AS last_key
+FROM (SELECT id % 1000 AS id, min({{'c': contest_id, 'i': problem_index}}) AS least_key,
+             max({{'c': contest_id, 'i': problem_index}}) AS most_key
+      FROM hashed GROUP BY id % 1000 HAVING count(*) > 1)
 """)
 def problem_key_collisions(t):
     """Full ids do not collide here, so the report is shown on ids cut to three digits."""
     keyed = contest.problem_keys(contest.contest_problems(i.submissions(t)))
-    # min and max of the key text, as structs do not compare across engines.
     found = keyed.withColumn("id", F.col("id") % 1000)
-    named = F.concat("problem_index", F.lit(":"), "contest_id")
-    report = contest.key_collisions(found).select("id")
-    return (
-        found.join(report, "id", "left_semi")
-        .groupBy("id")
-        .agg(F.min(named).alias("first_key"), F.max(named).alias("last_key"))
-    )
+    shown = lambda key: F.concat(F.col(f"{key}.contest_id"), F.lit(":"), F.col(f"{key}.problem_index")).alias(key)
+    return contest.key_collisions(found).select("id", shown("first_key"), shown("last_key"))
 
 
 @query("contest_cases", f"""

@@ -94,7 +94,7 @@ def packed_documents(t: Tables) -> DataFrame:
         .alias("index"),
         F.transform(
             lines,
-            lambda line: F.struct(line.alias("input"), F.substring(line, 1, 7).alias("output")),
+            lambda line: F.struct(line.alias("input"), text("= ", line).alias("output")),
         ).alias("test_cases"),
     )
 
@@ -108,7 +108,7 @@ packed AS (
 entries AS (SELECT *, len(lines) AS case_count FROM packed WHERE strlen("index") <= 255),
 entry_cases AS (
   SELECT seq, contest_id, "index", case_count, i - 1 AS case_no, lines[i] AS input,
-         substr(lines[i], 1, 7) AS output
+         '= ' || lines[i] AS output
   FROM (SELECT *, unnest(range(1, case_count + 1)) AS i FROM entries)),
 latest AS (
   SELECT * FROM entries QUALIFY row_number() OVER (PARTITION BY contest_id, "index" ORDER BY seq DESC) = 1)

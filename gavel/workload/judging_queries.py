@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavel.operators import catalog, grading, outputs, planning
-from gavel.plans.scoring import score_problems
+from gavel.plans.scoring import score_problems, with_raw_lines
+from gavel.sources import jsonl
 from gavel.workload import inputs as i
 from gavel.workload.registry import query
 
@@ -445,18 +446,22 @@ def problem_scores(t):
 
 @query("score_audit", f"""
 WITH {i.JUDGED}
-SELECT problem_id AS line_no, CASE WHEN reason IS NOT NULL THEN reason WHEN total IS NULL THEN NULL
-       ELSE 'expected score 100' END AS error
-FROM (SELECT *, round(score, 6) AS total FROM problem_score)
-WHERE reason IS NOT NULL OR abs(score - 100) > 1e-6
+SELECT problem_id, '{{"problem_id":' || problem_id || ',"note":"' || o_orderpriority || '"}}' AS line,
+       CASE WHEN reason IS NOT NULL THEN reason ELSE 'expected score 100, got ' || CAST(round(score, 6) AS VARCHAR) END AS error
+FROM problem_score JOIN orders ON o_orderkey = problem_id
+WHERE reason IS NOT NULL OR abs(round(score, 6) - 100) > 1e-6
 """)
 def score_audit(t):
-    lines = scored(t)["problem_scores"].select(
-        F.col("problem_id").alias("line_no"), "score", "reason", F.col("problem_id").cast("string").alias("line")
-    )
-    return grading.score_audit(lines).select(
-        "line_no", F.regexp_replace("error", ", got .*", "").alias("error")
-    )
+    """Problems read from a file, scored, and those that fell short with their lines."""
+    path = [i.as_json_lines(
+        t.orders.select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("problem_id"), F.col("o_orderpriority").alias("note")),
+        "audited",
+    )]
+    rows, _ = jsonl.read_jsonl(t.spark, path, jsonl.RecordSchema("problem_id long, note string"), line_numbers=True)
+    problems = rows.select("problem_id", F.col("seq.file").alias("file"), "line_no")
+    scores = score_problems(problems, i.judged_sub_tasks(t), i.judged_runs(t))["problem_scores"]
+    lines = jsonl.with_line_numbers(jsonl.text_lines(t.spark, path))
+    return with_raw_lines(grading.score_audit(scores), lines).select("problem_id", "line", "error")
 
 
 @query("audit_passed", f"""
