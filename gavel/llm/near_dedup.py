@@ -48,6 +48,8 @@ MAX_DEPTH = 6
 BLOCK = 1024
 #: Second branches of a node, in per cent of nodes.
 SECOND = 25
+#: Up to so many wanted documents (some 24 MB) are sent to the texts; more meet them in a shuffle.
+SENT_KEYS = 1_000_000
 SHINGLE_WORDS = 5
 SIMILARITY = 80
 
@@ -501,11 +503,14 @@ def near_dedup(
         wanted = stored(
             classes.select("rep", "doc_id", "tie").join(ends, "rep", "left_semi"), "near-wanted"
         )
-        if there is not None and wanted.isEmpty():
+        n_wanted = wanted.count()
+        if there is not None and not n_wanted:
             return there
+        if n_wanted <= SENT_KEYS:
+            wanted = F.broadcast(wanted)  # three numbers a row
         same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie"))
         more = stored(
-            texts.join(wanted, same)  # Spark sends few wanted keys to the texts, not the texts to them
+            texts.join(wanted, same)
             .select("rep", "text")
             .mapInArrow(_full_sets(width), "rep long, full binary"),
             "near-sets",
