@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.llm.common import regrouped, shuffle_tasks, stored
-from gavel.llm.components import components
+from gavel.llm.components import components, joined
 from gavel.llm.textkit import CHUNK_BYTES, binary_parts, mix, shingles, words
 
 SKETCH = 128
@@ -312,11 +312,7 @@ def _alike(a: str, b: str) -> Column:
 def _roots(sketches: DataFrame) -> DataFrame:
     """(node, rep, n) of the root branches of all trees that hold two sets or more."""
     branches = sketches.select("rep", F.posexplode("roots").alias("tree", "token"))
-    return _shared(branches.select(F.xxhash64("tree", "token").alias("node"), "rep"))
-
-
-def _shared(members: DataFrame) -> DataFrame:
-    members = stored(members, "tree-members")
+    members = stored(branches.select(F.xxhash64("tree", "token").alias("node"), "rep"), "tree-members")
     sizes = stored(
         members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "tree-sizes"
     )
@@ -359,12 +355,14 @@ def _open_members(
         "tree-labelled",
     )
     no_side = F.lit(-1).alias("side")
-    members, compared = roots.select("node", "rep", "n"), []
+    members, compared = roots.select("node", "rep"), []
     for depth in range(MAX_DEPTH + 1):
-        named = members.join(known.select("rep", "label"), "rep")
-        several = named.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-        several = stored(several.filter("a < b").select("node"), "tree-several")
-        open_nodes = members.join(several, "node", "left_semi").join(known, "rep")
+        # One aggregate gives the members of a node and whether they are of several components.
+        sizes = members.join(known.select("rep", "label"), "rep").groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.min("label").alias("a"), F.max("label").alias("b")
+        )
+        several = stored(sizes.filter("a < b").select("node", "n"), "tree-several")
+        open_nodes = members.join(several, "node").join(known, "rep")
         compared.append(
             stored(open_nodes.filter(F.col("n") <= ACROSS_LIMIT).drop("n").withColumn("side", no_side), "tree-small")
         )
@@ -378,7 +376,7 @@ def _open_members(
         children = [F.xxhash64("node", c, F.get("sketch", c)) for c in chosen]
         second = F.pmod(F.xxhash64("node", F.lit(3)), F.lit(100)) < SECOND
         branches = F.when(second, F.array(*children)).otherwise(F.array(children[0]))
-        members = _shared(large.select(F.explode(branches).alias("node"), "rep"))
+        members = stored(large.select(F.explode(branches).alias("node"), "rep"), "tree-members")
     columns = ["node", "rep", "size", "sketch", "label", "side"]
     together = compared[0].select(columns)
     for part in compared[1:]:
@@ -539,7 +537,7 @@ def near_dedup(
         more_pairs = stored(_in_node_order(met).mapInArrow(across, _PAIR).distinct(), "near-pairs")
         more_links = confirmed(more_pairs)
         if not more_links.isEmpty():
-            roots = stored(components(links.unionAll(more_links)), "near-roots")
+            roots = stored(joined(roots, more_links), "near-roots")
 
     grouped = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "root", F.coalesce("root", "rep")

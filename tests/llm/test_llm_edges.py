@@ -2,6 +2,7 @@
 
 import json
 import pathlib
+import random
 import sys
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from gavel.llm import suffix_dedup, warc  # noqa: E402
-from gavel.llm.components import components  # noqa: E402
+from gavel.llm.components import components, joined  # noqa: E402
 from gavel.llm.exact_dedup import directory, exact_dedup, owners  # noqa: E402
 from gavel.llm.licences import FAMILIES, scan_licences, train, variants  # noqa: E402
 from gavel.llm.mixing import mix, mixed_documents, taken  # noqa: E402
@@ -151,6 +152,29 @@ def test_near_dedup_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute.near(rows)
 
 
+def _roots_of(edges):
+    """{node: smallest node reachable}, one edge after the other."""
+    root = {n: n for edge in edges for n in edge}
+    for x, y in edges:
+        low, high = sorted((root[x], root[y]))
+        root = {n: low if r == high else r for n, r in root.items()}
+    return root
+
+
+def test_components_joined_by_further_edges(spark):
+    rng = random.Random(5)
+    drawn = [tuple(rng.sample(range(60), 2)) for _ in range(45)]
+    star = [(100, n) for n in range(101, 140)]
+    first = [*drawn[:25], *star, (201, 200), (202, 200), (202, 201)]
+    # Inside a component, between two, repeated, from a known node to a new one, and between new ones.
+    for more in ([*drawn[25:], (110, 120), (139, 3), (139, 3), (139, 300), (401, 400)], [(201, 202)], []):
+        roots = components(spark.createDataFrame(first, "x long, y long"))
+        assert {r.node: r.root for r in roots.collect()} == _roots_of(first)
+        got = joined(roots, spark.createDataFrame(more, "x long, y long")).collect()
+        assert len(got) == len({r.node for r in got})
+        assert {r.node: r.root for r in got} == _roots_of([*first, *more])
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, 200)]
     got = components(spark.createDataFrame(chain, "x long, y long")).collect()
