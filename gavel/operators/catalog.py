@@ -135,11 +135,11 @@ def case_references(sub_tasks: DataFrame) -> DataFrame:
     )
 
 
-def record_links() -> Column:
+def record_links(names: Column) -> Column:
     """All case references of a record's ``sub_tasks``, in order: an array of ``sub_task``,
-    ``case_position``, ``case_name`` and ``place``, from 1 among the record's case names, 0 where it has
-    no such case. A record holds both sides, so nothing is joined."""
-    names = F.array_sort(F.map_keys("test_cases"))
+    ``case_position``, ``case_name`` and ``place``, from 1 among the record's case ``names``, 0 where it has
+    no such case. A record holds both sides, so nothing is joined. ``names`` is read for every reference:
+    pass a column that holds them, not an expression."""
 
     def of_task(task: Column, k: Column) -> Column:
         given = F.coalesce(task["test_case_names"], F.array().cast("array<string>"))

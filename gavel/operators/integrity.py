@@ -28,6 +28,16 @@ FOREIGN_KEYS = {
 }
 
 
+def repeated_keys(
+    df: DataFrame, keys: Sequence[str], existing: DataFrame | None = None
+) -> DataFrame:
+    """The keys that occur more than once in ``df`` and ``existing`` together, as a written table."""
+    seen = df.select(*keys)
+    if existing is not None:
+        seen = seen.unionByName(existing.select(*keys))
+    return materialized(seen.groupBy(*keys).count().filter("count > 1").select(*keys))
+
+
 def unique_violations(
     df: DataFrame, keys: Sequence[str], existing: DataFrame | None = None
 ) -> DataFrame:
@@ -37,11 +47,7 @@ def unique_violations(
     to the rows, and if there are many, it shuffles both sides and can split a hot key.
     """
     keys = list(keys)
-    seen = df.select(*keys)
-    if existing is not None:
-        seen = seen.unionByName(existing.select(*keys))
-    repeated = materialized(seen.groupBy(*keys).count().filter("count > 1").select(*keys))
-    return df.join(repeated, keys, "left_semi")
+    return df.join(repeated_keys(df, keys, existing), keys, "left_semi")
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:

@@ -50,10 +50,11 @@ def keep_last_wide(df: DataFrame, keys: Sequence[str], order_by: Sequence[str])
     return df.join(chosen, same, "left_semi")
 
 
-def _placed(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    # No partition count is given, so that small ranges are coalesced; what is coalesced is
+def _placed(df: DataFrame, order: Sequence[str], tasks: int | None = None) -> DataFrame:
+    # Where no partition count is given, small ranges are coalesced; what is coalesced is
     # adjacent, and is sorted and numbered afterwards.
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*([tasks] if tasks else []), *order)
+    ordered = ranged.sortWithinPartitions(*order)
     return materialized(
         ordered.withColumn(_PART, F.spark_partition_id()).withColumn(
             _POS, F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS))
@@ -91,16 +92,19 @@ def running_totals(
     totals: Mapping[str, Column],
     keys: Sequence[str] = (),
     inclusive: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Running sums in the total order ``order_by``, restarted for every key.
 
+    ``tasks`` is the number of ranges, for callers who know the rows; else it is Spark's.
+
     A key may fill many partitions. Each partition is summed on its own; a key that
     began in an earlier partition gets its carry from a table with at most one row
     per partition, which is why that table can be broadcast.
     """
     keys = list(keys)
     valued = df.select("*", *[expr.alias(f"_v_{name}") for name, expr in totals.items()])
-    placed = _placed(valued, [*keys, *order_by])
+    placed = _placed(valued, [*keys, *order_by], tasks)
 
     per_part = placed.groupBy(_PART, *keys).agg(
         F.count(F.lit(1)).alias("_rows"),
@@ -121,7 +125,7 @@ def running_totals(
         .orderBy(_POS)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
-    summed = placed.select(
+    summed = (placed.repartition(tasks, _PART) if tasks else placed).select(
         "*", *[F.sum(f"_v_{name}").over(frame).alias(f"_r_{name}") for name in totals]
     )
     # Keys join null-safe: a NULL key is a group like any other.

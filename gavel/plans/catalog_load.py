@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.operators import catalog as c
-from gavel.operators.integrity import unique_violations
+from gavel.operators.integrity import repeated_keys
+from gavel.operators.joins import streamed_join, tasks_for
 from gavel.operators.ordering import running_totals
-from gavel.session import materialized
+from gavel.session import evaluated_once, materialized
 
 # Collections of a record that become tables of the same name.
 COUNTED = ["test_cases", "grader_files", "sub_tasks"]
@@ -38,24 +39,29 @@ def load_catalog(
     because the key order of a JSON object means nothing.
     """
     existing = existing or {}
-    keyed, unkeyed = c.reject_unkeyed(c.unify_layout(records))
+    unified = evaluated_once(c.unify_layout(evaluated_once(records)))
+    keyed, unkeyed = c.reject_unkeyed(unified)
     keyed, bad_sub_tasks = c.reject_sub_tasks(keyed)
     # Every table below reads other columns of the records: parse them once, into columns. The links
     # of a record's sub-tasks to its cases are found inside the record.
-    keyed = materialized(keyed.withColumn("links", c.record_links()))
+    keyed = evaluated_once(keyed.withColumn("_names", F.array_sort(F.map_keys("test_cases"))))
+    keyed = materialized(keyed.withColumn("links", c.record_links(F.col("_names"))).drop("_names", "sample_solution"))
 
     names = keyed.select("seq", "year", "name")
-    repeated = unique_violations(names, ["year", "name"], existing.get("problems"))
+    copies = repeated_keys(names, ["year", "name"], existing.get("problems"))
+    repeated = streamed_join(names, copies, ["year", "name"], "left_semi").select("seq", "year", "name")
     # A record holds all its cases, files and sub-tasks, so an id is the problem's first one plus
     # the place in the record: only counts per problem are ordered, never a text.
     n_links = F.size(F.filter("links", lambda link: link["place"] > 0))
     counts = keyed.select(
         "seq", "year", "name", *[_count(column).alias(column) for column in COUNTED], n_links.alias(LINKS)
-    ).join(repeated.select("seq"), "seq", "left_anti")
+    )
+    counts = streamed_join(counts, copies, ["year", "name"], "left_anti")
     firsts = running_totals(
         counts,
         ["seq"],
         {"before": F.lit(1), **{f"{column}_before": F.col(column) for column in [*COUNTED, LINKS]}},
+        tasks=tasks_for(keyed.count(), keyed.sparkSession),
     ).select(
         "seq",
         "year",
@@ -67,7 +73,7 @@ def load_catalog(
         ],
     )
     firsts = materialized(firsts)
-    nested = keyed.drop("year", "name").join(firsts.drop("year", "name"), "seq")
+    nested = streamed_join(keyed.drop("year", "name"), firsts.drop("year", "name"), "seq")
 
     def numbered(rows: DataFrame, column: str) -> DataFrame:
         return rows.withColumn("id", F.col(f"first_{column}") + F.col("position"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,6 +44,17 @@ def local_session(
     return spark
 
 
+def evaluated_once(df: DataFrame) -> DataFrame:
+    """``df`` with every column computed once for a row, however often the steps after it name one.
+
+    Spark puts the expressions of adjoining projections into one another, so a record built or parsed in
+    one step would be built again wherever a later step names it, inside a lambda once for each
+    element. The one-element explode keeps the steps apart; outer, as an inner one gets a filter.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.explode_outer(F.array(row)).alias("_row")).select("_row.*")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset, one inside the warehouse.
 
