@@ -163,16 +163,16 @@ def neighbours(
     """
     keys = list(keys)
     sides = {False: dict(before or {}), True: dict(after or {})}
-    valued = df.select(
-        "*", *[e.alias(f"_v_{name}") for side in sides.values() for name, e in side.items()]
-    )
-    placed = _placed(valued, [*keys, *order_by])
+    # The values follow from a row's own columns: they are made where they are used, and neither
+    # ranged, written nor shuffled.
+    values = [e.alias(f"_v_{name}") for side in sides.values() for name, e in side.items()]
+    placed = _placed(df, [*keys, *order_by])
 
     key = F.struct(*keys)
     edges = placed.groupBy(_PART).agg(
         F.min_by(key, _POS).alias("_first"), F.max_by(key, _POS).alias("_last")
     )
-    at_edge = placed.join(F.broadcast(edges), _PART).filter(
+    at_edge = placed.select("*", *values).join(F.broadcast(edges), _PART).filter(
         key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_last"))
     )
 
@@ -203,7 +203,7 @@ def neighbours(
         .rowsBetween(Window.unboundedPreceding, -1)
         for back in sides
     }
-    seen = placed.select(
+    seen = placed.repartition(_PART, *keys).select("*", *values).select(
         "*",
         *[
             F.last(f"_v_{name}", ignorenulls=True).over(frames[back]).alias(f"_r_{name}")

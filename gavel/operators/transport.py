@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.functions.text import empty_if_null, python_int, strip
@@ -104,17 +106,31 @@ def settle_in_turn(
     requests that count are a chain of pointers from the first one of every id, and it is
     followed by doubling. No id is ever gathered: neighbours are found across range partitions.
     """
+    outcomes, fates = settled_rows(requests, responses, ttl_seconds)
+    return outcomes.select("_number", "response_ts", "response_seq", "how"), fates.select("seq", "fate")
+
+
+def settled_rows(
+    requests: DataFrame, responses: DataFrame, ttl_seconds: float = TTL_SECONDS, carry: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`settle_in_turn` as whole rows, so that nothing has to be joined to them.
+
+    Requests come back as ``id, request_ts, deadline_ts, _number``, the narrow columns named by ``carry`` and
+    their outcome, responses nobody took as ``id, response_ts, seq, fate``.
+    """
+    carry = list(carry)
     none = F.lit(None).cast("timestamp")
-    asked = requests.select("id", "request_ts", _deadline(requests).alias("deadline"), "_number")
+    unset = [F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in carry]
+    asked = requests.select("id", "request_ts", _deadline(requests).alias("deadline"), "_number", *carry)
     events = (
         responses.select(
             "id", F.col("response_ts").alias("ts"), F.lit(0).alias("kind"),
-            F.col("seq").cast("bigint").alias("number"), none.alias("deadline"),
+            F.col("seq").cast("bigint").alias("number"), none.alias("deadline"), *unset,
         )
-        .unionAll(asked.select("id", "request_ts", F.lit(1), "_number", "deadline"))
+        .unionAll(asked.select("id", "request_ts", F.lit(1), "_number", "deadline", *carry))
         .unionAll(
             asked.filter("deadline IS NOT NULL").select(
-                "id", F.greatest("deadline", "request_ts"), F.lit(2), "_number", "deadline"
+                "id", F.greatest("deadline", "request_ts"), F.lit(2), "_number", "deadline", *unset
             )
         )
     )
@@ -144,21 +160,24 @@ def settle_in_turn(
     answered = F.col("next_response").isNotNull() & (
         F.col("deadline").isNull() | (F.col("next_response.ts") <= F.col("deadline"))
     )
-    after = lambda kind, name: near.filter(F.col("kind") == kind).select(
-        F.col("number").alias(f"{name}_number"), F.col("next_request").alias(f"after_{name}")
+    # A waiting request ends with its answer or at its deadline: one event, whose next request follows.
+    ends = near.filter("kind <> 1").select(
+        F.col("kind").alias("end_kind"), F.col("number").alias("end_number"), F.col("next_request").alias("end_next")
     )
     waits = materialized(
         near.filter("kind = 1")
         .withColumn("answered", answered)
         .withColumn("answer_number", F.when(F.col("answered"), F.col("next_response.number")))
-        .join(after(0, "answer"), "answer_number", "left")
-        .join(after(2, "deadline").withColumnRenamed("deadline_number", "number"), "number", "left")
+        .withColumn("end_kind", F.when(F.col("answered"), 0).otherwise(2))
+        .withColumn("end_number", F.coalesce("answer_number", "number"))
+        .join(ends, ["end_kind", "end_number"], "left")
+        .drop("end_kind", "end_number")
     )
     # A request is two nodes: one that waits (2 n) and one that takes what is held (2 n + 1).
     end = F.greatest("deadline", "ts")
     waiting = F.struct(
         (F.col("number") * 2).alias("node"),
-        F.when(F.col("answered"), F.col("after_answer")).otherwise(F.col("after_deadline")).alias("then"),
+        F.col("end_next").alias("then"),
         F.col("answer_number").alias("used"),
         F.when(~F.col("answered"), end).alias("since"),
     )
@@ -196,7 +215,11 @@ def settle_in_turn(
         waits.join(served, "number", "left")
         .withColumn("taken", taken)
         .select(
+            "id",
+            F.col("ts").alias("request_ts"),
+            F.col("deadline").alias("deadline_ts"),
             F.col("number").alias("_number"),
+            *carry,
             F.col("taken.ts").alias("response_ts"),
             F.col("taken.number").alias("response_seq"),
             F.when(F.col("took").isNull(), "rejected")
@@ -212,10 +235,13 @@ def settle_in_turn(
     fates = (
         near.filter("kind = 0")
         .select(
+            "id",
+            F.col("ts").alias("response_ts"),
             F.col("number").alias("seq"),
             F.when(F.coalesce(overwritten, F.lit(False)), "overwritten").otherwise("expired").alias("fate"),
         )
         .join(used, "seq", "left_anti")
+        .select("id", "response_ts", "seq", "fate")
     )
     return outcomes, fates
 

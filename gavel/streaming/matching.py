@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from gavel.operators.transport import TTL_SECONDS, depth_changes, settle_in_turn
+from gavel.operators.transport import TTL_SECONDS, depth_changes, settled_rows
 from gavel.session import materialized
 
 DELAY_SECONDS = 60.0
@@ -15,7 +15,7 @@ DELAY_SECONDS = 60.0
 MAX_WAIT_SECONDS = 90 * 86_400.0
 
 EVENTS = "id string, ts timestamp, is_request boolean, deadline_ts timestamp, queue string, number bigint"
-_STATE = EVENTS + ", settled boolean"
+_STATE = EVENTS + ", settled boolean, _number bigint"
 _MARK = "watermark timestamp"
 
 
@@ -77,7 +77,10 @@ def match_writer(
         def put(df: DataFrame, name: str) -> None:
             df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
 
-        arrived = materialized(batch.select(*[f.split()[0] for f in EVENTS.split(", ")]))
+        place = F.monotonically_increasing_id()
+        arrived = materialized(
+            batch.select(*[f.split()[0] for f in EVENTS.split(", ")], F.lit(False).alias("settled"), place.alias("_number"))
+        )
         newest = arrived.agg(F.max("ts")).first()[0]
         if newest is not None:
             ahead = newest - datetime.timedelta(seconds=delay_seconds)
@@ -87,12 +90,11 @@ def match_writer(
         is_late = F.col("ts").isNull()
         if mark is not None:
             is_late = is_late | (F.col("ts") < F.lit(mark))
-        put(arrived.filter(is_late), "late")
-        put(spark.createDataFrame([(watermark,)], _MARK), "marks")
-        known = materialized(
-            before.unionByName(arrived.filter(~is_late).withColumn("settled", F.lit(False))).withColumn(
-                "_number", F.monotonically_increasing_id()
-            )
+        put(arrived.filter(is_late).drop("settled", "_number"), "late")
+        put(spark.range(1).select(F.lit(watermark).cast("timestamp").alias("watermark")), "marks")
+        # Both sides were numbered when they were written; even and odd keep them apart.
+        known = before.withColumn("_number", F.col("_number") * 2).unionByName(
+            arrived.filter(~is_late).withColumn("_number", F.col("_number") * 2 + 1)
         )
         final = F.lit(False) if watermark is None else F.coalesce(F.col("ts") < F.lit(watermark), F.lit(False))
 
@@ -103,9 +105,8 @@ def match_writer(
         responses = ready.filter("NOT is_request").select(
             "id", F.col("ts").alias("response_ts"), F.col("number").alias("seq")
         )
-        settled, fates = settle_in_turn(requests, responses, ttl_seconds)
-        matched = materialized(requests.join(settled, "_number"))
-        fates = materialized(responses.join(fates, "seq"))
+        matched, fates = settled_rows(requests, responses, ttl_seconds, carry=["queue", "settled"])
+        fates = materialized(fates)
         now = F.lit(watermark).cast("timestamp")
         lifetime = F.make_dt_interval(secs=F.lit(ttl_seconds))
         open_request = F.col("how").isNull() & (F.col("deadline_ts") >= now)
@@ -122,7 +123,7 @@ def match_writer(
             ),
             "outcomes",
         )
-        columns = [f.split()[0] for f in _STATE.split(", ")]
+        columns = [f.split()[0] for f in _STATE.split(", ") if not f.startswith("_number")]
         carried = (
             matched.filter(open_request)
             .select(
@@ -137,7 +138,7 @@ def match_writer(
                 )
             )
         )
-        put(known.filter(~final).select(columns).unionByName(carried), "state")
+        put(known.filter(~final).select(columns).unionByName(carried).withColumn("_number", place), "state")
         if on_changes is not None:
             on_changes(depth_changes(matched, ~F.col("settled")), number)
 

@@ -5,6 +5,8 @@ Nested fields are made inside each row, so no group is ever collected to build a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gavel.session import scratch_path
@@ -541,14 +543,20 @@ def repeated_requests(t: Tables) -> DataFrame:
     )
 
 
-def event_parts(t: Tables) -> DataFrame:
-    """``event_id, part``: events in four parts by time, where a fifth of them comes up to a day too
-    late for its part, and some only come with the last one."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    low, high = t.events.agg(F.min(us), F.max(us)).first()
-    moved = us + (F.col("event_id") % 5) * F.lit(6 * 3600 * 1_000_000) - F.lit(low)
-    part = F.least(F.lit(3), F.floor(moved * 4 / F.lit(float(high - low + 1))))
-    return t.events.select("event_id", F.when(F.col("event_id") % 97 == 0, 3).otherwise(part).cast("int").alias("part"))
+def event_parts(t: Tables) -> Callable[[str, str], Column]:
+    """The part of an event by its number and time columns: four parts by time, where a fifth of the
+    events comes up to a day too late for its part, and some only come with the last one.
+
+    A row says its part itself, so no table of parts is joined to the events.
+    """
+    low, high = t.events.agg(*[f(F.unix_micros(F.col("ts").cast("timestamp"))) for f in (F.min, F.max)]).first()
+
+    def part(number: str, ts: str) -> Column:
+        moved = F.unix_micros(ts) + (F.col(number) % 5) * F.lit(6 * 3600 * 1_000_000) - F.lit(low)
+        by_time = F.least(F.lit(3), F.floor(moved * 4 / F.lit(float(high - low + 1))))
+        return F.when(F.col(number) % 97 == 0, 3).otherwise(by_time).cast("int")
+
+    return part
 
 
 def in_turn(live: bool) -> str:

@@ -358,9 +358,9 @@ def _live(t, depth: bool = False) -> str:
     Every part is a trigger of its own, as each run takes what is new and ends.
     """
     spark, source, folder = t.spark, scratch_path(t.spark, "live"), scratch_path(t.spark, "matched")
-    parts = i.event_parts(t)
-    asked = i.repeated_requests(t).join(parts, "event_id")
-    answered = _answers(t).join(parts.withColumnRenamed("event_id", "seq"), "seq")
+    part_of = i.event_parts(t)
+    asked = i.repeated_requests(t).withColumn("part", part_of("event_id", "request_ts"))
+    answered = _answers(t).withColumn("part", part_of("seq", "response_ts"))
     events = lambda part: transport_events(
         asked.filter(F.col("part") == part), answered.filter(F.col("part") == part), i.MAX_WAIT_DAYS * 86_400.0
     )

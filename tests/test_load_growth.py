@@ -1,11 +1,17 @@
 """What a load and a live match hold and repeat as their input grows."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from gavel.operators import ordering
 from gavel.operators.joins import streamed_join, tasks_for
+from gavel.operators.transport import settled_rows
 from gavel.plans.catalog_load import load_catalog
-from gavel.session import evaluated_once
+from gavel.session import evaluated_once, materialized
+from gavel.workload import inputs
+from gavel.workload.registry import Tables
 from test_catalog import PROBLEM, records
 
 
@@ -52,3 +58,34 @@ def test_columns_are_computed_once_a_row(spark):
     text = plan(evaluated_once(spark.range(5).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))).select(
         F.transform(F.array("h", "h"), lambda x: F.concat(x, F.col("h"))).alias("x"), "h"))
     assert text.count("sha2(") == 1
+
+
+def test_events_say_their_part_themselves(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    parts = inputs.event_parts(tables)
+    asked = inputs.repeated_requests(tables).withColumn("part", parts("event_id", "request_ts"))
+    assert "Join" not in plan(asked)
+    assert {r.part for r in asked.select("part").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_settled_rows_come_whole(spark, rows):
+    ts = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    requests = rows(
+        "id string, request_ts timestamp, deadline_ts timestamp, _number bigint, queue string",
+        ("a", ts(10), None, 0, "q1"), ("a", ts(20), None, 1, "q2"), ("b", ts(10), ts(15), 2, "q3"),
+    )
+    responses = rows("id string, response_ts timestamp, seq bigint", ("a", ts(30), 7), ("b", ts(16), 8))
+    matched, lost = settled_rows(requests, responses, 5, carry=["queue"])
+    assert sorted((r.id, r._number, r.queue, r.request_ts, r.response_seq, r.how) for r in matched.collect()) == [
+        ("a", 0, "q1", ts(10), 7, "arrived"), ("a", 1, "q2", ts(20), None, "rejected"), ("b", 2, "q3", ts(10), None, None)]
+    assert [tuple(r) for r in lost.collect()] == [("b", ts(16), 8, "expired")]
+
+
+def test_neighbours_write_no_values(spark, rows, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordering, "materialized", lambda df: written.append(df.columns) or materialized(df))
+    df = rows("k string, t int", ("a", 1), ("a", 2), ("b", 1))
+    found = ordering.neighbours(df, ["k"], ["t"], before={"last": F.col("t")}, after={"next": F.col("t")})
+    assert sorted((r.k, r.t, r.last, r.next) for r in found.collect()) == [
+        ("a", 1, None, 2), ("a", 2, 1, None), ("b", 1, None, None)]
+    assert written == [["k", "t", "_part", "_pos"]]
