@@ -181,8 +181,8 @@ def load_catalog(t):
 
 @query("load_catalog_jsonl", LOADED + _ALL_ROWS)
 def load_catalog_jsonl(t):
-    """The same records, written as JSON lines and read back."""
-    path = i.as_json_lines(i.olympiad_records(t), "olympiad")
+    """The same records, written as compressed JSON lines and read back."""
+    path = i.as_json_lines(i.olympiad_records(t), "olympiad", "gzip")
     good, _ = read_olympiad(t.spark, [path])
     return _all_rows(load_job(good).tables)
 

@@ -24,12 +24,12 @@ def text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def as_json_lines(df: DataFrame, label: str) -> str:
+def as_json_lines(df: DataFrame, label: str, compression: str = "none") -> str:
     """Write rows with a ``seq`` as JSON lines in that order; returns the folder."""
     path = scratch_path(df.sparkSession, label)
     fields = [c for c in df.columns if c != "seq"]
     lines = df.select("seq", F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields])).alias("value"))
-    lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path)
+    lines.repartitionByRange("seq").sortWithinPartitions("seq").select("value").write.text(path, compression)
     return path
 
 

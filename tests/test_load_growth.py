@@ -1,6 +1,8 @@
 """What a load and a live match hold and repeat as their input grows."""
 
 import datetime
+import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from gavel.operators.joins import streamed_join, tasks_for
 from gavel.operators.transport import settled_rows
 from gavel.plans.catalog_load import load_catalog
 from gavel.session import evaluated_once, materialized
+from gavel.sources.jsonl import text_lines
 from gavel.workload import inputs
 from gavel.workload.registry import Tables
 from test_catalog import PROBLEM, records
@@ -89,3 +92,14 @@ def test_neighbours_write_no_values(spark, rows, monkeypatch):
     assert sorted((r.k, r.t, r.last, r.next) for r in found.collect()) == [
         ("a", 1, None, 2), ("a", 2, 1, None), ("b", 1, None, None)]
     assert written == [["k", "t", "_part", "_pos"]]
+
+
+def test_compressed_lines_keep_their_order(spark):
+    rows = spark.range(1000).select(F.col("id").alias("seq"), F.repeat(F.lit("text "), 100).alias("a"), F.col("id").alias("n"))
+    sizes = {}
+    for kind in ("none", "gzip"):
+        path = inputs.as_json_lines(rows, "lines", kind)
+        found = [json.loads(r.line)["n"] for r in text_lines(spark, [path]).orderBy("seq").collect()]
+        assert found == list(range(1000))
+        sizes[kind] = sum(p.stat().st_size for p in pathlib.Path(path.removeprefix("file:")).glob("part-*"))
+    assert sizes["gzip"] * 10 < sizes["none"]
