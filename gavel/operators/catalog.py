@@ -68,7 +68,7 @@ def reject_sub_tasks(problems: DataFrame, on_error: str = "split") -> tuple[Data
 
 def _by_name(entries: str) -> Column:
     """Entries of a map with their place in the order of names."""
-    return F.posexplode(F.array_sort(F.map_entries(entries))).alias("position", "entry")
+    return F.posexplode(F.sort_array(F.map_entries(entries))).alias("position", "entry")
 
 
 def named_cases(problems: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def named_cases(problems: DataFrame) -> DataFrame:
 
 def case_names(problems: DataFrame) -> DataFrame:
     """The names and positions of :func:`named_cases` without the texts."""
-    names = F.posexplode(F.array_sort(F.map_keys("test_cases"))).alias("position", "name")
+    names = F.posexplode(F.sort_array(F.map_keys("test_cases"))).alias("position", "name")
     return problems.select("problem_id", *_offsets(problems), names)
 
 

@@ -44,10 +44,14 @@ def unique_violations(
     """Rows of ``df`` whose key occurs more than once in ``df`` and ``existing`` together.
 
     The repeated keys are written first. There are few as a rule; Spark then knows it and sends them
-    to the rows, and if there are many, it shuffles both sides and can split a hot key.
+    to the rows, and if there are many, it shuffles both sides and can split a hot key. Where there are
+    none, the rows are not made again.
     """
     keys = list(keys)
-    return df.join(repeated_keys(df, keys, existing), keys, "left_semi")
+    repeated = repeated_keys(df, keys, existing)
+    if repeated.isEmpty():
+        return df.filter(F.lit(False))
+    return df.join(repeated, keys, "left_semi")
 
 
 def orphan_rows(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:

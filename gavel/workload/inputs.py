@@ -152,40 +152,35 @@ def olympiad_records(t: Tables) -> DataFrame:
     key = F.col("o_orderkey")
     name = F.when(key % 53 == 0, "").otherwise(text("p", F.col("o_custkey")))
     year = F.when(key % 59 == 0, 0).otherwise(F.year("o_orderdate"))
+    # Arrays of all that a record may have, cut to what it has: Spark compiles these, and would interpret
+    # a lambda that makes the structs, for every element of every record.
+    first = lambda n, *items: F.slice(F.array(*items), F.lit(1), n.cast("int"))
     task = lambda k: F.struct(
         F.struct(
             ((1 + (key + k) % 3) / 10.0).alias("time_limit"),
             F.lit(268435456.0).alias("memory_limit"),
         ).alias("limit"),
-        text("st", k).alias("name"),
-        (10 * (k + 1)).alias("score"),
+        F.lit(f"st{k}").alias("name"),
+        F.lit(10 * (k + 1)).alias("score"),
         F.transform(
             upto(((key + k) % 4).cast("int")), lambda j: text("c", (k + 2 * j) % 6)
         ).alias("test_case_names"),
     )
-    tasks = F.transform(upto((1 + key % 3).cast("int")), task)
-    cases = F.map_from_entries(
-        F.transform(
-            upto((3 + key % 3).cast("int")),
-            lambda i: F.struct(
-                text("c", i).alias("key"),
-                F.struct(text(key, "/", i).alias("input"), text("ü", i * i).alias("output")).alias("value"),
-            ),
-        )
-    )
-    every = F.array(
-        *[
-            F.struct(
-                F.lit(file).alias("key"),
-                text(F.col("o_orderpriority"), " ", file, " ", key).alias("value"),
-                (key % modulus < limit).alias("kept"),
-            )
-            for file, modulus, limit in FILE_RULES
-        ]
+    tasks = first(1 + key % 3, *[task(k) for k in range(3)])
+    case = lambda i: F.struct(
+        F.lit(f"c{i}").alias("key"),
+        F.struct(text(key, f"/{i}").alias("input"), F.lit(f"ü{i * i}").alias("output")).alias("value"),
     )
-    files = F.map_from_entries(
-        F.transform(F.filter(every, lambda f: f["kept"]), lambda f: F.struct(f["key"], f["value"]))
+    cases = F.map_from_entries(first(3 + key % 3, *[case(i) for i in range(5)]))
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    entry = lambda file: F.struct(
+        F.lit(file).alias("key"), text(F.col("o_orderpriority"), f" {file} ", key).alias("value")
     )
+    kept = [
+        F.when(key % modulus < limit, F.array(entry(file))).otherwise(none)
+        for file, modulus, limit in FILE_RULES
+    ]
+    files = F.map_from_entries(F.flatten(F.array(*kept)))
     solution = F.when(key % 11 != 0, text("int main(){} //", key))
     nested = key % 2 == 0
     fields = {

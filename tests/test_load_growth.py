@@ -7,14 +7,17 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
-from gavel.operators import ordering
+from gavel.operators import integrity, ordering
 from gavel.operators.joins import streamed_join, tasks_for
 from gavel.operators.transport import settled_rows
+from gavel.plans import catalog_load
 from gavel.plans.catalog_load import load_catalog
 from gavel.session import evaluated_once, materialized
 from gavel.sources.jsonl import text_lines
 from gavel.workload import inputs
+from gavel.workload.catalogue import QUERIES
 from gavel.workload.registry import Tables
+from conftest import as_dicts
 from test_catalog import PROBLEM, records
 
 
@@ -38,6 +41,35 @@ def test_load_sorts_no_texts(spark, no_broadcast):
     assert loaded.tables["test_cases"].count() == 4
 
 
+def test_keys_are_those_of_the_load_and_no_text_is_written(spark, monkeypatch):
+    bad = {**PROBLEM, "id": "bad", "sub_tasks": [*PROBLEM["sub_tasks"], *PROBLEM["sub_tasks"]]}
+    given = records(spark, PROBLEM, {**PROBLEM, "id": "q"}, {"id": "empty", "year": 2000}, PROBLEM, bad, {**PROBLEM, "id": "r"})
+    whole, keys = load_catalog(given), load_catalog(given, texts=False)
+    assert set(whole.tables) == set(keys.tables) and whole.tables["test_cases"].count() == 4
+    for name, table in keys.tables.items():
+        assert as_dicts(whole.tables[name].select(*table.columns)) == as_dicts(table), name
+    for name in ("repeated", "missing_case_refs"):
+        assert as_dicts(whole.rejects[name]) == as_dicts(keys.rejects[name]), name
+    written = []
+    monkeypatch.setattr(catalog_load, "materialized", lambda df: written.append(dict(df.dtypes)) or materialized(df))
+    QUERIES["catalog_integrity"](spark, "/root/testdata/sf0.001").collect()
+    assert {written[0][c] for c in ("test_cases", "grader_files", "sub_tasks")} == {"array<string>"}
+    assert {written[0][f"n_{c}"] for c in ("test_cases", "grader_files", "sub_tasks")} == {"int"}
+
+
+def test_rows_without_violations_are_not_made_again(spark, rows):
+    unique = rows("k int, v string", (1, "a"), (2, "b"))
+    found = integrity.unique_violations(unique, ["k"])
+    assert "Join" not in plan(found) and found.columns == ["k", "v"] and found.collect() == []
+    assert integrity.unique_violations(unique.unionAll(unique), ["k"]).count() == 4
+
+
+def test_records_are_built_by_compiled_arrays(spark):
+    text = plan(inputs.olympiad_records(Tables(spark, "/root/testdata/sf0.001")))
+    assert "filter(array" not in text
+    assert "transform(CASE" in text and "map_from_entries(transform" not in text
+
+
 def test_tasks_grow_with_the_narrow_rows(spark, no_broadcast):
     assert tasks_for(10, spark, 100) == 4
     assert tasks_for(1001, spark, 100) == 11
